@@ -1,0 +1,27 @@
+"""End-to-end plans over generated sequences, one per ``orders`` key:
+generate -> split -> train -> evaluate -> search -> edits scored under the
+model and under the generator."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.generate import Profile, generate_sequences
+from ..operators.model import LinearModel
+from ..operators.train import split_dataset, train_count_weights
+from ..sources.tables import read_table, spread
+from ..spec import SequenceSpec
+
+GEN_KEYS = ("seq_id",)
+
+
+def generated(spark: SparkSession, sf_dir: str, spec: SequenceSpec = SequenceSpec(),
+              profile: Profile | None = None) -> DataFrame:
+    """``(seq_id, label, tokens, split)``, one sequence per order key."""
+    ids = spread(read_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return split_dataset(generate_sequences(ids, "o_orderkey", spec, profile), "seq_id", spec)
+
+
+def generated_model(spark: SparkSession, sf_dir: str, spec: SequenceSpec = SequenceSpec()) -> LinearModel:
+    return train_count_weights(generated(spark, sf_dir, spec).where(F.col("split") == "train"), spec)

@@ -39,6 +39,19 @@ def document_windows(documents: DataFrame, spec: SequenceSpec = SequenceSpec(),
     return docs.select("doc_id", *keep, F.posexplode(windows).alias("win", "tokens"))
 
 
+def document_text_windows(documents: DataFrame, spec: SequenceSpec = SequenceSpec(),
+                          keep: Sequence[str] = ()) -> DataFrame:
+    """The same windows as raw text: ``(doc_id, *keep, win INT, chunk STRING)``."""
+    L = spec.length
+    docs = (documents.where(F.length("text") >= L)
+            .select("doc_id", *keep, F.split("text", "").alias("_chars")))
+    n = F.size("_chars")
+    nwin = F.floor((n + (L - 1)) / L).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), nwin - 1),
+                          lambda w: F.array_join(F.slice(F.col("_chars"), F.least(w * L, n - L) + 1, L), ""))
+    return docs.select("doc_id", *keep, F.posexplode(windows).alias("win", "chunk"))
+
+
 def short_documents(documents: DataFrame, spec: SequenceSpec = SequenceSpec()) -> DataFrame:
     """Documents that cannot form one window (quarantine of the text source)."""
     return (documents.where(F.col("text").isNull() | (F.length("text") < spec.length))
