@@ -68,14 +68,14 @@ def one_hot_to_tokens(c, k: int) -> Column:
 
 def one_hot_long(df: DataFrame, keys: Sequence[str], k: int, tokens: str = "tokens") -> DataFrame:
     """Sparse one-hot: one row ``(keys..., pos, token, feature, value)`` per position."""
-    return (df.select(*keys, F.posexplode(tokens).alias("pos", "token"))
+    return (df.select(*keys, F.posexplode_outer(tokens).alias("pos", "token"))
               .select(*keys, "pos", "token", (F.col("pos") * k + F.col("token")).alias("feature"),
                       F.lit(1.0).alias("value")))
 
 
 def to_long(df: DataFrame, keys: Sequence[str], tokens: str = "tokens") -> DataFrame:
     """Array form -> long form ``(keys..., pos, token)``."""
-    return df.select(*keys, F.posexplode(tokens).alias("pos", "token"))
+    return df.select(*keys, F.posexplode_outer(tokens).alias("pos", "token"))
 
 
 def to_array(long_df: DataFrame, keys: Sequence[str]) -> DataFrame:

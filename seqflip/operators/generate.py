@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import TWO32, hash32
 from ..spec import SequenceSpec
+from .model import literal_array
 
 
 @dataclass(frozen=True)
@@ -117,12 +118,13 @@ def generate_sequences(ids: DataFrame, id_col: str, spec: SequenceSpec = Sequenc
     profile = profile or Profile.neutral(spec)
     if profile.alphabet != spec.alphabet or profile.active != spec.active:
         raise ValueError("profile does not match the sequence spec")
-    cum = F.array(*[F.array(*[F.lit(c).cast("bigint") for c in row]) for row in profile.thresholds()])
+    K = spec.alphabet
+    cum = literal_array([c for row in profile.thresholds() for c in row], "bigint")
     base = ids.select(F.col(id_col).cast("bigint").alias("seq_id")).withColumn("label", label_draw(F.col("seq_id"), spec))
     # One draw per position first (the hash is then read, not recomputed, by the CDF scan).
     draws = F.transform(F.sequence(F.lit(0), F.lit(spec.length - 1)), lambda i: hash32(spec.seed, F.col("seq_id"), i))
     tokens = F.transform(F.col("_u"), lambda u, i: F.size(F.filter(
-        F.get(cum, _table_index(i, F.col("label"), spec)), lambda c: c <= u)).cast("int"))
+        F.slice(cum, _table_index(i, F.col("label"), spec) * K + 1, K), lambda c: c <= u)).cast("int"))
     return base.withColumn("_u", draws).withColumn("tokens", tokens).drop("_u")
 
 
@@ -130,7 +132,7 @@ def posterior_logit(tokens, spec: SequenceSpec = SequenceSpec(), profile: Profil
     """The generator's class-1 log-odds of a token sequence."""
     profile = profile or Profile.neutral(spec)
     K, S = spec.alphabet, spec.start
-    lr = F.array(*[F.lit(v) for row in profile.log_ratios() for v in row])
+    lr = literal_array([v for row in profile.log_ratios() for v in row], "double")
     tok = F.col(tokens) if isinstance(tokens, str) else tokens
     active = F.slice(tok, S + 1, spec.active)
     prior = math.log(spec.p / (1.0 - spec.p))

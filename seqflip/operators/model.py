@@ -20,6 +20,13 @@ from pyspark.sql import functions as F
 from ..spec import MICRO, SequenceSpec
 
 
+def literal_array(values, sql_type: str) -> Column:
+    """A constant array as one folded literal (a parsed string), not one expression per
+    element: plan size and plan-building time stay flat however long the array is."""
+    text = ",".join(repr(float(v)) if sql_type == "double" else str(int(v)) for v in values)
+    return F.split(F.lit(text), ",").cast(f"array<{sql_type}>")
+
+
 @dataclass(frozen=True)
 class LinearModel:
     length: int
@@ -62,8 +69,7 @@ class LinearModel:
 
     # --- literal arrays used in plans ---------------------------------------
     def _lit_array(self, values) -> Column:
-        t = self.sql_type
-        return F.array(*[F.lit(v).cast(t) for v in values])
+        return literal_array(values, self.sql_type)
 
     def weight_array(self) -> Column:
         return self._lit_array(self.weights)
@@ -72,7 +78,7 @@ class LinearModel:
         return self._lit_array(self.best_weights())
 
     def best_token_array(self) -> Column:
-        return F.array(*[F.lit(int(b)) for b in self.best_tokens()])
+        return literal_array(self.best_tokens(), "int")
 
     def bias_lit(self) -> Column:
         return F.lit(self.bias).cast(self.sql_type)

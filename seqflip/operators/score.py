@@ -87,7 +87,7 @@ def gradient_summary(df: DataFrame, keys: Sequence[str], model: LinearModel, tok
     K = model.alphabet
     W, WB, TB = model.weight_array(), model.best_weight_array(), model.best_token_array()
     s = sigmoid(linear_logit(tokens, model), model)
-    return (df.select(*keys, s.alias("_s"), F.posexplode(tokens).alias("pos", "token"))
+    return (df.select(*keys, s.alias("_s"), F.posexplode_outer(tokens).alias("pos", "token"))
             .select(*keys, "pos", "token",
                     (F.col("_s") * F.get(W, F.col("pos") * K + F.col("token")).cast("double") / model.scale)
                     .alias("grad_current"),

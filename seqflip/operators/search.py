@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from ..session import ensure_checkpoint_dir
 from ..spec import SequenceSpec
 from .model import LinearModel
-from .score import init_search_state, linear_logit, sigmoid
+from .score import linear_logit, sigmoid
 
 STATUSES = ("reached", "capped", "stuck", "working")
 
@@ -148,45 +148,66 @@ def working_count(state: DataFrame) -> DataFrame:
 # Loop path
 # --------------------------------------------------------------------------
 
-def linear_round(state: DataFrame, model: LinearModel, spec: SequenceSpec, round_no: int,
-                 tokens: str = "current_tokens") -> DataFrame:
-    """One literal round for a linear model.  Finished rows pass through."""
-    T, cap = model.threshold(spec), spec.cap
-    best = F.get(candidates(tokens, model), 0)
-    has = best.isNotNull()
-    nz = F.col("current_z") - best["ng"]
-    entry = F.struct(F.col("total_changes").alias("change_num"), best["pos"].alias("position"),
-                     best["prev"].alias("prev_token"), best["new"].alias("new_token"), nz.alias("new_z"))
-    new_tokens = F.transform(F.col(tokens), lambda t, i: F.when(i == best["pos"], best["new"]).otherwise(t))
+_STATE_COLS = ("current_tokens", "current_z", "current_pred", "working", "status", "total_changes",
+               "finish_round", "log", "changed")
+
+
+def apply_choice(state: DataFrame, choice: Column, threshold, cap: int, round_no: int,
+                 pred: Callable[[Column], Column]) -> DataFrame:
+    """Apply one chosen substitution per working row and test the stop rule.
+
+    ``choice`` is ``struct(pos, prev, new, nz)`` (``nz`` = logit after the change) or
+    NULL when no substitution raises the score (the row becomes ``stuck``).
+    Finished rows pass through unchanged; ``changed`` marks rows changed this round."""
+    st = state.withColumn("_b", F.when(F.col("working"), choice))
+    b = F.col("_b")
     w = F.col("working")
+    has = w & b.isNotNull()
+    nz = b["nz"]
     n1 = F.col("total_changes") + 1
-    finished = (nz >= T) | (n1 >= cap)
-    new_status = (F.when(~has, "stuck").when(nz >= T, "reached").when(n1 >= cap, "capped").otherwise("working"))
-    return (state.withColumn("_b", F.when(w, F.struct(has.alias("has"), nz.alias("nz"), entry.alias("entry"),
-                                                       new_tokens.alias("toks"), finished.alias("fin"),
-                                                       new_status.alias("st"))))
-            .select(*[c for c in state.columns if c not in
-                      ("current_tokens", "current_z", "current_pred", "working", "status", "total_changes",
-                       "finish_round", "log")],
-                    F.when(w & F.col("_b.has"), F.col("_b.toks")).otherwise(F.col("current_tokens")).alias("current_tokens"),
-                    F.when(w & F.col("_b.has"), F.col("_b.nz")).otherwise(F.col("current_z")).alias("current_z"),
-                    F.when(w & F.col("_b.has"), sigmoid(F.col("_b.nz"), model)).otherwise(F.col("current_pred")).alias("current_pred"),
-                    F.when(w, F.col("_b.st") == "working").otherwise(F.col("working")).alias("working"),
-                    F.when(w, F.col("_b.st")).otherwise(F.col("status")).alias("status"),
-                    F.when(w & F.col("_b.has"), F.col("total_changes") + 1).otherwise(F.col("total_changes")).alias("total_changes"),
-                    F.when(w & (F.col("_b.st") != "working"), F.lit(round_no)).otherwise(F.col("finish_round"))
-                    .cast("int").alias("finish_round"),
-                    F.when(w & F.col("_b.has"), F.array_append(F.col("log"), F.col("_b.entry"))).otherwise(F.col("log")).alias("log")))
+    new_status = F.when(~has, "stuck").when(nz >= threshold, "reached").when(n1 >= cap, "capped").otherwise("working")
+    entry = F.struct(F.col("total_changes").alias("change_num"), b["pos"].alias("position"),
+                     b["prev"].alias("prev_token"), b["new"].alias("new_token"), nz.alias("new_z"))
+    toks = F.transform(F.col("current_tokens"), lambda t, i: F.when(i == b["pos"], b["new"]).otherwise(t))
+    keep = [c for c in state.columns if c not in _STATE_COLS]
+    return st.select(
+        *keep,
+        F.when(has, toks).otherwise(F.col("current_tokens")).alias("current_tokens"),
+        F.when(has, nz).otherwise(F.col("current_z")).alias("current_z"),
+        F.when(has, pred(nz)).otherwise(F.col("current_pred")).alias("current_pred"),
+        F.when(w, new_status == "working").otherwise(F.col("working")).alias("working"),
+        F.when(w, new_status).otherwise(F.col("status")).alias("status"),
+        F.when(has, n1).otherwise(F.col("total_changes")).alias("total_changes"),
+        F.when(w & (new_status != "working"), F.lit(round_no)).otherwise(F.col("finish_round"))
+        .cast("int").alias("finish_round"),
+        F.when(has, F.array_append(F.col("log"), entry)).otherwise(F.col("log")).alias("log"),
+        has.alias("changed"))
+
+
+def linear_choice(model: LinearModel, tokens: str = "current_tokens") -> Column:
+    """The best substitution of a linear model (first of the sorted candidates)."""
+    best = F.get(candidates(tokens, model), 0)
+    return F.when(best.isNotNull(), F.struct(best["pos"].alias("pos"), best["prev"].alias("prev"),
+                                             best["new"].alias("new"), (F.col("current_z") - best["ng"]).alias("nz")))
+
+
+def linear_round(state: DataFrame, model: LinearModel, spec: SequenceSpec, round_no: int) -> DataFrame:
+    """One literal round for a linear model."""
+    return apply_choice(state, linear_choice(model), model.threshold(spec), spec.cap, round_no,
+                        lambda z: sigmoid(z, model))
 
 
 def search_loop(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int | None = None,
                 max_rounds: int = 10_000, checkpoint: bool = True,
-                on_round: Callable[[int, int], None] | None = None) -> DataFrame:
-    """Drive ``step`` round after round until no row works (or ``rounds`` rounds).
-
-    Each round's table is written to the shared checkpoint folder
-    (``spark.checkpoint.dir``) so a lost executor never replays earlier rounds
-    and the plan does not grow with the round count."""
+                on_round: Callable[[int, DataFrame, float], None] | None = None) -> DataFrame:
+    """P9/P10 driver: run ``step`` round after round until no row works (or ``rounds`` rounds).
+
+    Each round's table is checkpointed to the shared folder named by
+    ``spark.checkpoint.dir`` (reliable, survives lost executors), so no round is
+    ever recomputed and the plan does not grow with the round count.  The only
+    driver traffic per round is one existence probe for working rows.
+    ``on_round(r, state, seconds)`` sees each checkpointed round (e.g. to append
+    its changes to a log table)."""
     spark = state.sparkSession
     if checkpoint:
         ensure_checkpoint_dir(spark)
@@ -202,12 +223,41 @@ def search_loop(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], r
         if checkpoint:
             state = state.checkpoint(eager=True)
         if on_round is not None:
-            on_round(r, time.time() - t0)
+            on_round(r, state, time.time() - t0)
     return state
 
 
+def initial_state(df: DataFrame, z: Column, pred: Callable[[Column], Column], log_sql_type: str,
+                  tokens: str = "tokens") -> DataFrame:
+    """P3 for the loop path: state columns from a logit expression."""
+    return (df.withColumn("init_z", z)
+              .withColumn("init_pred", pred(F.col("init_z")))
+              .withColumn("current_tokens", F.col(tokens))
+              .withColumn("current_z", F.col("init_z"))
+              .withColumn("current_pred", F.col("init_pred"))
+              .withColumn("working", F.lit(True))
+              .withColumn("status", F.lit("working"))
+              .withColumn("total_changes", F.lit(0))
+              .withColumn("finish_round", F.lit(None).cast("int"))
+              .withColumn("log", F.expr(f"cast(array() as {log_type(log_sql_type)})"))
+              .withColumn("changed", F.lit(False)))
+
+
 def linear_search_loop(df: DataFrame, model: LinearModel, spec: SequenceSpec = SequenceSpec(),
-                       tokens: str = "tokens", rounds: int | None = None, checkpoint: bool = True) -> DataFrame:
+                       tokens: str = "tokens", rounds: int | None = None, checkpoint: bool = True,
+                       on_round=None) -> DataFrame:
     """P9/P10 loop path for a linear model (same result as :func:`greedy_search`)."""
-    state = init_search_state(df, model, tokens).withColumn("finish_round", F.lit(None).cast("int"))
-    return search_loop(state, lambda s, r: linear_round(s, model, spec, r), rounds=rounds, checkpoint=checkpoint)
+    state = initial_state(df, linear_logit(tokens, model), lambda z: sigmoid(z, model), model.sql_type, tokens)
+    return search_loop(state, lambda s, r: linear_round(s, model, spec, r), rounds=rounds,
+                       checkpoint=checkpoint, on_round=on_round)
+
+
+def round_changes(state: DataFrame, keys: Sequence[str], round_no: int,
+                  pred: Callable[[Column], Column]) -> DataFrame:
+    """The changes made in one round (S8 input): the last log entry of every changed row."""
+    e = F.element_at("log", -1)
+    return (state.where("changed")
+            .select(*keys, e["change_num"].alias("change_num"), e["position"].alias("position"),
+                    e["prev_token"].alias("prev_token"), e["new_token"].alias("new_token"),
+                    e["new_z"].alias("new_z"), pred(e["new_z"]).alias("new_pred"),
+                    F.lit(round_no).alias("round")))

@@ -48,7 +48,10 @@ def count_weight_table(train: DataFrame, spec: SequenceSpec = SequenceSpec(), to
     skew.  Every one of the ``L*K`` cells is present (absent cells count 0)."""
     L, K = spec.length, spec.alphabet
     spark = train.sparkSession
-    counts = (train.select(F.col(label).alias("_y"), F.posexplode(tokens).alias("pos", "token"))
+    # The outer form keeps the optimiser from inferring a non-empty filter on the
+    # array and pushing it (with the whole array expression) below the projection.
+    counts = (train.select(F.col(label).alias("_y"), F.posexplode_outer(tokens).alias("pos", "token"))
+              .where(F.col("pos").isNotNull())
               .groupBy("pos", "token")
               .agg(F.count_if(F.col("_y") == 1).alias("n1"), F.count_if(F.col("_y") == 0).alias("n0")))
     grid = spark.range(L * K).select((F.col("id") / K).cast("int").alias("pos"), (F.col("id") % K).cast("int").alias("token"))

@@ -1 +1,123 @@
-"""placeholder"""
+"""Model-slot and loop-path queries: literal-round search (P8-P10 loop path),
+MLlib logistic regression (T3), multilayer perceptron (T5), the whole
+pipeline (T7) and timing metrics (M3, M4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.encode import tokens_to_csv
+from ..operators.metrics import mean_change_time, mean_trajectory_time
+from ..operators.nonlinear import mlp_accuracy_by_split, mlp_search_loop
+from ..operators.search import greedy_search, linear_search_loop
+from ..operators.train import accuracy_by_split, train_logistic, train_mlp, train_model
+from .documents import document_model, labelled, search_input
+from .generated import generated
+from .generator_queries import GENW, PROFILE
+from .registry import KEYS, SPEC, r6, register
+from .search_queries import _state_select, _state_sql
+
+MLP_ITER = 40
+LR_ITER = 50
+
+
+@register("search_until_done_loop", _state_sql(None))
+def q_search_until_done_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10 loop path: literal rounds until no row works; equals the window path."""
+    model = document_model(spark, sf_dir, SPEC)
+    return _state_select(linear_search_loop(search_input(spark, sf_dir, SPEC), model, SPEC))
+
+
+@register("search_fixed_rounds_loop", _state_sql(5))
+def q_search_fixed_rounds_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9 loop path: exactly five literal rounds."""
+    model = document_model(spark, sf_dir, SPEC)
+    return _state_select(linear_search_loop(search_input(spark, sf_dir, SPEC), model, SPEC, rounds=5))
+
+
+@register("train_pipeline", GENW + """,
+zs AS (
+  SELECT seq_id, split, label, (SELECT b FROM bias) + sum(wt.w) AS z
+  FROM gpos JOIN wt ON gpos.pos = wt.pos AND gpos.token = wt.token GROUP BY seq_id, split, label)
+SELECT split, CAST(count(*) AS BIGINT) AS n,
+       round(avg(CASE WHEN (CASE WHEN z > 0 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END), 9) AS accuracy
+FROM zs GROUP BY split""")
+def q_train_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generate -> split -> train (model chosen by name) -> accuracy per split."""
+    data = generated(spark, sf_dir, SPEC, PROFILE)
+    model = train_model(data.where(F.col("split") == "train"), "count", SPEC)
+    return accuracy_by_split(data, model).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@register("train_logistic")
+def q_train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MLlib logistic regression on the one-hot windows; its weights table."""
+    model = train_logistic(labelled(spark, sf_dir, SPEC).where(F.col("split") == "train"), SPEC, max_iter=LR_ITER)
+    return model.to_df(spark).withColumn("bias", F.lit(model.bias))
+
+
+@register("logistic_search")
+def q_logistic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 -> P10: the window search driven by the MLlib logistic model (float logits)."""
+    model = train_logistic(labelled(spark, sf_dir, SPEC).where(F.col("split") == "train"), SPEC, max_iter=LR_ITER)
+    st = greedy_search(search_input(spark, sf_dir, SPEC), model, SPEC)
+    return st.select(*KEYS, tokens_to_csv("current_tokens").alias("current_tokens"), r6("init_pred").alias("init_pred"),
+                     r6("current_pred").alias("current_pred"), "total_changes", "status")
+
+
+@register("train_mlp")
+def q_train_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5 + T6: MLlib multilayer perceptron (L*K -> 32 -> 16 -> 2); accuracy per split."""
+    data = labelled(spark, sf_dir, SPEC)
+    model = train_mlp(data.where(F.col("split") == "train"), SPEC, max_iter=MLP_ITER)
+    return mlp_accuracy_by_split(data, model).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@register("mlp_search")
+def q_mlp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9 with the non-linear model: five literal rounds, gradient by numpy back-propagation
+    in Arrow batches over the rows still working."""
+    data = labelled(spark, sf_dir, SPEC)
+    model = train_mlp(data.where(F.col("split") == "train"), SPEC, max_iter=MLP_ITER)
+    st = mlp_search_loop(search_input(spark, sf_dir, SPEC), model, SPEC, rounds=5)
+    return st.select(*KEYS, tokens_to_csv("current_tokens").alias("current_tokens"), r6("init_pred").alias("init_pred"),
+                     r6("current_pred").alias("current_pred"), "total_changes", "status", "working")
+
+
+def _timed_loop(spark: SparkSession, sf_dir: str):
+    """The loop-path search with each round's wall time and number of changes."""
+    model = document_model(spark, sf_dir, SPEC)
+    rounds: list[tuple[int, float, int]] = []
+
+    def on_round(r, state, seconds):
+        rounds.append((r, float(seconds), state.where("changed").count()))
+
+    st = linear_search_loop(search_input(spark, sf_dir, SPEC), model, SPEC, on_round=on_round)
+    # One row per round (at most cap + 1 rows): small by construction.
+    per_round = spark.createDataFrame(rounds, "round INT, seconds DOUBLE, changes BIGINT")
+    return st, per_round
+
+
+@register("mean_change_time")
+def q_mean_change_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: mean seconds per change; a round's time is shared by the changes it made
+    (change ``k`` of a trajectory is made in round ``k + 1``)."""
+    st, per_round = _timed_loop(spark, sf_dir)
+    changes = (st.select(F.explode("log").alias("e"))
+               .select((F.col("e.change_num") + 1).alias("round"))
+               .join(F.broadcast(per_round), "round")
+               .select((F.col("seconds") / F.col("changes")).alias("time_s")))
+    return mean_change_time(changes)
+
+
+@register("mean_trajectory_time")
+def q_mean_trajectory_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: mean minutes from the start of the search to a trajectory's finishing round."""
+    st, per_round = _timed_loop(spark, sf_dir)
+    elapsed = per_round.select("round", F.sum("seconds").over(Window.orderBy("round")).alias("elapsed"))
+    start = F.to_timestamp(F.lit("1970-01-01 00:00:00"))
+    traj = (st.join(F.broadcast(elapsed), st["finish_round"] == elapsed["round"], "left")
+            .select(start.alias("start_ts"), F.timestamp_seconds("elapsed").alias("finish_ts")))
+    return mean_trajectory_time(traj)

@@ -20,3 +20,29 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key)
+
+
+def save_linear_model(model, spark: SparkSession, path: str) -> None:
+    """A linear model as two small parquet tables: ``weights(pos, token, w)`` and
+    ``meta(length, alphabet, bias, integer)``."""
+    model.to_df(spark).write.mode("overwrite").parquet(f"{path}/weights")
+    meta = spark.createDataFrame([(model.length, model.alphabet, float(model.bias), model.integer)],
+                                 "length INT, alphabet INT, bias DOUBLE, integer BOOLEAN")
+    meta.write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_linear_model(spark: SparkSession, path: str):
+    """Load a model saved by :func:`save_linear_model` from any Hadoop-readable URI."""
+    from ..operators.model import LinearModel
+
+    meta = spark.read.parquet(f"{path}/meta").first()
+    return LinearModel.from_df(spark.read.parquet(f"{path}/weights"), meta["bias"], meta["length"],
+                               meta["alphabet"], bool(meta["integer"]))
+
+
+def save_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """S4 sink: parquet, optionally partitioned (readers prune on that column)."""
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)

@@ -76,7 +76,8 @@ def write_results(df: DataFrame, path: str, header: bool = False, fmt: str = "cs
     """Write a result table (overwrite).  CSV keeps the log's newlines inside quotes."""
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", header).option("escape", '"').csv(path)
+        (w.option("header", header).option("escape", '"')
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.format(fmt).save(path)
 
@@ -84,7 +85,8 @@ def write_results(df: DataFrame, path: str, header: bool = False, fmt: str = "cs
 def read_results(spark: SparkSession, path: str, schema: str = RESULT_DDL, header: bool = False) -> DataFrame:
     """Read every result file of a folder (union), multi-line log fields intact."""
     return (spark.read.schema(schema).option("header", header).option("multiLine", True)
-            .option("escape", '"').csv(path))
+            .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def append_changes(changes: DataFrame, path: str, round_col: str = "round") -> None:
