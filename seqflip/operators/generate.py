@@ -101,30 +101,48 @@ def position_segments(spec: SequenceSpec) -> list[tuple[int, str, int]]:
     return [(i, "active", i - S) if S <= i < S + A else (i, "background", 0) for i in range(spec.length)]
 
 
-def _table_index(pos: Column, label: Column, spec: SequenceSpec) -> Column:
-    S, A = spec.start, spec.active
-    active = (pos >= S) & (pos < S + A)
-    return F.when(active & (label == 1), pos - S + 2).when(active, 1).otherwise(0)
-
-
 def label_draw(ids: Column, spec: SequenceSpec) -> Column:
     """Label 1 with probability ``p`` (the branch taken)."""
     return (hash32(spec.seed, ids, "y") < math.floor(spec.p * TWO32)).cast("int")
 
 
+def _first_above(cum: list[int], lo: int, hi: int, u: str) -> str:
+    """SQL for the smallest ``t`` in ``[lo, hi]`` with ``u < cum[t]`` (a balanced CASE tree)."""
+    if lo == hi:
+        return str(lo)
+    mid = (lo + hi) // 2
+    return f"CASE WHEN {u} < {cum[mid]} THEN {_first_above(cum, lo, mid, u)} ELSE {_first_above(cum, mid + 1, hi, u)} END"
+
+
+def _inverse_cdf(tables: list[list[int]], lo: int, hi: int, t: str, u: str) -> str:
+    if lo == hi:
+        return _first_above(tables[lo], 0, len(tables[lo]) - 1, u)
+    mid = (lo + hi) // 2
+    return (f"CASE WHEN {t} <= {mid} THEN {_inverse_cdf(tables, lo, mid, t, u)} "
+            f"ELSE {_inverse_cdf(tables, mid + 1, hi, t, u)} END")
+
+
 def generate_sequences(ids: DataFrame, id_col: str, spec: SequenceSpec = SequenceSpec(),
                        profile: Profile | None = None) -> DataFrame:
-    """``(seq_id, label, tokens)`` - one sequence per id of the input table."""
+    """``(seq_id, label, tokens)`` - one sequence per id of the input table.
+
+    Token at ``pos`` = number of cumulative thresholds of that position's table
+    that are <= the draw ``u``; the lookup is a balanced comparison tree over
+    the profile's thresholds (about log2(K) comparisons, no per-threshold lambda)."""
     profile = profile or Profile.neutral(spec)
     if profile.alphabet != spec.alphabet or profile.active != spec.active:
         raise ValueError("profile does not match the sequence spec")
-    K = spec.alphabet
-    cum = literal_array([c for row in profile.thresholds() for c in row], "bigint")
+    S, A = spec.start, spec.active
     base = ids.select(F.col(id_col).cast("bigint").alias("seq_id")).withColumn("label", label_draw(F.col("seq_id"), spec))
-    # One draw per position first (the hash is then read, not recomputed, by the CDF scan).
+    # One draw per position first (the hash is then read, not recomputed, by the lookup).
     draws = F.transform(F.sequence(F.lit(0), F.lit(spec.length - 1)), lambda i: hash32(spec.seed, F.col("seq_id"), i))
-    tokens = F.transform(F.col("_u"), lambda u, i: F.size(F.filter(
-        F.slice(cum, _table_index(i, F.col("label"), spec) * K + 1, K), lambda c: c <= u)).cast("int"))
+    # The emission table of each position, computed once per position (the lookup tree
+    # then only reads lambda variables).
+    table = (f"transform(sequence(0, {spec.length - 1}), i -> CASE WHEN i >= {S} AND i < {S + A} "
+             f"THEN (CASE WHEN label = 1 THEN i - {S} + 2 ELSE 1 END) ELSE 0 END)")
+    tables = profile.thresholds()
+    lookup = _inverse_cdf(tables, 0, len(tables) - 1, "t", "u")
+    tokens = F.expr(f"zip_with(_u, {table}, (u, t) -> CAST({lookup} AS INT))")
     return base.withColumn("_u", draws).withColumn("tokens", tokens).drop("_u")
 
 

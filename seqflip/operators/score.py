@@ -73,7 +73,7 @@ def input_gradient(df: DataFrame, keys: Sequence[str], model: LinearModel, token
     s = sigmoid(linear_logit(tokens, model), model)
     scored = df.select(*keys, F.col(tokens).alias("_t"), s.alias("_s"))
     cells = F.sequence(F.lit(0), F.size("_t") * K - 1)
-    return (scored.select(*keys, "_t", "_s", F.explode(cells).alias("_c"))
+    return (scored.select(*keys, "_t", "_s", F.explode_outer(cells).alias("_c")).where(F.col("_c").isNotNull())
             .select(*keys, (F.col("_c") / K).cast("int").alias("pos"), (F.col("_c") % K).alias("token"),
                     F.get(F.col("_t"), (F.col("_c") / K).cast("int")).alias("current_token"),
                     (F.col("_s") * F.get(W, F.col("_c")).cast("double") / model.scale).alias("grad")))

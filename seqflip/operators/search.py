@@ -25,6 +25,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,7 +124,10 @@ def greedy_search(df: DataFrame, model: LinearModel, spec: SequenceSpec = Sequen
 def change_log(state: DataFrame, keys: Sequence[str], model: LinearModel) -> DataFrame:
     """One row per change ``(keys..., change_num, position, prev_token, new_token, new_z, new_pred)``;
     ``change_num`` counts from 0."""
-    return (state.select(*keys, F.explode("log").alias("_e"))
+    # explode_outer + a filter above the generator: a plain explode makes the optimiser
+    # infer size(log) > 0 and push it - with the whole search expression - below the
+    # projection, evaluating the search twice.
+    return (state.select(*keys, F.explode_outer("log").alias("_e")).where(F.col("_e").isNotNull())
             .select(*keys, "_e.change_num", "_e.position", "_e.prev_token", "_e.new_token", "_e.new_z",
                     sigmoid(F.col("_e.new_z"), model).alias("new_pred")))
 
@@ -211,7 +215,7 @@ def search_loop(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], r
     spark = state.sparkSession
     if checkpoint:
         ensure_checkpoint_dir(spark)
-        state = state.checkpoint(eager=True)
+        state = _reliable_checkpoint(state)
     r = 0
     limit = rounds if rounds is not None else max_rounds
     while r < limit:
@@ -221,12 +225,23 @@ def search_loop(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], r
         t0 = time.time()
         state = step(state, r)
         if checkpoint:
-            state = state.checkpoint(eager=True)
+            state = _reliable_checkpoint(state)
         if on_round is not None:
             on_round(r, state, time.time() - t0)
     return state
 
 
+def _reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder once: a reliable checkpoint re-runs its
+    input after the triggering job, so the round is cached for that second pass
+    (spilling to disk if needed) and released right after."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+
+
 def initial_state(df: DataFrame, z: Column, pred: Callable[[Column], Column], log_sql_type: str,
                   tokens: str = "tokens") -> DataFrame:
     """P3 for the loop path: state columns from a logit expression."""

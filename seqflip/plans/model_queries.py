@@ -105,7 +105,7 @@ def q_mean_change_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: mean seconds per change; a round's time is shared by the changes it made
     (change ``k`` of a trajectory is made in round ``k + 1``)."""
     st, per_round = _timed_loop(spark, sf_dir)
-    changes = (st.select(F.explode("log").alias("e"))
+    changes = (st.select(F.explode_outer("log").alias("e")).where(F.col("e").isNotNull())
                .select((F.col("e.change_num") + 1).alias("round"))
                .join(F.broadcast(per_round), "round")
                .select((F.col("seconds") / F.col("changes")).alias("time_s")))

@@ -61,7 +61,10 @@ def change_log_text(log: str, pred) -> F.Column:
 
 def parse_change_log(df: DataFrame, keys: Sequence[str], text: str = "change_log") -> DataFrame:
     """Text log -> one typed row per change (blank lines dropped)."""
-    lines = df.select(*keys, F.explode(F.split(F.col(text), "\n")).alias("_l")).where(F.trim("_l") != "")
+    # explode_outer: no inferred non-empty filter is pushed (with the text's whole
+    # derivation) below the projection; blank and NULL lines are dropped above it.
+    lines = (df.select(*keys, F.explode_outer(F.split(F.col(text), "\n")).alias("_l"))
+             .where(F.col("_l").isNotNull() & (F.trim("_l") != "")))
     f = F.split("_l", ",")
     return lines.select(*keys,
                         F.get(f, 0).try_cast("int").alias("change_num"), F.get(f, 1).try_cast("int").alias("position"),
