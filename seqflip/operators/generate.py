@@ -174,3 +174,30 @@ def generator_error_rate(df: DataFrame, spec: SequenceSpec = SequenceSpec(), pro
     return scored.agg(F.count(F.lit(1)).alias("n"),
                       F.sum((F.col(label) != F.col("gen_pred")).cast("bigint")).alias("errors"),
                       F.avg((F.col(label) != F.col("gen_pred")).cast("double")).alias("error_rate"))
+
+
+def segment_frequencies(df: DataFrame, spec: SequenceSpec = SequenceSpec(), profile: Profile | None = None,
+                        tokens: str = "tokens", label: str = "label") -> DataFrame:
+    """G1/G2 check on data: per ``(label, segment, offset, token)`` the observed count and
+    share next to the profile's probability.  Background positions pool into one
+    table, label-0 active positions into ``state0``, label-1 active offsets stay apart.
+
+    One partial aggregation (at most ``2 * (2 + A) * K`` groups) and a broadcast of the
+    profile table, whose size is fixed by ``(2 + A) * K``."""
+    from pyspark.sql.window import Window
+
+    profile = profile or Profile.neutral(spec)
+    segs = position_segments(spec)
+    seg_arr = F.split(F.lit(",".join(seg for _, seg, _ in segs)), ",")
+    off_arr = literal_array([off for _, _, off in segs], "int")
+    long = (df.select(F.col(label).alias("label"), F.posexplode_outer(tokens).alias("pos", "token"))
+            .where(F.col("pos").isNotNull()))
+    in_active = F.get(seg_arr, F.col("pos")) == "active"
+    seg = (F.when(~in_active, F.lit("background")).when(F.col("label") == 1, F.lit("state1"))
+           .otherwise(F.lit("state0")))
+    offset = F.when(in_active & (F.col("label") == 1), F.get(off_arr, F.col("pos"))).otherwise(0)
+    counts = (long.groupBy("label", seg.alias("segment"), offset.cast("int").alias("offset"), "token")
+              .agg(F.count(F.lit(1)).alias("n")))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("label", "segment", "offset"))
+    return (counts.withColumn("share", share)
+            .join(F.broadcast(profile.to_df(df.sparkSession)), ["segment", "offset", "token"], "left"))

@@ -206,29 +206,36 @@ def search_loop(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], r
                 on_round: Callable[[int, DataFrame, float], None] | None = None) -> DataFrame:
     """P9/P10 driver: run ``step`` round after round until no row works (or ``rounds`` rounds).
 
-    Each round's table is checkpointed to the shared folder named by
-    ``spark.checkpoint.dir`` (reliable, survives lost executors), so no round is
-    ever recomputed and the plan does not grow with the round count.  The only
-    driver traffic per round is one existence probe for working rows.
-    ``on_round(r, state, seconds)`` sees each checkpointed round (e.g. to append
-    its changes to a log table)."""
-    spark = state.sparkSession
-    if checkpoint:
-        ensure_checkpoint_dir(spark)
-        state = _reliable_checkpoint(state)
+    Round ``r`` processes only the rows still working and is written once with a
+    reliable ``checkpoint()`` into the shared folder named by
+    ``spark.checkpoint.dir``; rows that finish in it stay in that checkpoint and
+    are never carried into later rounds.  So the cost of a round is proportional
+    to its working rows, the plan never grows, and a lost executor re-reads
+    checkpoint files instead of replaying rounds.  The only driver traffic per
+    round is one existence probe.  ``on_round(r, rows_of_round_r, seconds)`` sees
+    each checkpointed round (e.g. to append its changes to a log table).
+    ``checkpoint=False`` keeps everything in one growing plan (small inputs only)."""
+    if not checkpoint:
+        return _search_loop_in_memory(state, step, rounds, max_rounds, on_round)
+    ensure_checkpoint_dir(state.sparkSession)
+    columns = state.columns
+    state = _reliable_checkpoint(state)
+    finished = [state.where(~F.col("working"))]
+    current = state.where(F.col("working"))
     r = 0
     limit = rounds if rounds is not None else max_rounds
-    while r < limit:
-        if rounds is None and state.where("working").limit(1).count() == 0:
-            break
+    while r < limit and current.limit(1).count() > 0:
         r += 1
         t0 = time.time()
-        state = step(state, r)
-        if checkpoint:
-            state = _reliable_checkpoint(state)
+        out = _reliable_checkpoint(step(current, r))
+        finished.append(out.where(~F.col("working")))
+        current = out.where(F.col("working"))
         if on_round is not None:
-            on_round(r, state, time.time() - t0)
-    return state
+            on_round(r, out, time.time() - t0)
+    result = current
+    for part in finished:
+        result = result.unionByName(part)
+    return result.select(*columns)
 
 
 def _reliable_checkpoint(df: DataFrame) -> DataFrame:
@@ -242,6 +249,18 @@ def _reliable_checkpoint(df: DataFrame) -> DataFrame:
         df.unpersist()
 
 
+def _search_loop_in_memory(state, step, rounds, max_rounds, on_round):
+    r = 0
+    limit = rounds if rounds is not None else max_rounds
+    while r < limit and state.where("working").limit(1).count() > 0:
+        r += 1
+        t0 = time.time()
+        state = step(state, r)
+        if on_round is not None:
+            on_round(r, state, time.time() - t0)
+    return state
+
+
 def initial_state(df: DataFrame, z: Column, pred: Callable[[Column], Column], log_sql_type: str,
                   tokens: str = "tokens") -> DataFrame:
     """P3 for the loop path: state columns from a logit expression."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encode import tokens_to_csv
 from ..operators.edits import score_edits
-from ..operators.generate import Profile, generator_error_rate, generator_posterior
+from ..operators.generate import Profile, generator_error_rate, generator_posterior, segment_frequencies
 from ..operators.search import change_log, greedy_search
 from ..operators.train import accuracy_by_split, count_weight_table, split_counts
 from . import oracle as O
@@ -126,3 +126,31 @@ def q_score_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                      F.col("new_token").alias("token"))
     s = score_edits(si, edits, GEN_KEYS, model, SPEC, PROFILE)
     return s.select("seq_id", *[r6(c).alias(c) for c in ("model_before", "model_after", "gen_before", "gen_after")])
+
+
+def _profile_values() -> str:
+    rows = [("background", 0, t, p) for t, p in enumerate(PROFILE.background)]
+    rows += [("state0", 0, t, p) for t, p in enumerate(PROFILE.state0)]
+    rows += [("state1", j, t, p) for j, r in enumerate(PROFILE.state1) for t, p in enumerate(r)]
+    return ", ".join(f"('{s}', {o}, {t}, CAST({p!r} AS DOUBLE))" for s, o, t, p in rows)
+
+
+@register("segment_frequencies", GEN + f""",
+prof(segment, "offset", token, prob) AS (VALUES {_profile_values()}),
+seg AS (
+  SELECT label, token,
+         CASE WHEN pos < {SPEC.start} OR pos >= {SPEC.start + SPEC.active} THEN 'background'
+              WHEN label = 1 THEN 'state1' ELSE 'state0' END AS segment,
+         CAST(CASE WHEN pos >= {SPEC.start} AND pos < {SPEC.start + SPEC.active} AND label = 1
+                   THEN pos - {SPEC.start} ELSE 0 END AS INTEGER) AS "offset"
+  FROM gpos),
+cnt AS (SELECT label, segment, "offset", token, count(*) AS n FROM seg GROUP BY ALL)
+SELECT cnt.label, cnt.segment, cnt."offset" AS seg_offset, cnt.token, cnt.n,
+       round(CAST(cnt.n AS DOUBLE) / CAST(sum(cnt.n) OVER (PARTITION BY cnt.label, cnt.segment, cnt."offset") AS DOUBLE), 9) AS share,
+       prof.prob
+FROM cnt LEFT JOIN prof ON prof.segment = cnt.segment AND prof."offset" = cnt."offset" AND prof.token = cnt.token""")
+def q_segment_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 + G2 on data: observed token shares per segment next to the profile."""
+    f = segment_frequencies(generated(spark, sf_dir, SPEC, PROFILE), SPEC, PROFILE)
+    return f.select("label", "segment", F.col("offset").alias("seg_offset"), "token", "n",
+                    F.round("share", 9).alias("share"), "prob")
