@@ -203,7 +203,7 @@ def linear_round(state: DataFrame, model: LinearModel, spec: SequenceSpec, round
 
 def search_loop(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int | None = None,
                 max_rounds: int = 10_000, checkpoint: bool = True,
-                on_round: Callable[[int, DataFrame, float], None] | None = None) -> DataFrame:
+                on_round: Callable[[int, DataFrame, float], None] | None = None, chunk: int = 1) -> DataFrame:
     """P9/P10 driver: run ``step`` round after round until no row works (or ``rounds`` rounds).
 
     Round ``r`` processes only the rows still working and is written once with a
@@ -214,7 +214,16 @@ def search_loop(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], r
     checkpoint files instead of replaying rounds.  The only driver traffic per
     round is one existence probe.  ``on_round(r, rows_of_round_r, seconds)`` sees
     each checkpointed round (e.g. to append its changes to a log table).
-    ``checkpoint=False`` keeps everything in one growing plan (small inputs only)."""
+    ``checkpoint=False`` keeps everything in one growing plan (small inputs only).
+
+    ``chunk > 1`` chains that many rounds before each checkpoint.  The chained
+    rounds are map-only projections, so they run in one stage and the fixed cost
+    of a job, a checkpoint and a probe is paid once per chunk; rows that finish
+    inside a chunk pass the remaining rounds unchanged.  It needs a ``step`` that
+    keeps finished rows as they are and reads its input once (no union of
+    branches), and it is ignored when ``on_round`` must see every round."""
+    if on_round is not None or chunk < 1:
+        chunk = 1
     if not checkpoint:
         return _search_loop_in_memory(state, step, rounds, max_rounds, on_round)
     ensure_checkpoint_dir(state.sparkSession)
@@ -225,9 +234,12 @@ def search_loop(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], r
     r = 0
     limit = rounds if rounds is not None else max_rounds
     while r < limit and current.limit(1).count() > 0:
-        r += 1
         t0 = time.time()
-        out = _reliable_checkpoint(step(current, r))
+        out = current
+        for _ in range(min(chunk, limit - r)):
+            r += 1
+            out = step(out, r)
+        out = _reliable_checkpoint(out)
         finished.append(out.where(~F.col("working")))
         current = out.where(F.col("working"))
         if on_round is not None:
@@ -279,11 +291,12 @@ def initial_state(df: DataFrame, z: Column, pred: Callable[[Column], Column], lo
 
 def linear_search_loop(df: DataFrame, model: LinearModel, spec: SequenceSpec = SequenceSpec(),
                        tokens: str = "tokens", rounds: int | None = None, checkpoint: bool = True,
-                       on_round=None) -> DataFrame:
-    """P9/P10 loop path for a linear model (same result as :func:`greedy_search`)."""
+                       on_round=None, chunk: int = 4) -> DataFrame:
+    """P9/P10 loop path for a linear model (same result as :func:`greedy_search`);
+    ``chunk`` rounds run as one stage between checkpoints (see :func:`search_loop`)."""
     state = initial_state(df, linear_logit(tokens, model), lambda z: sigmoid(z, model), model.sql_type, tokens)
     return search_loop(state, lambda s, r: linear_round(s, model, spec, r), rounds=rounds,
-                       checkpoint=checkpoint, on_round=on_round)
+                       checkpoint=checkpoint, on_round=on_round, chunk=chunk)
 
 
 def round_changes(state: DataFrame, keys: Sequence[str], round_no: int,

@@ -58,12 +58,14 @@ def test_loop_path_equals_window_path(spark):
     w = tuple(rng.randrange(-4, 5) * 300_000 for _ in range(L * K))
     model = LinearModel(L, K, w, -2 * MICRO)
     cols = ["seq_id", "current_tokens", "current_z", "total_changes", "status", "working", "finish_round", "log"]
-    for rounds in (None, 3):
-        a = greedy_search(_frame(spark, seqs), model, spec, rounds=rounds).select(*cols).collect()
-        b = linear_search_loop(_frame(spark, seqs), model, spec, rounds=rounds).select(*cols).collect()
-        norm = lambda rows: sorted((r["seq_id"], r["current_tokens"], r["current_z"], r["total_changes"], r["status"],
-                                    r["working"], r["finish_round"], [tuple(e) for e in r["log"]]) for r in rows)
-        assert norm(a) == norm(b)
+    norm = lambda rows: sorted((r["seq_id"], r["current_tokens"], r["current_z"], r["total_changes"], r["status"],
+                                r["working"], r["finish_round"], [tuple(e) for e in r["log"]]) for r in rows)
+    for rounds in (None, 3, 5):
+        a = norm(greedy_search(_frame(spark, seqs), model, spec, rounds=rounds).select(*cols).collect())
+        # chunk=1: one checkpoint per round; chunk=4 chains rounds (3 and 5 end on a partial chunk)
+        for chunk in (1, 4):
+            b = linear_search_loop(_frame(spark, seqs), model, spec, rounds=rounds, chunk=chunk).select(*cols)
+            assert a == norm(b.collect()), (rounds, chunk)
 
 
 def test_properties_of_a_search(spark):
