@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents(doc_id, text)``, spread over the cores when the file is one split."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def labelled(spark: SparkSession, sf_dir: str, spec: SequenceSpec = SequenceSpec()) -> DataFrame:

@@ -19,7 +19,7 @@ GEN_KEYS = ("seq_id",)
 def generated(spark: SparkSession, sf_dir: str, spec: SequenceSpec = SequenceSpec(),
               profile: Profile | None = None) -> DataFrame:
     """``(seq_id, label, tokens, split)``, one sequence per order key."""
-    ids = spread(read_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    ids = spread(read_table(spark, sf_dir, "orders").select("o_orderkey"))
     return split_dataset(generate_sequences(ids, "o_orderkey", spec, profile), "seq_id", spec)
 
 

@@ -9,17 +9,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that arrives in fewer splits than the cluster has cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that arrives in fewer splits than the cluster has cores.
 
     A single-row-group file is one split, so all of its (CPU-heavy) rows would
     be tokenised by one task.  Large inputs already have at least one split
-    per core and pass through untouched - no shuffle is added at scale."""
+    per core and pass through untouched - no shuffle is added at scale.  The
+    spread is round-robin, not by a key, so no key can make one task hot; Spark
+    sorts each input split before a round-robin repartition, so a retried task
+    sends every row to the same place again."""
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target, key)
+    return df.repartition(target)
 
 
 def save_linear_model(model, spark: SparkSession, path: str) -> None:
