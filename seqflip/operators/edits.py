@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 
 
 def apply_edits(df: DataFrame, edits: DataFrame, keys: Sequence[str], tokens: str = "tokens",
-                out: str = "edited_tokens") -> DataFrame:
+                out: str = "edited_tokens", length: int | None = None) -> DataFrame:
     """Apply ``edits(keys..., pos, token)`` to the sequences.
 
     Several edits of one position resolve to the largest token (deterministic).
-    Edits are first reduced per ``(keys, pos)`` (map-side partial aggregation),
-    then gathered per sequence - at most L entries per group whatever the skew -
-    and joined to the sequences once; the replacement itself is in-row."""
+    Edits outside ``[0, length)`` cannot change a sequence and are dropped before
+    any shuffle.  The rest are reduced per ``(keys, pos)`` (map-side partial
+    aggregation), then gathered per sequence - at most ``length`` entries per group
+    however many edits one key has - and joined to the sequences once; the
+    replacement itself is in-row.  Pass ``length`` (the sequence length L) for that
+    bound; without it only negative positions are dropped."""
     keys = list(keys)
-    per_pos = edits.groupBy(*keys, "pos").agg(F.max("token").alias("token"))
+    valid = F.col("pos") >= 0
+    if length is not None:
+        valid = valid & (F.col("pos") < length)
+    per_pos = edits.where(valid).groupBy(*keys, "pos").agg(F.max("token").alias("token"))
     per_seq = per_pos.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("_edits"))
     joined = df.join(per_seq, keys, "left")
     edited = F.transform(F.col(tokens), lambda t, i: F.coalesce(F.try_element_at(F.col("_edits"), i), t))
@@ -30,7 +36,7 @@ def score_edits(df: DataFrame, edits: DataFrame, keys: Sequence[str], model, spe
     from .generate import posterior_logit
     from .score import linear_logit, sigmoid
 
-    e = apply_edits(df, edits, keys, tokens, out="_after")
+    e = apply_edits(df, edits, keys, tokens, out="_after", length=spec.length)
 
     def gen(c):
         return 1.0 / (1.0 + F.exp(-posterior_logit(c, spec, profile)))

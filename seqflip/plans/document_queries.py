@@ -234,7 +234,7 @@ def q_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     si = search_input(spark, sf_dir, SPEC)
     edits = change_log(greedy_search(si, model, SPEC), KEYS, model).select(
         *KEYS, F.col("position").alias("pos"), F.col("new_token").alias("token"))
-    return apply_edits(si, edits, KEYS).select(*KEYS, tokens_to_csv("edited_tokens").alias("tokens"))
+    return apply_edits(si, edits, KEYS, length=SPEC.length).select(*KEYS, tokens_to_csv("edited_tokens").alias("tokens"))
 
 
 # --- metrics ----------------------------------------------------------------------------------
