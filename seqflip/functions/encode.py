@@ -78,10 +78,15 @@ def to_long(df: DataFrame, keys: Sequence[str], tokens: str = "tokens") -> DataF
     return df.select(*keys, F.posexplode_outer(tokens).alias("pos", "token"))
 
 
-def to_array(long_df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Long form -> array form; one shuffle on the keys, positions re-ordered.
-
-    Groups are sequences, so each holds at most L rows."""
-    return (long_df.groupBy(*keys)
+def to_array(long_df: DataFrame, keys: Sequence[str], length: int) -> DataFrame:
+    """Long form -> array form; positions re-ordered.
+
+    Positions outside ``[0, length)`` are dropped and repeated ``(keys, pos)`` rows
+    reduce to their largest token map-side, so each gathered group holds at most
+    ``length`` entries however many rows one key has; one shuffle on the keys."""
+    pos = F.col("pos")
+    per_pos = (long_df.where((pos >= 0) & (pos < length))
+               .groupBy(*keys, "pos").agg(F.max("token").alias("token")))
+    return (per_pos.groupBy(*keys)
             .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_pt"))
             .select(*keys, F.col("_pt.token").alias("tokens")))

@@ -69,3 +69,10 @@ def test_result_csv_keeps_multiline_logs(spark):
     assert got == {1: rows[0][2], 2: ""}
     parsed = parse_change_log(back, ["seq_id"]).orderBy("change_num").collect()
     assert [(r["change_num"], r["position"], r["new_pred"]) for r in parsed] == [(0, 3, 0.5), (1, 4, 0.91)]
+
+
+def test_long_form_round_trip(spark):
+    from seqflip.functions.encode import to_array, to_long
+    df = _seqs(spark, n=20, L=12, K=5)
+    back = to_array(to_long(df, ["seq_id"]), ["seq_id"], 12)
+    assert sorted(back.collect()) == sorted(df.select("seq_id", "tokens").collect())
