@@ -76,3 +76,15 @@ def test_long_form_round_trip(spark):
     df = _seqs(spark, n=20, L=12, K=5)
     back = to_array(to_long(df, ["seq_id"]), ["seq_id"], 12)
     assert sorted(back.collect()) == sorted(df.select("seq_id", "tokens").collect())
+
+
+def test_spread_is_round_robin_and_only_for_few_splits(spark):
+    from seqflip.sources.tables import spread
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(1000).coalesce(1)
+    s = spread(one)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert s.rdd.getNumPartitions() == cores and "RoundRobinPartitioning" in plan
+    assert sorted(r[0] for r in s.collect()) == list(range(1000))
+    many = spark.range(0, 1000, 1, cores)
+    assert spread(many) is many
