@@ -1,0 +1,65 @@
+"""Pair-index BPE against the tokenizers library."""
+
+import hashlib
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from seqflip.llm.bpe import Encoder, decode, decode_ids, encode, encoded_digests
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIB = Tokenizer.from_file(PATH)
+OURS = Encoder(PATH)
+HARD = ["", " ", "  a  b\n\n\tc ", "aaaaaaaaaaa", "it's we'LL 've", "été 你好 \U0001f600\U0001f600", "a\x1cb\x1f c\x85d​e　 f",
+        "x<|endoftext|>y<|endoftext|>", "<|endoftext", "--------====....", "1234567 89", "\r\n\r\n x", "tab\tt" * 50, "z" * 5000]
+
+
+def check(texts):
+    ids, offsets = OURS.encode(texts)
+    for k, t in enumerate(texts):
+        assert ids[offsets[k]:offsets[k + 1]].tolist() == LIB.encode(t, add_special_tokens=False).ids, repr(t)
+    assert decode_ids(OURS.vocab, ids, offsets) == [LIB.decode(LIB.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for t in texts]
+
+
+def test_hard_cases():
+    check(HARD)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("  \n\taeiou'strl<|>")), max_size=60), max_size=4))
+def test_any_text(texts):
+    check(texts)
+
+
+def test_memo_reset_changes_nothing():
+    small = Encoder(PATH, memo_limit=2)
+    for _ in range(2):
+        for t in HARD:
+            ids, _o = small.encode([t])
+            assert ids.tolist() == LIB.encode(t, add_special_tokens=False).ids
+
+
+def test_query_digests_on_the_smallest_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in encoded_digests(docs, PATH).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        ids = LIB.encode(r.text, add_special_tokens=False).ids
+        assert got[r.doc_id].n_tokens == len(ids)
+        assert got[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[r.doc_id].decoded_sha256 == hashlib.sha256(LIB.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_nulls_repeats_extra_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, None, "p"), (1, None, "p"), (None, "a b", None), (2, "", "q")], "doc_id long, text string, Decoded string")
+    out = encode(df, PATH)
+    assert [r.ids for r in out.collect()] == [[], [], LIB.encode("a b").ids, []]
+    assert decode(out, PATH, out="back").filter("back <> coalesce(text, '')").count() == 0
+    with pytest.raises(ValueError):
+        decode(out, PATH)
+    assert encode(df.limit(0), PATH).count() == 0
+    assert decode(spark.createDataFrame([(None,)], "ids array<int>"), PATH).first().decoded == ""
