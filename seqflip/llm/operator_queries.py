@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .quality import QUALITY_SQL, quality_rules
 from .queries import register
 
 SHARDS = 40
@@ -31,3 +32,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encoded_digests
 
     return encoded_digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@register("op2_quality_rules", QUALITY_SQL)
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the ``source`` of each document."""
+    return quality_rules(table(spark, sf_dir, "documents")).drop("removed_lines")
+
+
+@register("op1_warc")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no capture time; page_id counts the seconds from 2020-01-01."""
+    from .warc import capture_history
+
+    pages = table(spark, sf_dir, "pages").withColumn("captured", F.timestamp_seconds(F.lit(1_577_836_800) + F.col("page_id")))
+    history = capture_history(pages, "page_id", "url", "captured", "html")
+    return history.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey")
