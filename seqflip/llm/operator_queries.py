@@ -65,3 +65,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import attribute_tokens
 
     return attribute_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op8_minhash_near_dedup")
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, similarity 0.85."""
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("stays")
