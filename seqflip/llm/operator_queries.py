@@ -73,3 +73,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("stays")
+
+
+@register("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more, five-word shingles, similarity 0.8: pairs of a document and the document whose
+    passage it repeats, with the words of both."""
+    from .passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).withColumnRenamed("source", "source_doc_id")
