@@ -82,3 +82,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents")).withColumnRenamed("source", "source_doc_id")
+
+
+@register("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"))
