@@ -89,3 +89,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_model import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"))
+
+
+@register("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every item of the benchmark."""
+    from .decontamination import benchmark_leaks
+
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("answer", "answer_share")
