@@ -11,7 +11,7 @@ is emptied beyond a fixed size without changing any result.
 
 Defined cases: a null text encodes like the empty text (no ids); null ids decode to the empty text; repeated rows
 are encoded alike; very long texts are processed whole; an empty table gives an empty result; all other columns
-pass through, and an output name that is already taken raises ValueError.
+pass through, but a column that has the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -227,8 +227,51 @@ def decode_ids(vocab: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[
     return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
-def _append(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
+def _append(batch: pa.RecordBatch, others: list[str], name: str, values: pa.Array) -> pa.RecordBatch:
+    kept = [batch.column(batch.schema.get_field_index(c)) for c in others]
+    return pa.RecordBatch.from_arrays([*kept, values], names=[*others, name])
+
+
+def _others(df: DataFrame, out: str) -> list[str]:
+    return [c for c in df.columns if c.lower() != out.lower()]
+
+
+def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, offsets): the ids of text k are ``ids[offsets[k]:offsets[k + 1]]``."""
+        if len(self.number) > self.memo_limit:
+            self.forget()
+        number, new, flat, sizes = self.number, [], [], []
+        for text in texts:
+            found = self.pieces(text)
+            sizes.append(len(found))
+            for p in found:
+                k = number.get(p)
+                if k is None:
+                    k = number[p] = len(number)
+                    new.append(p)
+                flat.append(k)
+        if new:
+            self.learn(new)
+        piece = np.array(flat, np.int64)
+        lengths = self.starts[piece + 1] - self.starts[piece]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        take = np.repeat(self.starts[piece] - ends[:-1], lengths) + np.arange(ends[-1])
+        return self.ids[take], ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)]
+
+
+def decode_ids(vocab: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+    """Texts of many id lists laid end to end; invalid UTF-8 becomes U+FFFD."""
+    ids = ids.astype(np.int64)
+    lengths = vocab.starts[ids + 1] - vocab.starts[ids]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    take = np.repeat(vocab.starts[ids] - ends[:-1], lengths) + np.arange(ends[-1])
+    data, cuts = vocab.all_bytes[take].tobytes(), ends[offsets].tolist()
+    return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+
+
+def _append(batch: pa.RecordBatch, others: list[str], name: str, values: pa.Array) -> pa.RecordBatch:
+    kept = [batch.column(batch.schema.get_field_index(c)) for c in others]
+    return pa.RecordBatch.from_arrays([*kept, values], names=[*others, name])
 
 
 def _free(df: DataFrame, name: str) -> None:
@@ -238,8 +281,8 @@ def _free(df: DataFrame, name: str) -> None:
 
 def encode(df: DataFrame, vocab_path: str, text: str = "text", out: str = "ids", block_bytes: int = 4 << 20) -> DataFrame:
     """Add ``out``, the ids (array of int) of the whole text."""
-    _free(df, out)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    others = _others(df, out)
+    schema = T.StructType([*[df.schema[c] for c in others], T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocab_path)
@@ -247,15 +290,15 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", out: str = "ids",
             for b in row_slices(whole, text, block_bytes):
                 texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
                 ids, offsets = encoder.encode(texts)
-                yield _append(b, out, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
+                yield _append(b, others, out, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
 
     return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocab_path: str, ids: str = "ids", out: str = "decoded", block_bytes: int = 4 << 20) -> DataFrame:
     """Add ``out``, the text that the ids stand for."""
-    _free(df, out)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType(), False)])
+    others = _others(df, out)
+    schema = T.StructType([*[df.schema[c] for c in others], T.StructField(out, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
@@ -269,7 +312,7 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", out: str = "decoded
             for k in _blocks(offsets, block_bytes // 4):
                 a, z = offsets[k.start], offsets[k.stop]
                 texts += decode_ids(vocab, flat[a:z], offsets[k.start:k.stop + 1] - a)
-            yield _append(b, out, pa.array(texts, pa.string()))
+            yield _append(b, others, out, pa.array(texts, pa.string()))
 
     return df.mapInArrow(run, schema)
 

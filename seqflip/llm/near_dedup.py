@@ -11,8 +11,9 @@
 
 The threshold is the largest one that a pair at the similarity limit misses with a chance below ``MISS``.
 
-Large groups of near copies: a posting list is first joined as a star around its most central member, which needs a
-pair for each posting and not for each pair of postings, and the links found are contracted to components.  Then only
+Large groups of near copies: a posting list is first joined as a star around its most central member (the one with the
+smallest share of shingles that no other has), which needs a pair for each posting and not for each pair of postings, and
+the links found are contracted to components.  Then only
 pairs between different components can still matter.  They are taken from the lists that hold two components or
 more, between members outside a list's largest component and the rest of it, and only where the shingles that a class
 shares with any other leave room for the limit (sizes and shared counts are exact bounds).  No list is capped and no
@@ -39,6 +40,8 @@ from .common import WordHash, forget, mix, row_slices, shingle_hashes, stored
 from .components import connected_components
 
 N_COORDINATES = 32
+#: Parts of the hash space in which the shingles of a class are counted.
+PARTS = 64
 #: Chance that a pair at the similarity limit has fewer matches than the threshold.
 MISS = 1e-7
 
@@ -148,29 +151,52 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
             .select("a", "b"))
 
 
-def star_pairs(prefixes: DataFrame) -> DataFrame:
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """(c, n, shared, parts): the shingles of a class, those that another class has too, and the latter counted by parts of
+    the hash space."""
+    part = lambda s: F.pmod(s, F.lit(PARTS)).cast("int")
+    alone = (sets.select("c", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("c").alias("c"))
+             .filter("n = 1").groupBy("c").agg(F.collect_list(part(F.col("s"))).alias("own")))
+    none = F.array().cast("array<int>")
+    all_parts = F.transform("shingles", part)
+    rows = sets.join(alone, "c", "left").select("c", F.size("shingles").alias("n"), all_parts.alias("all"), F.coalesce("own", none).alias("own"))
+    count = lambda xs, i: F.size(F.filter(xs, lambda x: x == i))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: count(F.col("all"), i) - count(F.col("own"), i))
+    return rows.select("c", "n", (F.col("n") - F.size("own")).alias("shared"), parts.alias("parts"))
+
+
+def live_postings(prefixes: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The postings of the classes that share enough shingles with others to link at all, with ``n``, ``shared`` and
+    ``central``, which is greatest for the member with the smallest share of shingles of its own."""
+    return (prefixes.join(sizes, "c").filter(F.col("shared") * 100 >= F.col("n") * percent)
+            .withColumn("central", F.struct((F.col("shared") / F.col("n")).alias("s"), "score", "c")).drop("score"))
+
+
+def star_pairs(live: DataFrame) -> DataFrame:
     """Each member of a posting list with the list's most central member."""
-    centres = prefixes.groupBy("posting").agg(F.max(F.struct("score", "c")).alias("x")).select("posting", F.col("x.c").alias("centre"))
-    return (prefixes.join(centres, "posting").filter("c <> centre")
+    centres = live.groupBy("posting").agg(F.max("central").alias("x")).select("posting", F.col("x.c").alias("centre"))
+    return (live.join(centres, "posting").filter("c <> centre")
             .select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct())
 
 
-def remaining_pairs(prefixes: DataFrame, components: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def remaining_pairs(live: DataFrame, components: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs of one posting list in different components that can still reach the limit.
 
-    ``sizes``: (c, n, shared), the size of a set and how many of its shingles any other class has.  A pair has at
-    most min(shared) shingles in common, so n(a) + n(b) <= min(shared) * (100 + percent) / percent."""
-    known = (prefixes.select("posting", "c").join(sizes, "c").filter(F.col("shared") * 100 >= F.col("n") * percent)
-             .join(components.withColumnRenamed("node", "c"), "c", "left")
+    Of its ``n`` shingles a class has ``shared`` with any other.  A pair has at most min(shared) shingles in common, so
+    n(a) + n(b) <= min(shared) * (100 + percent) / percent; the same holds for the sum of the minima over any parts of the
+    hash space, which tells apart members that differ from the group in different places."""
+    known = (live.join(components.withColumnRenamed("node", "c"), "c", "left")
              .select("posting", "c", F.coalesce("component", "c").alias("k"), "n",
                      (F.floor(F.col("shared") * (100 + percent) / F.lit(percent)) - F.col("n")).alias("room")))
     per = known.groupBy("posting", "k").agg(F.count("*").alias("members"))
     main = (per.groupBy("posting").agg(F.count("*").alias("ks"), F.max(F.struct("members", "k")).alias("x"))
             .filter("ks > 1").select("posting", F.col("x.k").alias("main")))
-    mixed = stored(known.join(main, "posting"), "mixed")
+    mixed = stored(known.join(main, "posting").join(sizes.select("c", "parts"), "c"), "mixed")
     few, rest = mixed.filter("k <> main").alias("x"), mixed.alias("y")
+    most = F.aggregate(F.zip_with("x.parts", "y.parts", lambda p, q: F.least(p, q)), F.lit(0), lambda total, p: total + p)
     fits = ((F.col("x.k") != F.col("y.k")) & (F.col("y.n") <= F.col("x.room")) & (F.col("x.n") <= F.col("y.room"))
-            & (100 * F.col("y.n") >= percent * F.col("x.n")) & (100 * F.col("x.n") >= percent * F.col("y.n")))
+            & (100 * F.col("y.n") >= percent * F.col("x.n")) & (100 * F.col("x.n") >= percent * F.col("y.n"))
+            & ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))))
     return (few.join(rest, (F.col("x.posting") == F.col("y.posting")) & fits)
             .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct())
 
@@ -182,6 +208,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     ``component_id`` is the smallest key reachable over links of ``percent`` similarity or more; ``kept`` says that the
     row has that key; ``stays`` is true for exactly one row of each component.  ``df`` is read twice (signatures, and
     the sets of the classes in question)."""
+    out = judged_rows(df, key, text, width, percent, n_coordinates)
+    return out.select(F.col("key").alias(key), "n_shingles", "component_id", "kept", "stays")
+
+
+def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df``, with all their columns, that stay: one of each component."""
+    judged = judged_rows(df, key, text, width, percent, N_COORDINATES)
+    # Rows of equal key and text belong to one component; only there a choice between equal rows is left.
+    staying = judged.groupBy("key", "text_id").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).filter("stays")
+    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    rows = df.select(F.struct("*").alias("r"), F.col(key).alias("k"), digest.alias("d")).join(
+        staying, F.col("k").eqNullSafe(F.col("key")) & (F.col("d") == F.col("text_id"))).select("r", "k", "d", "n")
+    many = rows.filter("n > 1").dropDuplicates(["k", "d"])
+    return rows.filter("n = 1").unionByName(many).select("r.*")
+
+
+def judged_rows(df: DataFrame, key: str, text: str, width: int, percent: int, n_coordinates: int) -> DataFrame:
+    """``near_duplicates`` with the key as ``key``, and ``text_id``."""
     threshold = match_threshold(n_coordinates, percent)
     rows = stored(document_signatures(df, key, text, width, n_coordinates).withColumn("row", F.monotonically_increasing_id()), "signatures")
     full = rows.filter("set_key IS NOT NULL")
@@ -191,20 +235,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     wanted = classes.join(prefixes.select("c").distinct(), "c", "left_semi").select("c", "key", "text_id")
     sets = stored(class_sets(df, key, text, wanted, width), "sets")
 
-    links = stored(confirmed(star_pairs(prefixes), classes, sets, threshold, percent), "links")
+    sizes = stored(shared_counts(sets), "sizes")
+    live = stored(live_postings(prefixes, sizes.drop("parts"), percent), "live")
+    links = stored(confirmed(star_pairs(live), classes, sets, threshold, percent), "links")
     first = stored(connected_components(links), "components")
-    alone = (sets.select("c", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("c").alias("c"))
-             .filter("n = 1").groupBy("c").agg(F.count("*").alias("own")))
-    sizes = (sets.select("c", F.size("shingles").alias("n")).join(alone, "c", "left")
-             .select("c", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")))
-    more = stored(confirmed(remaining_pairs(prefixes, first, sizes, percent), classes, sets, threshold, percent), "links")
+    more = stored(confirmed(remaining_pairs(live, first, sizes, percent), classes, sets, threshold, percent), "links")
     components = stored(connected_components(links.unionByName(more)), "components") if more.take(1) else first
 
     named = (rows.join(of_set, "set_key", "left").join(components.withColumnRenamed("node", "c"), "c", "left")
              .withColumn("k", F.coalesce("component", "c", "row")))
-    named = stored(named.select("row", "key", "n_shingles", "k"), "named")
+    named = stored(named.select("row", "key", "text_id", "n_shingles", "k"), "named")
     names = named.groupBy("k").agg(F.min("key").alias("component_id"))
     kept = F.coalesce(F.col("key") == F.col("component_id"), F.col("key").isNull() & F.col("component_id").isNull())
     out = named.join(names, "k").withColumn("kept", kept)
     stay = out.filter("kept").groupBy("k").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("stays"))
-    return (out.join(stay, "row", "left").select(F.col("key").alias(key), "n_shingles", "component_id", "kept", F.coalesce("stays", F.lit(False)).alias("stays")))
+    return out.join(stay, "row", "left").select("key", "text_id", "n_shingles", "component_id", "kept", F.coalesce("stays", F.lit(False)).alias("stays"))

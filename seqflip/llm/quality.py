@@ -13,8 +13,8 @@ of all rows is summed before it moves.  The join of lines with the frequent ones
 execution splits where a line is hot; verdicts join back on a unique row number.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; null and
-repeated keys and repeated rows each keep a row of their own; columns carried along must not clash with the names
-made here (ValueError); an empty table gives an empty result.
+repeated keys and repeated rows each keep a row of their own; other columns are dropped, or come along inside one
+struct whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -125,17 +125,16 @@ def frequent_lines(lines: DataFrame, max_docs: int, max_share: float) -> DataFra
     return (busy.join(hosts, "_host").filter(F.col("docs") > max_share * F.col("host_docs")).select("_host", "h"))
 
 
-def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", carry: Sequence[str] = (),
+def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", with_row: bool = False,
                   max_docs: int = MAX_LINE_DOCS, max_share: float = MAX_LINE_SHARE,
                   min_left: float = MIN_SHARE_LEFT) -> DataFrame:
-    """(key, ``carry``, measures, removed_lines, n_words_left, base_failed, kept) of every row.
+    """(key, measures, removed_lines, n_words_left, base_failed, kept) of every row, and ``row``, a struct of all its
+    columns, if asked for.
 
     ``removed_lines`` has the numbers of the lines (split at newlines, from 0) above the limits."""
-    made = [*MEASURES, "removed_lines", "n_words_left", "base_failed", "kept"]
-    keep = list(dict.fromkeys([key, *carry]))
-    if clash := {c.lower() for c in keep} & set(made):
-        raise ValueError(f"columns {sorted(clash)} clash with results")
-    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"),
+    keep = ["_key", *(["_source"] if with_row else [])]
+    source = df.select(F.col(key).alias("_key"), *([F.struct("*").alias("_source")] if with_row else []),
+                       F.coalesce(F.col(text), F.lit("")).alias("_text"),
                        # a null host must not meet an empty one
                        F.when(F.col(host).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(host).cast("string"))).alias("_host"))
     docs = stored(document_measures(source, "_text", [*keep, "_host"]).withColumn("_row", F.monotonically_increasing_id()), "measures")
@@ -147,7 +146,7 @@ def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host:
     left = F.col("n_words") - F.coalesce("_words", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.select(
-        *keep, *MEASURES, F.sort_array(F.coalesce("_n", F.array().cast("array<int>"))).alias("removed_lines"),
+        F.col("_key").alias(key), *([F.col("_source").alias("row")] if with_row else []), *MEASURES, F.sort_array(F.coalesce("_n", F.array().cast("array<int>"))).alias("removed_lines"),
         left.cast("long").alias("n_words_left"), failed.alias("base_failed"),
         (~failed & (left >= min_left * F.col("n_words"))).alias("kept"))
 

@@ -41,16 +41,14 @@ def test_boilerplate_depletion_and_copies(spark):
     assert all(got[200 + i].removed_lines == [] and got[200 + i].kept for i in range(50))  # copies are one document
     assert got[300].removed_lines == [] and got[300].kept
     assert got[301].n_words == 0 and got[301].base_failed and not got[301].kept and not got[302].kept
-    out = quality_rules(docs(spark, rows), carry=["text"]).filter("doc_id = 3").select(without_lines("text", "removed_lines")).first()[0]
+    out = quality_rules(docs(spark, rows, "kept string"), with_row=True).filter("doc_id = 3").select(without_lines("row.text", "removed_lines")).first()[0]
     assert out == rows[3][1].split("\n")[0]
 
 
 def test_repeats_clashes_and_empty(spark):
     df = docs(spark, [(1, GOOD, "h", "p"), (1, GOOD, "h", "p"), (None, GOOD, None, None)])
-    assert quality_rules(df, carry=["x"]).count() == 3
+    assert [r.row.kept for r in quality_rules(df.withColumnRenamed("x", "kept"), with_row=True).collect()] == ["p", "p", None]
     assert quality_rules(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        quality_rules(df.withColumnRenamed("x", "Kept"), carry=["Kept"])
 
 
 def test_long_text(spark):
