@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import TWO32, hash32
-from ..spec import SequenceSpec
+from ..spec import MICRO, SequenceSpec
 from .model import literal_array
 
 
@@ -201,3 +201,37 @@ def segment_frequencies(df: DataFrame, spec: SequenceSpec = SequenceSpec(), prof
     share = F.col("n") / F.sum("n").over(Window.partitionBy("label", "segment", "offset"))
     return (counts.withColumn("share", share)
             .join(F.broadcast(profile.to_df(df.sparkSession)), ["segment", "offset", "token"], "left"))
+
+
+def fit_posterior(train: DataFrame, spec: SequenceSpec = SequenceSpec(), tokens: str = "tokens", label: str = "label"):
+    """G4 fitted to data: the class posterior of the segment model as a linear model.
+
+    Outside the active segment both classes share the background, so those weights are 0.  At active offset ``j`` class
+    1 has a table of its own and class 0 one table for all offsets::
+
+        w = round(1e6 * (ln((n1[j, t] + 1) / (t1 + K)) - ln((n0[t] + 1) / (n0 + K))))
+
+    One aggregation; ``L * K`` rows reach the driver."""
+    from .model import LinearModel
+    from .train import count_weight_table
+
+    K, active = spec.alphabet, range(spec.start, spec.start + spec.active)
+    cells = {(r["pos"], r["token"]): r for r in count_weight_table(train, spec, tokens, label).collect()}
+    first = next(iter(cells.values()), None)
+    if first is None or first["bias"] is None:
+        raise ValueError("training data needs sequences of both classes")
+    pooled = [sum(cells[i, t]["n0"] for i in active) for t in range(K)]
+    total = sum(pooled)
+
+    def w(i: int, t: int) -> int:
+        if i not in active:
+            return 0
+        c = cells[i, t]
+        return _half_up(MICRO * (math.log((c["n1"] + 1) / (c["t1"] + K)) - math.log((pooled[t] + 1) / (total + K))))
+
+    return LinearModel(spec.length, K, tuple(w(i, t) for i in range(spec.length) for t in range(K)), int(first["bias"]))
+
+
+def _half_up(x: float) -> int:
+    """Round to the nearest integer, halves away from zero (as SQL does)."""
+    return int(math.copysign(math.floor(abs(x) + 0.5), x))

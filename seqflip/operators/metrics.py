@@ -23,7 +23,7 @@ def mean_change_time(changes: DataFrame, time_col: str = "time_s") -> DataFrame:
 
 def mean_trajectory_time(state: DataFrame, start: str = "start_ts", finish: str = "finish_ts") -> DataFrame:
     """M4: mean ``finish - start`` in minutes over finished trajectories."""
-    secs = F.unix_micros(F.col(finish)) - F.unix_micros(F.col(start))
+    secs = F.unix_micros(F.col(finish).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))
     return state.where(F.col(finish).isNotNull()).agg(
         (F.avg(secs) / 60e6).alias("mean_trajectory_min"), F.count(F.lit(1)).alias("finished"))
 

@@ -15,12 +15,10 @@ def filter_label(df: DataFrame, label: int = 0, col: str = "label") -> DataFrame
     return df.where(F.col(col) == label).drop(col)
 
 
-def assign_id(df: DataFrame, col: str = "seq_id") -> DataFrame:
-    """A unique 64-bit id per row, map-only.
-
-    The value depends on the input partitioning, so prefer a natural key
-    wherever the source has one (never use it in a compared result)."""
-    return df.withColumn(col, F.monotonically_increasing_id())
+def assign_id(df: DataFrame, keys: Sequence[str], col: str = "seq_id") -> DataFrame:
+    """A stable id per row, map-only: the MD5 of its natural key.  It depends neither on the
+    partitioning nor on a task's retry; rows of equal keys share an id."""
+    return df.withColumn(col, F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])))
 
 
 def sample_head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -41,10 +39,9 @@ def validate_sequences(df: DataFrame, spec: SequenceSpec = SequenceSpec(), token
     """Split into ``(valid, quarantine)``; ``mode='raise_error'`` fails the job instead."""
     checked = df.withColumn("_reason", validity(tokens, spec))
     if mode == "raise_error":
-        checked = checked.withColumn("_reason", F.when(F.col("_reason").isNotNull(),
-                                                       F.raise_error(F.concat(F.lit("invalid sequence: "),
-                                                                              F.col("_reason")))))
-        return checked.drop("_reason"), df.limit(0)
+        # A filter, because a column that is dropped would never be computed.
+        stop = F.raise_error(F.concat(F.lit("invalid sequence: "), F.col("_reason"))).cast("boolean")
+        return checked.where(F.when(F.col("_reason").isNotNull(), stop).otherwise(True)).drop("_reason"), df.limit(0)
     if mode != "quarantine":
         raise ValueError("mode is 'quarantine' or 'raise_error'")
     valid = checked.where(F.col("_reason").isNull()).drop("_reason")
@@ -52,8 +49,9 @@ def validate_sequences(df: DataFrame, spec: SequenceSpec = SequenceSpec(), token
     return valid, quarantine
 
 
-def repartition_cache(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Hash-partition by the sequence key and keep it in memory for repeated passes."""
+def repartition_cache(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """Hash-partition by the whole sequence key (one document can hold a third of all windows, its windows then go to
+    many tasks) and keep it in memory for repeated passes; the caller releases it with ``unpersist``."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).persist()
+    return df.repartition(n, *keys).persist()

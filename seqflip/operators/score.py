@@ -77,19 +77,3 @@ def input_gradient(df: DataFrame, keys: Sequence[str], model: LinearModel, token
             .select(*keys, (F.col("_c") / K).cast("int").alias("pos"), (F.col("_c") % K).alias("token"),
                     F.get(F.col("_t"), (F.col("_c") / K).cast("int")).alias("current_token"),
                     (F.col("_s") * F.get(W, F.col("_c")).cast("double") / model.scale).alias("grad")))
-
-
-def gradient_summary(df: DataFrame, keys: Sequence[str], model: LinearModel, tokens: str = "tokens") -> DataFrame:
-    """P4, per position: gradient at the current token and the best token's gradient.
-
-    The arg-max over tokens is the lowest token with the largest weight, so it
-    is a property of the model and needs no per-row search."""
-    K = model.alphabet
-    W, WB, TB = model.weight_array(), model.best_weight_array(), model.best_token_array()
-    s = sigmoid(linear_logit(tokens, model), model)
-    return (df.select(*keys, s.alias("_s"), F.posexplode_outer(tokens).alias("pos", "token"))
-            .select(*keys, "pos", "token",
-                    (F.col("_s") * F.get(W, F.col("pos") * K + F.col("token")).cast("double") / model.scale)
-                    .alias("grad_current"),
-                    F.get(TB, F.col("pos")).alias("best_token"),
-                    (F.col("_s") * F.get(WB, F.col("pos")).cast("double") / model.scale).alias("grad_best")))

@@ -25,17 +25,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import ensure_checkpoint_dir
+from ..session import remove_path, scratch_path
 from ..spec import SequenceSpec
 from .model import LinearModel
 from .score import linear_logit, sigmoid
 
-STATUSES = ("reached", "capped", "stuck", "working")
 
 
 def log_type(model_sql_type: str) -> str:
@@ -132,8 +130,9 @@ def change_log(state: DataFrame, keys: Sequence[str], model: LinearModel) -> Dat
                     sigmoid(F.col("_e.new_z"), model).alias("new_pred")))
 
 
-def working_count(state: DataFrame) -> DataFrame:
-    """Rows still working after each round ``r = 0 .. last finishing round``.
+def working_count(state: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Rows still working after each round ``r = 0 .. rounds`` (the rounds that were run; without
+    ``rounds`` the search ran until done, so that is the last finishing round).
 
     Aggregates to at most ``cap + 2`` groups first (map-side partial counts),
     so the per-round expansion runs on a table whose size is bounded."""
@@ -141,7 +140,7 @@ def working_count(state: DataFrame) -> DataFrame:
                  .agg(F.count(F.lit(1)).alias("c")))
     # Unfinished rows (f = -1) count as working in every reported round.
     last = F.max(F.when(F.col("f") >= 0, F.col("f"))).over(Window.partitionBy())
-    expanded = (per_round.withColumn("_last", F.coalesce(last, F.lit(0)))
+    expanded = (per_round.withColumn("_last", F.coalesce(last, F.lit(0)) if rounds is None else F.lit(rounds))
                 .select(F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("round"), "f", "c"))
     return (expanded.groupBy("round")
             .agg(F.sum(F.when((F.col("f") < 0) | (F.col("f") > F.col("round")), F.col("c")).otherwise(0))
@@ -202,69 +201,60 @@ def linear_round(state: DataFrame, model: LinearModel, spec: SequenceSpec, round
 
 
 def search_loop(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int | None = None,
-                max_rounds: int = 10_000, checkpoint: bool = True,
+                checkpoint: bool = True,
                 on_round: Callable[[int, DataFrame, float], None] | None = None, chunk: int = 1) -> DataFrame:
     """P9/P10 driver: run ``step`` round after round until no row works (or ``rounds`` rounds).
 
-    Round ``r`` processes only the rows still working and is written once with a
-    reliable ``checkpoint()`` into the shared folder named by
-    ``spark.checkpoint.dir``; rows that finish in it stay in that checkpoint and
-    are never carried into later rounds.  So the cost of a round is proportional
-    to its working rows, the plan never grows, and a lost executor re-reads
-    checkpoint files instead of replaying rounds.  The only driver traffic per
-    round is one existence probe.  ``on_round(r, rows_of_round_r, seconds)`` sees
-    each checkpointed round (e.g. to append its changes to a log table).
-    ``checkpoint=False`` keeps everything in one growing plan (small inputs only).
+    Round ``r`` processes only the rows still working and is written once as a table in the shared folder named by
+    ``spark.checkpoint.dir``; rows that finish in it stay there and are never carried into later rounds.  So the cost of a
+    round is proportional to its working rows, the plan never grows, and a lost executor re-reads files instead of
+    replaying rounds.  The only driver traffic per round is one existence probe.  The finished rows of all rounds are then
+    written together and the rounds are deleted.  ``on_round(r, rows_of_round_r, seconds)`` sees each round (e.g. to
+    append its changes to a log table).  ``checkpoint=False`` keeps everything in one growing plan (small inputs only).
 
     ``chunk > 1`` chains that many rounds before each checkpoint.  The chained
     rounds are map-only projections, so they run in one stage and the fixed cost
-    of a job, a checkpoint and a probe is paid once per chunk; rows that finish
+    of a job, a write and a probe is paid once per chunk; rows that finish
     inside a chunk pass the remaining rounds unchanged.  It needs a ``step`` that
     keeps finished rows as they are and reads its input once (no union of
     branches), and it is ignored when ``on_round`` must see every round."""
     if on_round is not None or chunk < 1:
         chunk = 1
     if not checkpoint:
-        return _search_loop_in_memory(state, step, rounds, max_rounds, on_round)
-    ensure_checkpoint_dir(state.sparkSession)
-    columns = state.columns
-    state = _reliable_checkpoint(state)
-    finished = [state.where(~F.col("working"))]
-    current = state.where(F.col("working"))
+        return _search_loop_in_memory(state, step, rounds, on_round)
+    spark, columns = state.sparkSession, state.columns
+    paths: list[str] = []
+
+    def written(rows: DataFrame) -> DataFrame:
+        paths.append(scratch_path(spark, "search-round"))
+        rows.write.parquet(paths[-1])
+        return spark.read.schema(rows.schema).parquet(paths[-1])
+
+    out = written(state)
     r = 0
-    limit = rounds if rounds is not None else max_rounds
-    while r < limit and current.limit(1).count() > 0:
+    # Without ``rounds`` the search ends by itself: every row changes once a round until it is reached, stuck or capped.
+    while (rounds is None or r < rounds) and out.where("working").limit(1).count() > 0:
         t0 = time.time()
-        out = current
-        for _ in range(min(chunk, limit - r)):
+        step_out = out.where("working")
+        for _ in range(chunk if rounds is None else min(chunk, rounds - r)):
             r += 1
-            out = step(out, r)
-        out = _reliable_checkpoint(out)
-        finished.append(out.where(~F.col("working")))
-        current = out.where(F.col("working"))
+            step_out = step(step_out, r)
+        out = written(step_out)
         if on_round is not None:
             on_round(r, out, time.time() - t0)
-    result = current
-    for part in finished:
-        result = result.unionByName(part)
-    return result.select(*columns)
-
-
-def _reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once: a reliable checkpoint re-runs its
-    input after the triggering job, so the round is cached for that second pass
-    (spilling to disk if needed) and released right after."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    # One scan packs the small files of the late rounds together, so the result has the partitions its rows need.
+    done = spark.read.schema(out.schema).parquet(*paths).where(~F.col("working"))
+    result_path = scratch_path(spark, "search-result")
+    result = done.unionByName(out.where("working")).select(*columns)
+    result.write.parquet(result_path)
+    for p in paths:
+        remove_path(spark, p)
+    return spark.read.schema(result.schema).parquet(result_path)
 
 
-def _search_loop_in_memory(state, step, rounds, max_rounds, on_round):
+def _search_loop_in_memory(state, step, rounds, on_round):
     r = 0
-    limit = rounds if rounds is not None else max_rounds
-    while r < limit and state.where("working").limit(1).count() > 0:
+    while (rounds is None or r < rounds) and state.where("working").limit(1).count() > 0:
         r += 1
         t0 = time.time()
         state = step(state, r)

@@ -168,6 +168,6 @@ def train_model(train: DataFrame, model_type: str, spec: SequenceSpec = Sequence
         return train_count_weights(train, spec, **kw)
     if kind in ("lr", "logistic"):
         return train_logistic(train, spec, **kw)
-    if kind in ("mlp", "lstm", "nonlinear"):
+    if kind in ("mlp", "nonlinear"):
         return train_mlp(train, spec, **kw)
     raise ValueError(f"unknown model type {model_type!r}")

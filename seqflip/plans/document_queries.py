@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from ..functions.encode import (csv_to_tokens, default_vocab, one_hot_dense, one_hot_long, one_hot_to_tokens,
                                 symbols_to_tokens, tokens_to_csv, tokens_to_symbols)
 from ..functions.hashing import split_name
-from ..operators.edits import apply_edits
+from ..operators.edits import apply_edits, out_of_range_edits
 from ..operators.metrics import max_changes, mean_changes, search_metrics
 from ..operators.prepare import validate_sequences
-from ..operators.score import gradient_summary, init_search_state, score_sequences
+from ..operators.score import init_search_state, input_gradient, score_selected, score_sequences
 from ..operators.search import best_substitution, change_log, greedy_search
 from ..operators.train import accuracy_by_split, count_weight_table, split_counts
 from ..sources.documents import document_text_windows, document_windows, short_documents
+from ..sources.tables import spread
 from ..spec import MICRO
 from . import oracle as O
 from .documents import document_model, documents, labelled, search_input, table
@@ -29,7 +30,7 @@ LABW = _with(O.labelled_ctes(SPEC), O.weight_ctes(SPEC))
 
 
 def _all_windows(spark, sf_dir):
-    return document_windows(documents(spark, sf_dir), SPEC)
+    return document_windows(spread(documents(spark, sf_dir)), SPEC)
 
 
 # --- sources ------------------------------------------------------------------------
@@ -50,6 +51,24 @@ def q_short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short_documents(table(spark, sf_dir, "documents"), SPEC).withColumn("n_chars", F.col("n_chars").cast("bigint"))
 
 
+@register("document_accounting", _with(O.labelled_ctes(SPEC)) + f"""
+SELECT l.quality AS label, CAST(count(*) AS BIGINT) AS documents,
+       CAST(count(*) FILTER (WHERE len(string_split(d.text, '')) >= {L}) AS BIGINT) AS windowed,
+       CAST(count(*) FILTER (WHERE d.text IS NULL OR len(string_split(d.text, '')) < {L}) AS BIGINT) AS quarantined,
+       CAST(coalesce(sum(ceil(len(string_split(d.text, '')) / {L}.0)) FILTER (WHERE len(string_split(d.text, '')) >= {L}), 0) AS BIGINT) AS windows
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY l.quality""")
+def q_document_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is either windowed or quarantined, per label (null: not labelled)."""
+    docs = documents(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    win = document_windows(spread(docs), SPEC).groupBy("doc_id").agg(F.count("*").alias("windows"))
+    short = short_documents(docs, SPEC).select("doc_id", F.lit(1).alias("short"))
+    rows = docs.select("doc_id").join(win, "doc_id", "left").join(short, "doc_id", "left").join(lab, "doc_id", "left")
+    return rows.groupBy("label").agg(
+        F.count("*").alias("documents"), F.count("windows").alias("windowed"), F.count("short").alias("quarantined"),
+        F.coalesce(F.sum("windows"), F.lit(0)).cast("bigint").alias("windows"))
+
+
 # --- encodings ------------------------------------------------------------------------
 
 @register("tokens_to_csv", _with(O.all_windows_ctes(SPEC)) + f"""
@@ -89,22 +108,22 @@ def q_symbols_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sym.select(*KEYS, tokens_to_csv(symbols_to_tokens("symbols", VOCAB)).alias("tokens"))
 
 
-@register("one_hot_long", _with(O.labelled_ctes(SPEC)) + f"""
+@register("one_hot_long", _with(O.all_windows_ctes(SPEC)) + f"""
 SELECT doc_id, win, pos, token, CAST(pos * {K} + token AS INTEGER) AS feature, 1.0 AS value
-FROM lpos WHERE label = 0""")
+FROM apos""")
 def q_one_hot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse one-hot (one row per position) of the search input."""
-    return one_hot_long(search_input(spark, sf_dir, SPEC), KEYS, K)
+    """Sparse one-hot (one row per position) of every window."""
+    return one_hot_long(_all_windows(spark, sf_dir), KEYS, K)
 
 
-@register("one_hot_to_tokens", _with(O.labelled_ctes(SPEC)) + f"""
-SELECT doc_id, win, tokens, CAST(60 AS INTEGER) AS ones
-FROM ({O.token_csv('lpos', KEYS).replace('AS csv', 'AS tokens')} ) WHERE (doc_id, win) IN (SELECT doc_id, win FROM lpos WHERE label = 0)""".replace("CAST(60", f"CAST({L}"))
+@register("one_hot_to_tokens", _with(O.all_windows_ctes(SPEC)) + f"""
+SELECT doc_id, win, tokens, CAST({L} AS INTEGER) AS ones
+FROM ({O.token_csv('apos', KEYS).replace('AS csv', 'AS tokens')})""")
 def q_one_hot_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C6 (and dense C5): one-hot matrix -> arg-max token per position; round trip."""
     v = one_hot_dense("tokens", K)
-    si = search_input(spark, sf_dir, SPEC).select(*KEYS, v.alias("onehot"))
-    return si.select(*KEYS, tokens_to_csv(one_hot_to_tokens("onehot", K)).alias("tokens"),
+    rows = _all_windows(spark, sf_dir).select(*KEYS, v.alias("onehot"))
+    return rows.select(*KEYS, tokens_to_csv(one_hot_to_tokens("onehot", K)).alias("tokens"),
                      F.aggregate("onehot", F.lit(0.0), lambda a, x: a + x).cast("int").alias("ones"))
 
 
@@ -114,7 +133,7 @@ FROM apos GROUP BY doc_id, win HAVING count(*) FILTER (WHERE NOT list_contains({
 def q_validate_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read each window's raw text through the vocabulary; windows with unknown
     symbols go to quarantine (with the count of unknown symbols)."""
-    win = document_text_windows(documents(spark, sf_dir), SPEC)
+    win = document_text_windows(spread(documents(spark, sf_dir)), SPEC)
     toks = win.select(*KEYS, symbols_to_tokens("chunk", VOCAB).alias("tokens"))
     _, bad = validate_sequences(toks, SPEC)
     return bad.select(*KEYS, "reason", F.size(F.filter("tokens", lambda t: t < 0)).alias("unknown"))
@@ -175,14 +194,15 @@ def q_score_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("score_selected", LABW + f""",
 zw AS (
   SELECT doc_id, win, label, CAST((SELECT b FROM bias) + sum(wt.w) AS BIGINT) AS z
-  FROM lpos JOIN wt ON lpos.pos = wt.pos AND lpos.token = wt.token WHERE split = 'test'
+  FROM lpos JOIN wt ON lpos.pos = wt.pos AND lpos.token = wt.token
+  WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
   GROUP BY doc_id, win, label)
 SELECT doc_id, win, label, z, {O.pred('z')} AS pred FROM zw""")
 def q_score_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score the held-out (test split) windows and show their labels."""
+    """Score the windows of the documents named in a key table (those labelled toxic)."""
     model = document_model(spark, sf_dir, SPEC)
-    sel = labelled(spark, sf_dir, SPEC).where(F.col("split") == "test")
-    return score_sequences(sel, model).select(*KEYS, "label", "z", r6("pred").alias("pred"))
+    keys = table(spark, sf_dir, "labels").where(F.col("toxic") == 1)
+    return score_selected(labelled(spark, sf_dir, SPEC), keys, ("doc_id",), model).select(*KEYS, "label", "z", r6("pred").alias("pred"))
 
 
 @register("init_search_state", _with(O.labelled_ctes(SPEC), O.weight_ctes(SPEC), O.search_ctes(SPEC)) + f""",
@@ -201,17 +221,14 @@ def q_init_search_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("input_gradient", _with(O.labelled_ctes(SPEC), O.weight_ctes(SPEC), O.search_ctes(SPEC)) + f""",
 sg AS (SELECT doc_id, win, 1.0 / (1.0 + exp(-(CAST(init_z AS DOUBLE) / {MICRO}))) AS s FROM z0)
-SELECT sw.doc_id, sw.win, sw.pos, sw.token, round(sg.s * wt.w / {MICRO}, 9) + 0.0 AS grad_current,
-       best.btok AS best_token, round(sg.s * best.wmax / {MICRO}, 9) + 0.0 AS grad_best
-FROM sw JOIN sg ON sw.doc_id = sg.doc_id AND sw.win = sg.win
-        JOIN wt ON sw.pos = wt.pos AND sw.token = wt.token JOIN best ON best.pos = sw.pos""")
+SELECT sw.doc_id, sw.win, sw.pos, wt.token, sw.token AS current_token, round(sg.s * wt.w / {MICRO}, 9) + 0.0 AS grad
+FROM sw JOIN sg ON sw.doc_id = sg.doc_id AND sw.win = sg.win JOIN wt ON sw.pos = wt.pos""")
 def q_input_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per position, the input gradient at the current token and at the best token."""
+    """The whole L x K input gradient of every searched window."""
     model = document_model(spark, sf_dir, SPEC)
-    g = gradient_summary(search_input(spark, sf_dir, SPEC), KEYS, model)
+    g = input_gradient(search_input(spark, sf_dir, SPEC), KEYS, model)
     # "+ 0.0" folds a rounded -0.0 into 0.0 on both engines.
-    return (g.withColumn("grad_current", F.round("grad_current", 9) + 0.0)
-             .withColumn("grad_best", F.round("grad_best", 9) + 0.0))
+    return g.withColumn("grad", F.round("grad", 9) + 0.0)
 
 
 @register("best_substitution", _with(O.labelled_ctes(SPEC), O.weight_ctes(SPEC), O.search_ctes(SPEC)) + """
@@ -223,18 +240,36 @@ def q_best_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.where(F.col("position").isNotNull()).select(*KEYS, "position", "prev_token", "new_token", "gain")
 
 
+def _edits(si: DataFrame, model) -> DataFrame:
+    """The search's changes as edits, with a repeated and an out-of-range edit for each."""
+    log = change_log(greedy_search(si, model, SPEC), KEYS, model)
+    edit = lambda pos, token, no: F.struct(pos.cast("int").alias("pos"), token.cast("int").alias("token"), no.alias("edit_no"))
+    pos, new, no = F.col("position"), F.col("new_token"), F.col("change_num")
+    return log.select(*KEYS, F.explode(F.array(
+        edit(pos, (new + 7) % K, 2 * no), edit(pos, new, 2 * no + 1), edit(pos + L, new, 2 * no + 1))).alias("e")).select(*KEYS, "e.*")
+
+
+@register("out_of_range_edits", _with(O.labelled_ctes(SPEC), O.weight_ctes(SPEC), O.search_ctes(SPEC)) + f"""
+SELECT doc_id, win, CAST(pos + {L} AS INTEGER) AS pos, new_token AS token, CAST(2 * (k - 1) + 1 AS INTEGER) AS edit_no,
+       'bad_position' AS reason FROM kept""")
+def q_out_of_range_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edits that cannot change a sequence, reported."""
+    model = document_model(spark, sf_dir, SPEC)
+    return out_of_range_edits(_edits(search_input(spark, sf_dir, SPEC), model), SPEC.length)
+
+
 @register("apply_edits", _with(O.labelled_ctes(SPEC), O.weight_ctes(SPEC), O.search_ctes(SPEC)) + f""",
 cur AS (
   SELECT sw.doc_id, sw.win, sw.pos, coalesce(kept.new_token, sw.token) AS token
   FROM sw LEFT JOIN kept ON sw.doc_id = kept.doc_id AND sw.win = kept.win AND sw.pos = kept.pos)
 SELECT doc_id, win, tokens FROM ({O.token_csv('cur', KEYS).replace('AS csv', 'AS tokens')})""")
 def q_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply an edits table - the search's own change log - to the input sequences."""
+    """Apply an edits table to the input sequences: the search's own change log, each change preceded by another
+    edit of its position (the later one wins) and followed by one outside the sequence."""
     model = document_model(spark, sf_dir, SPEC)
     si = search_input(spark, sf_dir, SPEC)
-    edits = change_log(greedy_search(si, model, SPEC), KEYS, model).select(
-        *KEYS, F.col("position").alias("pos"), F.col("new_token").alias("token"))
-    return apply_edits(si, edits, KEYS, length=SPEC.length).select(*KEYS, tokens_to_csv("edited_tokens").alias("tokens"))
+    edits = _edits(si, model)
+    return apply_edits(si, edits, KEYS, length=SPEC.length, order="edit_no").select(*KEYS, tokens_to_csv("edited_tokens").alias("tokens"))
 
 
 # --- metrics ----------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.model import LinearModel
 from ..operators.train import train_count_weights
-from ..sources.documents import labelled_windows
+from ..sources.documents import document_windows, labelled_documents
 from ..sources.tables import read_table, spread
 from ..spec import SequenceSpec
 
@@ -23,13 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents(doc_id, text)``, spread over the cores when the file is one split."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """``documents(doc_id, text)``."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def labelled(spark: SparkSession, sf_dir: str, spec: SequenceSpec = SequenceSpec()) -> DataFrame:
     """``(doc_id, label, split, win, tokens)`` over every labelled document's whole text."""
-    return labelled_windows(documents(spark, sf_dir), table(spark, sf_dir, "labels"), spec)
+    docs = labelled_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"), spec)
+    return document_windows(spread(docs), spec, keep=("label", "split"))
 
 
 def document_model(spark: SparkSession, sf_dir: str, spec: SequenceSpec = SequenceSpec()) -> LinearModel:

@@ -1,156 +1,100 @@
-"""Generated-sequence queries, one sequence per ``orders`` key (G3-G6, T1-T6,
-P10 and P14 on generated data: the modelled pipeline end to end)."""
+"""Segment-profile queries over document windows (G1, G2, G4-G6, P14): the two-class segment model of the generator, fitted
+to the train split instead of drawn from a parameter table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.encode import tokens_to_csv
 from ..operators.edits import score_edits
-from ..operators.generate import Profile, generator_error_rate, generator_posterior, segment_frequencies
+from ..operators.generate import fit_posterior, segment_frequencies
+from ..operators.model import LinearModel
+from ..operators.score import score_sequences
 from ..operators.search import change_log, greedy_search
-from ..operators.train import accuracy_by_split, count_weight_table, split_counts
+from ..sources.documents import document_windows
+from ..sources.tables import spread
+from ..spec import MICRO
 from . import oracle as O
-from .generated import GEN_KEYS, generated, generated_model
-from .registry import SPEC, _with, r6, register
-
-PROFILE = Profile.neutral(SPEC)
-GEN = _with(O.generated_ctes(SPEC, PROFILE))
-GENW = _with(O.generated_ctes(SPEC, PROFILE), O.weight_ctes(SPEC, "gpos"))
-GENS = _with(O.generated_ctes(SPEC, PROFILE), O.weight_ctes(SPEC, "gpos"),
-             O.search_ctes(SPEC, None, "gpos", "label = 0", GEN_KEYS))
-
-
-@register("generate_sequences", GEN + f"""
-SELECT gen.seq_id, gen.label, gen.split, t.csv AS tokens
-FROM gen JOIN ({O.token_csv('gpos', GEN_KEYS)}) t USING (seq_id)""")
-def q_generate_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One labelled synthetic sequence per order key."""
-    g = generated(spark, sf_dir, SPEC, PROFILE)
-    return g.select("seq_id", "label", "split", tokens_to_csv("tokens").alias("tokens"))
-
-
-@register("generator_posterior", _with(O.generated_ctes(SPEC, PROFILE),
-                                       O.posterior_ctes(SPEC, PROFILE, {"post": "gpos"})) + """
-SELECT gen.seq_id, gen.label, round(1.0 / (1.0 + exp(-post.logit)), 6) AS posterior,
-       CASE WHEN post.logit > 0 THEN 1 ELSE 0 END AS gen_pred
-FROM gen JOIN post USING (seq_id)""")
-def q_generator_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact class-1 posterior of each generated sequence and the inferred label."""
-    g = generator_posterior(generated(spark, sf_dir, SPEC, PROFILE), SPEC, PROFILE)
-    return g.select("seq_id", "label", r6("posterior").alias("posterior"), "gen_pred")
+from .documents import document_model, documents, labelled, search_input
+from .registry import KEYS, SPEC, _with, r6, register
 
+K, S, E = SPEC.alphabet, SPEC.start, SPEC.start + SPEC.active
 
-@register("generator_error_rate", _with(O.generated_ctes(SPEC, PROFILE),
-                                        O.posterior_ctes(SPEC, PROFILE, {"post": "gpos"})) + """
-SELECT count(*) AS n, CAST(sum(CASE WHEN (post.logit > 0)::INTEGER <> gen.label THEN 1 ELSE 0 END) AS BIGINT) AS errors,
-       round(avg(CASE WHEN (post.logit > 0)::INTEGER <> gen.label THEN 1.0 ELSE 0.0 END), 9) AS error_rate
-FROM gen JOIN post USING (seq_id)""")
-def q_generator_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of generated sequences whose inferred label differs from the drawn one."""
-    e = generator_error_rate(generated(spark, sf_dir, SPEC, PROFILE), SPEC, PROFILE)
-    return e.withColumn("error_rate", F.round("error_rate", 9))
+SEGMENT_CTES = f"""
+seg0 AS (SELECT token, sum(n0) AS s FROM tr WHERE pos >= {S} AND pos < {E} GROUP BY token),
+seg0t AS (SELECT sum(s) AS total FROM seg0),
+lr AS (
+  SELECT g.pos, g.token,
+         CASE WHEN g.pos >= {S} AND g.pos < {E}
+              THEN CAST(round({MICRO} * (ln((coalesce(tr.n1, 0) + 1) / (tot.t1 + {K}))
+                                       - ln((coalesce(seg0.s, 0) + 1) / (seg0t.total + {K})))) AS BIGINT) ELSE 0 END AS v
+  FROM grid g LEFT JOIN tr ON g.pos = tr.pos AND g.token = tr.token LEFT JOIN seg0 ON g.token = seg0.token, tot, seg0t)"""
 
 
-@register("generated_split_counts", GEN + """
-SELECT split, label, CAST(count(*) AS BIGINT) AS n FROM gen GROUP BY split, label""")
-def q_generated_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T1/T2 on generated data."""
-    return split_counts(generated(spark, sf_dir, SPEC, PROFILE))
+def _logit(name: str, source: str) -> str:
+    return f"""
+{name} AS (SELECT s.doc_id, s.win, CAST((SELECT b FROM bias) + sum(lr.v) AS BIGINT) AS z
+  FROM {source} s JOIN lr ON lr.pos = s.pos AND lr.token = s.token GROUP BY s.doc_id, s.win)"""
 
 
-@register("generated_count_weights", GENW + """
-SELECT wt.pos, wt.token, wt.w, CAST(wt.n1 AS BIGINT) AS n1, CAST(wt.n0 AS BIGINT) AS n0, bias.b AS bias
-FROM wt, bias""")
-def q_generated_count_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4 on generated data."""
-    tr = generated(spark, sf_dir, SPEC, PROFILE).where(F.col("split") == "train")
-    return count_weight_table(tr, SPEC).select("pos", "token", "w", "n1", "n0", "bias")
+def segment_model(spark: SparkSession, sf_dir: str) -> LinearModel:
+    return fit_posterior(labelled(spark, sf_dir, SPEC).where(F.col("split") == "train"), SPEC)
 
 
-@register("generated_accuracy_by_split", GENW + """,
-zs AS (
-  SELECT seq_id, split, label, (SELECT b FROM bias) + sum(wt.w) AS z
-  FROM gpos JOIN wt ON gpos.pos = wt.pos AND gpos.token = wt.token GROUP BY seq_id, split, label)
-SELECT split, CAST(count(*) AS BIGINT) AS n,
-       round(avg(CASE WHEN (CASE WHEN z > 0 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END), 9) AS accuracy
-FROM zs GROUP BY split""")
-def q_generated_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T6 on generated data."""
-    model = generated_model(spark, sf_dir, SPEC)
-    acc = accuracy_by_split(generated(spark, sf_dir, SPEC, PROFILE), model)
-    return acc.withColumn("accuracy", F.round("accuracy", 9))
+@register("segment_frequencies", _with(O.labelled_ctes(SPEC)) + f""",
+seg AS (
+  SELECT label, token,
+         CASE WHEN pos < {S} OR pos >= {E} THEN 'background' WHEN label = 1 THEN 'state1' ELSE 'state0' END AS segment,
+         CAST(CASE WHEN pos >= {S} AND pos < {E} AND label = 1 THEN pos - {S} ELSE 0 END AS INTEGER) AS seg_offset
+  FROM lpos WHERE split = 'train'),
+cnt AS (SELECT label, segment, seg_offset, token, count(*) AS n FROM seg GROUP BY ALL)
+SELECT label, segment, seg_offset, token, n,
+       round(CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY label, segment, seg_offset) AS DOUBLE), 9) AS share
+FROM cnt""")
+def q_segment_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 + G2: the profile of the train split - token shares per class and segment."""
+    f = segment_frequencies(labelled(spark, sf_dir, SPEC).where(F.col("split") == "train"), SPEC)
+    return f.select("label", "segment", F.col("offset").alias("seg_offset"), "token", "n", F.round("share", 9).alias("share"))
 
 
-def _gen_search(spark, sf_dir):
-    model = generated_model(spark, sf_dir, SPEC)
-    si = generated(spark, sf_dir, SPEC, PROFILE).where(F.col("label") == 0).select("seq_id", "tokens")
-    return model, si, greedy_search(si, model, SPEC)
+@register("generator_posterior", _with(O.labelled_ctes(SPEC), O.weight_ctes(SPEC), O.all_windows_ctes(SPEC)) + "," + SEGMENT_CTES + ","
+          + _logit("post", "apos") + f"""
+SELECT doc_id, win, z, {O.pred('z')} AS posterior, CASE WHEN z > 0 THEN 1 ELSE 0 END AS gen_pred FROM post""")
+def q_generator_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-1 posterior of every window under the fitted segment profile, and the inferred label."""
+    windows = document_windows(spread(documents(spark, sf_dir)), SPEC)
+    p = score_sequences(windows, segment_model(spark, sf_dir))
+    return p.select(*KEYS, "z", r6("pred").alias("posterior"), (F.col("z") > 0).cast("int").alias("gen_pred"))
 
 
-@register("generated_search", GENS + f""",
-cur AS (
-  SELECT sw.seq_id, sw.pos, coalesce(kept.new_token, sw.token) AS token
-  FROM sw LEFT JOIN kept ON sw.seq_id = kept.seq_id AND sw.pos = kept.pos),
-t_in AS ({O.token_csv('sw', GEN_KEYS)}),
-t_out AS ({O.token_csv('cur', GEN_KEYS)})
-SELECT fin.seq_id, t_in.csv AS tokens, t_out.csv AS current_tokens, fin.init_z, {O.pred('fin.init_z')} AS init_pred,
-       fin.zf AS current_z, {O.pred('fin.zf')} AS current_pred, fin.n AS total_changes, fin.status,
-       fin.status = 'working' AS working
-FROM fin JOIN t_in USING (seq_id) JOIN t_out USING (seq_id)""")
-def q_generated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P10 on generated data: every label-0 sequence searched until done."""
-    _, _, st = _gen_search(spark, sf_dir)
-    return st.select("seq_id", tokens_to_csv("tokens").alias("tokens"),
-                     tokens_to_csv("current_tokens").alias("current_tokens"), "init_z",
-                     r6("init_pred").alias("init_pred"), "current_z", r6("current_pred").alias("current_pred"),
-                     "total_changes", "status", "working")
-
-
-@register("score_edits", GENS + """,
+@register("generator_error_rate", _with(O.labelled_ctes(SPEC), O.weight_ctes(SPEC)) + "," + SEGMENT_CTES + "," + _logit("post", "lpos") + """,
+lw AS (SELECT DISTINCT doc_id, win, label, split FROM lpos)
+SELECT split, count(*) AS n, CAST(sum(CASE WHEN (post.z > 0)::INTEGER <> label THEN 1 ELSE 0 END) AS BIGINT) AS errors,
+       round(avg(CASE WHEN (post.z > 0)::INTEGER <> label THEN 1.0 ELSE 0.0 END), 9) AS error_rate
+FROM lw JOIN post USING (doc_id, win) GROUP BY split""")
+def q_generator_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of labelled windows whose inferred label is wrong, per split."""
+    scored = score_sequences(labelled(spark, sf_dir, SPEC), segment_model(spark, sf_dir))
+    wrong = (F.col("z") > 0).cast("int") != F.col("label")
+    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(wrong.cast("bigint")).alias("errors"),
+                                       F.round(F.avg(wrong.cast("double")), 9).alias("error_rate"))
+
+
+@register("score_edits", _with(O.labelled_ctes(SPEC), O.weight_ctes(SPEC), O.search_ctes(SPEC)) + "," + SEGMENT_CTES + """,
 cur AS (
-  SELECT sw.seq_id, sw.pos, coalesce(kept.new_token, sw.token) AS token
-  FROM sw LEFT JOIN kept ON sw.seq_id = kept.seq_id AND sw.pos = kept.pos),
+  SELECT sw.doc_id, sw.win, sw.pos, coalesce(kept.new_token, sw.token) AS token
+  FROM sw LEFT JOIN kept ON sw.doc_id = kept.doc_id AND sw.win = kept.win AND sw.pos = kept.pos),
 z1 AS (
-  SELECT seq_id, CAST((SELECT b FROM bias) + sum(wt.w) AS BIGINT) AS z
-  FROM cur JOIN wt ON cur.pos = wt.pos AND cur.token = wt.token GROUP BY seq_id),""" + O.posterior_ctes(
-    SPEC, PROFILE, {"pb": "sw", "pa": "cur"}) + f"""
-SELECT z0.seq_id, {O.pred('z0.init_z')} AS model_before, {O.pred('z1.z')} AS model_after,
-       round(1.0 / (1.0 + exp(-pb.logit)), 6) AS gen_before, round(1.0 / (1.0 + exp(-pa.logit)), 6) AS gen_after
-FROM z0 JOIN z1 USING (seq_id) JOIN pb USING (seq_id) JOIN pa USING (seq_id)""")
+  SELECT doc_id, win, CAST((SELECT b FROM bias) + sum(wt.w) AS BIGINT) AS z
+  FROM cur JOIN wt ON cur.pos = wt.pos AND cur.token = wt.token GROUP BY doc_id, win),""" + _logit("pb", "sw") + "," + _logit("pa", "cur") + f"""
+SELECT z0.doc_id, z0.win, {O.pred('z0.init_z')} AS model_before, {O.pred('z1.z')} AS model_after,
+       {O.pred('pb.z')} AS gen_before, {O.pred('pa.z')} AS gen_after
+FROM z0 JOIN z1 USING (doc_id, win) JOIN pb USING (doc_id, win) JOIN pa USING (doc_id, win)""")
 def q_score_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search's edits scored under the model and under the generator, before and after."""
-    model, si, st = _gen_search(spark, sf_dir)
-    edits = change_log(st, GEN_KEYS, model).select("seq_id", F.col("position").alias("pos"),
-                                                     F.col("new_token").alias("token"))
-    s = score_edits(si, edits, GEN_KEYS, model, SPEC, PROFILE)
-    return s.select("seq_id", *[r6(c).alias(c) for c in ("model_before", "model_after", "gen_before", "gen_after")])
-
-
-def _profile_values() -> str:
-    rows = [("background", 0, t, p) for t, p in enumerate(PROFILE.background)]
-    rows += [("state0", 0, t, p) for t, p in enumerate(PROFILE.state0)]
-    rows += [("state1", j, t, p) for j, r in enumerate(PROFILE.state1) for t, p in enumerate(r)]
-    return ", ".join(f"('{s}', {o}, {t}, CAST({p!r} AS DOUBLE))" for s, o, t, p in rows)
-
-
-@register("segment_frequencies", GEN + f""",
-prof(segment, "offset", token, prob) AS (VALUES {_profile_values()}),
-seg AS (
-  SELECT label, token,
-         CASE WHEN pos < {SPEC.start} OR pos >= {SPEC.start + SPEC.active} THEN 'background'
-              WHEN label = 1 THEN 'state1' ELSE 'state0' END AS segment,
-         CAST(CASE WHEN pos >= {SPEC.start} AND pos < {SPEC.start + SPEC.active} AND label = 1
-                   THEN pos - {SPEC.start} ELSE 0 END AS INTEGER) AS "offset"
-  FROM gpos),
-cnt AS (SELECT label, segment, "offset", token, count(*) AS n FROM seg GROUP BY ALL)
-SELECT cnt.label, cnt.segment, cnt."offset" AS seg_offset, cnt.token, cnt.n,
-       round(CAST(cnt.n AS DOUBLE) / CAST(sum(cnt.n) OVER (PARTITION BY cnt.label, cnt.segment, cnt."offset") AS DOUBLE), 9) AS share,
-       prof.prob
-FROM cnt LEFT JOIN prof ON prof.segment = cnt.segment AND prof."offset" = cnt."offset" AND prof.token = cnt.token""")
-def q_segment_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1 + G2 on data: observed token shares per segment next to the profile."""
-    f = segment_frequencies(generated(spark, sf_dir, SPEC, PROFILE), SPEC, PROFILE)
-    return f.select("label", "segment", F.col("offset").alias("seg_offset"), "token", "n",
-                    F.round("share", 9).alias("share"), "prob")
+    """The search's edits scored under the model and under the segment profile, before and after."""
+    model = document_model(spark, sf_dir, SPEC)
+    si = search_input(spark, sf_dir, SPEC)
+    edits = change_log(greedy_search(si, model, SPEC), KEYS, model).select(
+        *KEYS, F.col("position").alias("pos"), F.col("new_token").alias("token"), "change_num")
+    s = score_edits(si, edits, KEYS, model, SPEC, segment_model(spark, sf_dir), order="change_num")
+    return s.select(*KEYS, *[r6(c).alias(c) for c in ("model_before", "model_after", "gen_before", "gen_after")])

@@ -6,6 +6,8 @@ compared result is what a later job would see."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,15 +75,16 @@ def q_sample_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("write_read_splits", LAB + f"""
-SELECT doc_id, win, label, tokens FROM ({_LINES}) WHERE split = 'test'""")
+SELECT doc_id, win, label, split, tokens FROM ({_LINES})""")
 def q_write_read_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Persist all splits partitioned by ``split``; read the test split back
-    (partition pruning: only that folder is scanned)."""
+    """Persist all splits partitioned by ``split`` and read each one back
+    (partition pruning: a split's read scans its folder only)."""
     path = scratch_path(spark, "splits")
     w = labelled(spark, sf_dir, SPEC).select(*KEYS, "label", "split", "tokens")
     w.write.mode("overwrite").partitionBy("split").parquet(path)
-    back = spark.read.parquet(path).where(F.col("split") == "test")
-    return back.select(*KEYS, "label", tokens_to_csv("tokens").alias("tokens"))
+    parts = [spark.read.parquet(path).where(F.col("split") == s) for s in ("train", "val", "test")]
+    back = reduce(DataFrame.unionByName, parts)
+    return back.select(*KEYS, "label", "split", tokens_to_csv("tokens").alias("tokens"))
 
 
 # --- result files and change logs -----------------------------------------------------------
@@ -179,17 +182,19 @@ def q_load_model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _state_select(greedy_search(search_input(spark, sf_dir, SPEC), model, SPEC))
 
 
-@register("assign_id")
+@register("assign_id", LAB + f""",
+l AS ({_LINES})
+SELECT md5(concat_ws('|', doc_id, win)) AS seq_id, tokens || ',' || CAST(label AS VARCHAR) AS value FROM l""")
 def q_assign_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surrogate ids for lines without a natural key (partitioning-dependent values)."""
-    return assign_id(_lines(spark, sf_dir)).select("seq_id", "value")
+    """A stable id for every line, from its natural key."""
+    return assign_id(_lines(spark, sf_dir), KEYS).select("seq_id", "value")
 
 
 @register("repartition_cache", _state_sql(None))
 def q_repartition_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread the search input by key and keep it in memory before searching."""
     model = document_model(spark, sf_dir, SPEC)
-    si = repartition_cache(search_input(spark, sf_dir, SPEC), "doc_id")
+    si = repartition_cache(search_input(spark, sf_dir, SPEC), *KEYS)
     return _state_select(greedy_search(si, model, SPEC))
 
 

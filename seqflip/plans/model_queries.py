@@ -6,21 +6,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.encode import tokens_to_csv
 from ..operators.metrics import mean_change_time, mean_trajectory_time
-from ..operators.nonlinear import mlp_accuracy_by_split, mlp_search_loop
+from ..operators.nonlinear import mlp_accuracy_by_split, mlp_score, mlp_search_loop
 from ..operators.search import greedy_search, linear_search_loop
 from ..operators.train import accuracy_by_split, train_logistic, train_mlp, train_model
-from .documents import document_model, labelled, search_input
-from .generated import generated
-from .generator_queries import GENW, PROFILE
-from .registry import KEYS, SPEC, r6, register
+from ..operators.score import sigmoid
+from ..session import scratch_path
+from ..sources.tables import load_mlp_model, save_mlp_model
+from ..sources.text import change_log_text, parse_change_log
+from .documents import document_model, labelled, search_input, table
+from . import oracle as O
+from .registry import KEYS, SPEC, _with, r6, register
 from .search_queries import _state_select, _state_sql
 
-MLP_ITER = 40
-LR_ITER = 50
+MLP_ITER = 100
+LR_ITER = 100
 
 
 @register("search_until_done_loop", _state_sql(None))
@@ -37,20 +39,30 @@ def q_search_fixed_rounds_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _state_select(linear_search_loop(search_input(spark, sf_dir, SPEC), model, SPEC, rounds=5))
 
 
-@register("train_pipeline", GENW + """,
+@register("train_pipeline", _with(O.labelled_ctes(SPEC), O.weight_ctes(SPEC)) + """,
 zs AS (
-  SELECT seq_id, split, label, (SELECT b FROM bias) + sum(wt.w) AS z
-  FROM gpos JOIN wt ON gpos.pos = wt.pos AND gpos.token = wt.token GROUP BY seq_id, split, label)
+  SELECT doc_id, win, split, label, (SELECT b FROM bias) + sum(wt.w) AS z
+  FROM lpos JOIN wt ON lpos.pos = wt.pos AND lpos.token = wt.token GROUP BY doc_id, win, split, label)
 SELECT split, CAST(count(*) AS BIGINT) AS n,
        round(avg(CASE WHEN (CASE WHEN z > 0 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END), 9) AS accuracy
 FROM zs GROUP BY split""")
 def q_train_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generate -> split -> train (model chosen by name) -> accuracy per split."""
-    data = generated(spark, sf_dir, SPEC, PROFILE)
-    model = train_model(data.where(F.col("split") == "train"), "count", SPEC)
+    """Windows -> split -> train (model chosen by name) -> accuracy per split."""
+    return _pipeline(spark, sf_dir, "count")
+
+
+def _pipeline(spark: SparkSession, sf_dir: str, kind: str, **options) -> DataFrame:
+    data = labelled(spark, sf_dir, SPEC)
+    model = train_model(data.where(F.col("split") == "train"), kind, SPEC, **options)
     return accuracy_by_split(data, model).withColumn("accuracy", F.round("accuracy", 9))
 
 
+@register("train_pipeline_logistic")
+def q_train_pipeline_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 + T6 + T7: the same with logistic regression; its train, validation and test accuracy."""
+    return _pipeline(spark, sf_dir, "lr")
+
+
 @register("train_logistic")
 def q_train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MLlib logistic regression on the one-hot windows; its weights table."""
@@ -86,38 +98,46 @@ def q_mlp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                      r6("current_pred").alias("current_pred"), "total_changes", "status", "working")
 
 
-def _timed_loop(spark: SparkSession, sf_dir: str):
-    """The loop-path search with each round's wall time and number of changes."""
+#: Made-up seconds of a change, from its place: a supplied log has times that any engine can recompute.
+def _seconds(k, pos):
+    return (k * 7 + pos * 3) % 1000 / F.lit(1000.0)
+
+
+@register("mean_change_time", _with(O.labelled_ctes(SPEC), O.weight_ctes(SPEC), O.search_ctes(SPEC)) + """
+SELECT round(avg(((k - 1) * 7 + pos * 3) % 1000 / 1000.0), 9) AS mean_change_s, count(*) AS timed_changes FROM kept""")
+def q_mean_change_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: mean seconds per change of a supplied text log whose lines carry a time (written and parsed back, S10)."""
     model = document_model(spark, sf_dir, SPEC)
-    rounds: list[tuple[int, float, int]] = []
+    st = greedy_search(search_input(spark, sf_dir, SPEC), model, SPEC)
+    timed = F.transform("log", lambda e: e.withField("time_s", _seconds(e["change_num"], e["position"])))
+    text = st.select(*KEYS, change_log_text(timed, lambda z: sigmoid(z, model), times=True).alias("change_log"))
+    m = mean_change_time(parse_change_log(text, KEYS))
+    return m.withColumn("mean_change_s", F.round("mean_change_s", 9))
 
-    def on_round(r, state, seconds):
-        rounds.append((r, float(seconds), state.where("changed").count()))
 
-    st = linear_search_loop(search_input(spark, sf_dir, SPEC), model, SPEC, on_round=on_round)
-    # One row per round (at most cap + 1 rows): small by construction.
-    per_round = spark.createDataFrame(rounds, "round INT, seconds DOUBLE, changes BIGINT")
-    return st, per_round
+@register("mean_trajectory_time", """
+SELECT round(avg(us) / 60e6, 6) AS mean_trajectory_min, count(*) AS finished
+FROM (SELECT epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM events GROUP BY user_id)""")
+def q_mean_trajectory_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: mean minutes from start to finish of a supplied table of trajectories: each user's first and last event."""
+    t = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("finish_ts"))
+    return mean_trajectory_time(t).withColumn("mean_trajectory_min", F.round("mean_trajectory_min", 6))
 
 
-@register("mean_change_time")
-def q_mean_change_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3: mean seconds per change; a round's time is shared by the changes it made
-    (change ``k`` of a trajectory is made in round ``k + 1``)."""
-    st, per_round = _timed_loop(spark, sf_dir)
-    changes = (st.select(F.explode_outer("log").alias("e")).where(F.col("e").isNotNull())
-               .select((F.col("e.change_num") + 1).alias("round"))
-               .join(F.broadcast(per_round), "round")
-               .select((F.col("seconds") / F.col("changes")).alias("time_s")))
-    return mean_change_time(changes)
+@register("load_mlp_scores")
+def q_load_mlp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 + S11 for the non-linear model: saved, loaded by path, and every labelled window scored with it."""
+    data = labelled(spark, sf_dir, SPEC)
+    path = scratch_path(spark, "mlp")
+    save_mlp_model(train_mlp(data.where(F.col("split") == "train"), SPEC, max_iter=MLP_ITER), spark, path)
+    return mlp_score(data, load_mlp_model(spark, path)).select(*KEYS, "label", "split", r6("pred").alias("pred"))
 
 
-@register("mean_trajectory_time")
-def q_mean_trajectory_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M4: mean minutes from the start of the search to a trajectory's finishing round."""
-    st, per_round = _timed_loop(spark, sf_dir)
-    elapsed = per_round.select("round", F.sum("seconds").over(Window.orderBy("round")).alias("elapsed"))
-    start = F.to_timestamp(F.lit("1970-01-01 00:00:00"))
-    traj = (st.join(F.broadcast(elapsed), st["finish_round"] == elapsed["round"], "left")
-            .select(start.alias("start_ts"), F.timestamp_seconds("elapsed").alias("finish_ts")))
-    return mean_trajectory_time(traj)
+@register("mlp_search_until_done")
+def q_mlp_search_until_done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10 with the non-linear model: rounds until no window is working."""
+    data = labelled(spark, sf_dir, SPEC)
+    model = train_mlp(data.where(F.col("split") == "train"), SPEC, max_iter=MLP_ITER)
+    st = mlp_search_loop(search_input(spark, sf_dir, SPEC), model, SPEC)
+    return st.select(*KEYS, tokens_to_csv("current_tokens").alias("current_tokens"), r6("init_pred").alias("init_pred"),
+                     r6("current_pred").alias("current_pred"), "total_changes", "status", "working")

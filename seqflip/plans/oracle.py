@@ -132,49 +132,3 @@ fin AS (
 def token_csv(source: str, keys: tuple[str, ...], token: str = "token") -> str:
     ks = ", ".join(keys)
     return f"SELECT {ks}, string_agg(CAST({token} AS VARCHAR), ',' ORDER BY pos) AS csv FROM {source} GROUP BY {ks}"
-
-
-def generated_ctes(spec: SequenceSpec, profile, ids: str = "orders", id_col: str = "o_orderkey") -> str:
-    """gen(seq_id, label, split), gpos(seq_id, label, split, pos, token): the generator in long form.
-
-    ``cum`` holds the profile's cumulative thresholds (the generator's parameters)."""
-    import math
-
-    from ..functions.hashing import TWO32
-    L, S, A, seed = spec.length, spec.start, spec.active, spec.seed
-    values = ", ".join(f"({ti}, {t}, {c})" for ti, row in enumerate(profile.thresholds()) for t, c in enumerate(row))
-    h = lambda *parts: f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
-    return f"""
-cum(tbl, token, c) AS (VALUES {values}),
-gen AS (
-  SELECT CAST({id_col} AS BIGINT) AS seq_id,
-         CASE WHEN {h(f"'{seed}'", id_col, "'y'")} < {math.floor(spec.p * TWO32)} THEN 1 ELSE 0 END AS label,
-         {split_case(id_col, seed)} AS split
-  FROM {ids}),
-gp AS (
-  SELECT seq_id, label, split, CAST(r.p AS INTEGER) AS pos, {h(f"'{seed}'", "seq_id", "r.p")} AS u,
-         CASE WHEN r.p >= {S} AND r.p < {S + A} THEN (CASE WHEN label = 1 THEN r.p - {S} + 2 ELSE 1 END) ELSE 0 END AS tbl
-  FROM gen, range(0, {L}) r(p)),
-gpos AS (
-  SELECT gp.seq_id, gp.label, gp.split, gp.pos, CAST(count(cum.c) AS INTEGER) AS token
-  FROM gp LEFT JOIN cum ON cum.tbl = gp.tbl AND cum.c <= gp.u
-  GROUP BY gp.seq_id, gp.label, gp.split, gp.pos)"""
-
-
-def posterior_ctes(spec: SequenceSpec, profile, sources: dict[str, str],
-                   keys: tuple[str, ...] = ("seq_id",)) -> str:
-    """lr(j, token, v) plus, per ``name -> source``, ``name(keys, logit)``: the generator
-    posterior's log-odds of a long-form source (pos, token)."""
-    import math
-    K, S, A = spec.alphabet, spec.start, spec.active
-    values = ", ".join(f"({j}, {t}, {v!r})" for j, row in enumerate(profile.log_ratios()) for t, v in enumerate(row))
-    ks = ", ".join(keys)
-    prior = math.log(spec.p / (1 - spec.p))
-    parts = [f"lr(j, token, v) AS (VALUES {values})"]
-    for name, source in sources.items():
-        parts.append(f"""{name} AS (
-  SELECT {", ".join("s." + k for k in keys)}, {prior!r} + sum(lr.v) AS logit
-  FROM {source} s JOIN lr ON lr.j = s.pos - {S} AND lr.token = s.token
-  WHERE s.pos >= {S} AND s.pos < {S + A}
-  GROUP BY {ks})""")
-    return "\n" + ",\n".join(parts)

@@ -79,3 +79,14 @@ def q_working_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return working_count(greedy_search(search_input(spark, sf_dir, SPEC), model, SPEC))
 
 
+
+
+@register("working_count_fixed", _with(O.labelled_ctes(SPEC), O.weight_ctes(SPEC), O.search_ctes(SPEC, 3), """
+fr AS (SELECT CASE WHEN status = 'working' THEN NULL WHEN status = 'stuck' THEN n + 1 ELSE n END AS f FROM fin),
+rounds AS (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS round)""") + """
+SELECT rounds.round, CAST(count(*) FILTER (WHERE fr.f IS NULL OR fr.f > rounds.round) AS BIGINT) AS working
+FROM rounds, fr GROUP BY rounds.round""")
+def q_working_count_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11 for a search of three rounds: rows that are not done count as working to the end."""
+    model = document_model(spark, sf_dir, SPEC)
+    return working_count(greedy_search(search_input(spark, sf_dir, SPEC), model, SPEC, rounds=3), rounds=3)

@@ -9,20 +9,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Optional session setting: the number of partitions that whole texts are dealt to before windowing.
+SPREAD_CONF = "spark.seqflip.windowPartitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that arrives in fewer splits than the cluster has cores.
+    """Deal rows out to as many partitions as the session setting ``spark.seqflip.windowPartitions`` names.
 
-    A single-row-group file is one split, so all of its (CPU-heavy) rows would
-    be tokenised by one task.  Large inputs already have at least one split
-    per core and pass through untouched - no shuffle is added at scale.  The
-    spread is round-robin, not by a key, so no key can make one task hot; Spark
-    sorts each input split before a round-robin repartition, so a retried task
-    sends every row to the same place again."""
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    Unset (the default), the rows stay in the splits of the scan and nothing
+    moves.  Set it where a table is one small file whose single split would
+    leave the other cores idle.  The deal is round-robin, so no key can be hot."""
+    n = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(n)) if n else df
 
 
 def save_linear_model(model, spark: SparkSession, path: str) -> None:
@@ -34,6 +32,25 @@ def save_linear_model(model, spark: SparkSession, path: str) -> None:
     meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def save_mlp_model(model, spark: SparkSession, path: str) -> None:
+    """A multilayer perceptron as ``weights(i, w)`` (a bound fixed by its layers) and ``meta(length, alphabet, layers)``."""
+    spark.createDataFrame(list(enumerate(model.weights)), "i INT, w DOUBLE").write.mode("overwrite").parquet(f"{path}/weights")
+    spark.createDataFrame([(model.length, model.alphabet, list(model.layers))], "length INT, alphabet INT, layers ARRAY<INT>") \
+        .write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_mlp_model(spark: SparkSession, path: str):
+    """Load a model saved by :func:`save_mlp_model`; every weight must be there once."""
+    from ..operators.train import MLPModel
+
+    meta = spark.read.parquet(f"{path}/meta").first()
+    layers = tuple(meta["layers"])
+    rows = sorted((r["i"], r["w"]) for r in spark.read.parquet(f"{path}/weights").collect())
+    if [i for i, _ in rows] != list(range(sum((a + 1) * b for a, b in zip(layers, layers[1:])))):
+        raise ValueError(f"{path}: weights are missing or doubled")
+    return MLPModel(meta["length"], meta["alphabet"], layers, tuple(w for _, w in rows))
+
+
 def load_linear_model(spark: SparkSession, path: str):
     """Load a model saved by :func:`save_linear_model` from any Hadoop-readable URI."""
     from ..operators.model import LinearModel
@@ -43,9 +60,3 @@ def load_linear_model(spark: SparkSession, path: str):
                                meta["alphabet"], bool(meta["integer"]))
 
 
-def save_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """S4 sink: parquet, optionally partitioned (readers prune on that column)."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)

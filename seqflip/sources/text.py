@@ -48,15 +48,16 @@ def write_labelled_text(df: DataFrame, path: str, tokens: str = "tokens", label:
 
 # --- change logs as text ----------------------------------------------------------------
 
-def change_log_text(log: str, pred) -> F.Column:
+def change_log_text(log, pred, times: bool = False) -> F.Column:
     """A log array as text, one line per change:
     ``change_num,position,prev_token,new_token,new_pred(8 dp),time_s(4 dp)``, each line
     ending in a newline.  ``pred`` maps an entry's ``new_z`` to its score; ``time_s``
-    is written when the entry has one and left empty otherwise."""
+    is written with ``times`` (the entries then have a field ``time_s``) and left empty otherwise."""
     def line(e):
         return F.concat(F.format_string("%d,%d,%d,%d,%.8f,", e["change_num"], e["position"], e["prev_token"],
-                                        e["new_token"], pred(e["new_z"])), F.lit("\n"))
-    return F.array_join(F.transform(F.col(log), line), "")
+                                        e["new_token"], pred(e["new_z"])),
+                        F.format_string("%.4f", e["time_s"]) if times else F.lit(""), F.lit("\n"))
+    return F.array_join(F.transform(F.col(log) if isinstance(log, str) else log, line), "")
 
 
 def parse_change_log(df: DataFrame, keys: Sequence[str], text: str = "change_log") -> DataFrame:
@@ -93,5 +94,6 @@ def read_results(spark: SparkSession, path: str, schema: str = RESULT_DDL, heade
 
 
 def append_changes(changes: DataFrame, path: str, round_col: str = "round") -> None:
-    """Append one round's changes to the change table, partitioned by round."""
-    changes.write.mode("append").partitionBy(round_col).parquet(path)
+    """Add one round's changes to the change table, partitioned by round.  A round that is written again takes the
+    place of its first copy, so a retry doubles nothing."""
+    (changes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(round_col).parquet(path))

@@ -67,15 +67,3 @@ class SequenceSpec:
     def threshold_micro(self) -> int:
         """Smallest integer micro-logit whose sigmoid reaches the threshold."""
         return math.ceil(MICRO * self.threshold_logit)
-
-
-SEQUENCES_DDL = "seq_id BIGINT, tokens ARRAY<INT>, label INT"
-LONG_DDL = "seq_id BIGINT, pos INT, token INT"
-VOCAB_DDL = "token INT, symbol STRING"
-PROFILE_DDL = "segment STRING, offset INT, token INT, prob DOUBLE"
-WEIGHTS_DDL = "pos INT, token INT, w DOUBLE"
-EDITS_DDL = "seq_id BIGINT, pos INT, token INT"
-CHANGE_DDL = "change_num INT, position INT, prev_token INT, new_token INT, new_z {z}"
-CHANGES_DDL = ("seq_id BIGINT, change_num INT, position INT, prev_token INT, new_token INT, "
-               "new_pred DOUBLE, time_s DOUBLE")
-METRICS_DDL = "split STRING, n BIGINT, accuracy DOUBLE"

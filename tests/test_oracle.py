@@ -1,21 +1,13 @@
 """Registered queries against their DuckDB SQL on the smallest scale factor."""
 
-import os
-
 import pytest
 
 from conftest import SF001
 
-QUICK = ["search_until_done", "search_fixed_rounds", "change_log", "working_count", "score_sequences",
-         "train_count_weights", "generate_sequences", "generator_posterior", "score_edits", "apply_edits",
-         "parse_change_log", "merge_result_files"]
-
 
 def _names():
-    from __spark_entry__ import oracle_sql
-    if os.environ.get("SEQFLIP_FULL_ORACLE"):
-        return sorted(oracle_sql())
-    return QUICK
+    from seqflip.plans.registry import oracle_sql
+    return sorted(oracle_sql())
 
 
 @pytest.mark.parametrize("name", _names())

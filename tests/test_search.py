@@ -85,8 +85,8 @@ def test_properties_of_a_search(spark):
         assert all(0.0 < r[c] < 1.0 for c in ("init_pred", "current_pred"))
     # replaying the change log on the input gives the output
     edits = change_log(st, ["seq_id"], model).select("seq_id", F.col("position").alias("pos"),
-                                                     F.col("new_token").alias("token"))
-    replay = {r["seq_id"]: r["edited_tokens"] for r in apply_edits(df, edits, ["seq_id"]).collect()}
+                                                     F.col("new_token").alias("token"), "change_num")
+    replay = {r["seq_id"]: r["edited_tokens"] for r in apply_edits(df, edits, ["seq_id"], length=spec.length, order="change_num").collect()}
     assert all(replay[r["seq_id"]] == r["current_tokens"] for r in rows)
     # a finished row is unchanged by another search of its output
     again = greedy_search(st.select("seq_id", F.col("current_tokens").alias("tokens")), model, spec, rounds=1)
