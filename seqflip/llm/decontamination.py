@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are cut into overlapping passages of ``WINDOW`` words.  Passages and benchmark items are TF-IDF vectors over the
+Documents are cut into passages of ``WINDOW`` words, end to end for the statistics and overlapping by half for the
+search.  Passages and benchmark items are TF-IDF vectors over the
 words of the benchmark (other words add nothing to a product with an item; inverse document frequencies come from all
-passages and fall to zero at ``COMMON``).  A randomised SVD gives the latent space: each task multiplies its sparse
-passages with a random matrix and back, the sums make an orthonormal basis, and a second pass gives the small Gram
-matrix whose eigenvectors turn the basis into singular vectors.  The items stand in the matrix too, with as much weight as
-all passages together and a rank above their number, so that an item that leaked only once keeps its direction.
+passages and fall to zero at ``COMMON``).  A randomised SVD gives the latent space in one pass: each task multiplies its
+sparse passages with a random matrix and back, and the singular vectors come from the summed sketch (Nystrom's form for
+A'A).  The items stand in the matrix too, with as much weight as all passages together and a rank above their number, so
+that an item that leaked only once keeps its direction.
 
 Passages whose latent cosine with an item reaches ``MIN_COSINE`` are candidates, for all passages of the corpus against
 all items.  Candidates are confirmed on the words around them: the longest common subsequence with the item, the share
@@ -22,8 +23,9 @@ other columns are dropped; an empty table on either side gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 from math import ceil
 
 import numpy as np
@@ -36,10 +38,10 @@ from .common import row_slices, stored
 
 WINDOW, STRIDE = 64, 32
 #: Share of all passages from which a word has no weight.
-COMMON = 0.05
+COMMON = 0.01
 BLOCK_ITEMS = 256
-EXTRA_RANK, OVERSAMPLING = 24, 8
-MIN_COSINE = 0.35
+EXTRA_RANK, OVERSAMPLING = 16, 8
+MIN_COSINE = 0.3
 #: Confirmation: share of the item's words in order (alone, or together with the answer) and of its weight.
 MIN_LCS, MIN_LCS_WITH_ANSWER, MIN_ANSWER, MIN_WEIGHT = 0.7, 0.5, 0.7, 0.6
 MIN_ITEM_WORDS = 8
@@ -53,13 +55,11 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Vocabulary(dict):
-    """word -> column, -1 for all others."""
+    """word -> column"""
 
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-    def columns(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def columns(self, words: Iterable[bytes], n: int) -> np.ndarray:
+        """The column of each of ``n`` words, -1 for a word that has none."""
+        return np.fromiter(map(self.get, words, repeat(-1)), np.int64, n)
 
 
 @dataclass
@@ -73,32 +73,27 @@ def last_sentence(text: str) -> str:
     return next((s for s in reversed(re.split(r"[.!?]+", text)) if words_of(s)), "")
 
 
-def last_passage(n_words: int) -> int:
-    return max(0, ceil(n_words / STRIDE) - 2)
-
-
-def sparse_passages(texts: list[str], vocabulary: Vocabulary, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """(passage, column) of every distinct word with weight, in order of passages; for each passage its text and start;
-    the words of the texts.  Passages without a word of weight are left out of all but the count."""
-    rows, columns, count, where, all_words = [], [], 0, [], []
-    for i, t in enumerate(texts):
-        words = words_of(t)
-        all_words.append(words)
-        c = vocabulary.columns(words)
-        at = np.flatnonzero((c >= 0) & used[c])
-        last = last_passage(len(words))
-        if len(at):
-            p = np.concatenate([at // STRIDE, at // STRIDE - 1])
-            q = np.concatenate([c[at], c[at]])
-            fits = (p >= 0) & (p <= last)
-            pairs = np.unique(p[fits] * len(used) + q[fits])
-            rows.append(count + pairs // len(used))
-            columns.append(pairs % len(used))
-        where.append((count, i))
-        count += last + 1
-    starts = np.array([w[0] for w in where] + [count], np.int64)
-    none = np.empty(0, np.int64)
-    return np.concatenate([*rows, none]), np.concatenate([*columns, none]), starts, all_words
+def sparse_passages(texts: list[str], vocabulary: Vocabulary, used: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """(passage, column) of every distinct word with weight, in order of passages; where the passages of each text start,
+    and their number; the words of the texts.  Passages without a word of weight have no entry.  They start every
+    ``stride`` words: STRIDE (each word in two) or WINDOW (each word in one)."""
+    words = [words_of(t) for t in texts]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.concatenate([[0], np.cumsum(np.maximum(-(-lengths // stride) - (WINDOW // stride - 1), 1))]).astype(np.int64)
+    c = vocabulary.columns(chain.from_iterable(words), int(lengths.sum()))
+    at = np.flatnonzero(c >= 0)
+    at = at[used[c[at]]]
+    ends = np.cumsum(lengths)
+    text = np.searchsorted(ends, at, side="right")
+    p = (at - (ends - lengths)[text]) // stride + starts[text]
+    last = starts[text + 1] - 1
+    width = max(1, len(used))
+    key = p * width + c[at]
+    if stride < WINDOW:  # word k lies in passage k // stride and the one before it, as far as the text has them
+        key = np.concatenate([key[p <= last], (key - width)[p > starts[text]]])
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    return key // width, key % width, starts, words
 
 
 def _groups(rows: np.ndarray) -> np.ndarray:
@@ -142,7 +137,7 @@ def passage_counts(texts: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.nd
         total, count = np.zeros(n, np.int64), 0
         for whole in batches:
             for b in row_slices(whole, "text"):
-                _, columns, starts, _ = sparse_passages(b.column(b.schema.get_field_index("text")).to_pylist(), vocabulary, used)
+                _, columns, starts, _ = sparse_passages(b.column(b.schema.get_field_index("text")).to_pylist(), vocabulary, used, WINDOW)
                 total += np.bincount(columns, minlength=n)
                 count += int(starts[-1])
         held = np.flatnonzero(total)
@@ -156,24 +151,21 @@ def passage_counts(texts: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.nd
     return next((r.n for r in rows if r.k < 0), 0), found
 
 
-def _products(texts: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, right: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all passages a (rows): a (a R) by column (``back``), or the Gram matrix of the rows a R."""
-    sent = texts.sparkSession.sparkContext.broadcast((vocabulary, weight, right))
-    width = right.shape[1]
+def sketch_of(texts: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, rows of A'(A R)): the sum over all passages a of a'(a R)."""
+    sent = texts.sparkSession.sparkContext.broadcast((vocabulary, weight.astype(np.float32), random.astype(np.float32)))
+    width = random.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weight, right = sent.value
-        total = np.zeros((len(weight) if back else width, width))
-        used = weight > 0
+        vocabulary, weight, random = sent.value
+        total = np.zeros((len(weight), width))
+        used, weighted = weight > 0, random * weight[:, None]
         for whole in batches:
             for b in row_slices(whole, "text"):
-                rows, columns, _, _ = sparse_passages(b.column(b.schema.get_field_index("text")).to_pylist(), vocabulary, used)
+                rows, columns, _, _ = sparse_passages(b.column(b.schema.get_field_index("text")).to_pylist(), vocabulary, used, WINDOW)
                 for r, c in _runs(rows, columns):
                     first = _groups(r)
-                    dense = np.add.reduceat(right[c] * weight[c, None], first, axis=0)
-                    if not back:
-                        total += dense.T @ dense
-                        continue
+                    dense = np.add.reduceat(weighted[c], first, axis=0)
                     own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(r))))
                     order = np.argsort(c, kind="stable")
                     heads = _groups(c[order])
@@ -182,9 +174,7 @@ def _products(texts: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, righ
         if len(held):
             yield _parts(held, total[held])
 
-    out = sums_by_key(texts.select("text").mapInArrow(run, "k int, v binary"), width)
-    sent.destroy()
-    return out
+    return sums_by_key(texts.select("text").mapInArrow(run, "k int, v binary"), width)
 
 
 def latent_space(texts: DataFrame, items: list[Item], seed: int = 20) -> Space | None:
@@ -195,7 +185,7 @@ def latent_space(texts: DataFrame, items: list[Item], seed: int = 20) -> Space |
     total, counts = passage_counts(texts, vocabulary)
     n_items = np.zeros(len(vocabulary))
     for x in items:
-        n_items[np.unique(vocabulary.columns(x.words))] += 1
+        n_items[np.unique(vocabulary.columns(x.words, len(x.words)))] += 1
     weight = np.maximum(0.0, np.log(np.maximum(1.0, COMMON * (total + len(items)) / np.maximum(1.0, counts + n_items))))
     if total * COMMON < 20:  # in a corpus of a few hundred passages every word counts
         weight = np.log1p((total + len(items)) / np.maximum(1.0, counts + n_items))
@@ -208,23 +198,24 @@ def latent_space(texts: DataFrame, items: list[Item], seed: int = 20) -> Space |
     width = min(rank + OVERSAMPLING, len(vocabulary))
     random = np.random.default_rng(seed).standard_normal((len(vocabulary), width))
 
+    random, _ = np.linalg.qr(random)
     sketch = stress * dense_items.T @ (dense_items @ random)
-    keys, part = _products(texts, vocabulary, weight, random.astype(np.float32), back=True)
+    keys, part = sketch_of(texts, vocabulary, weight, random)
     sketch[keys] += part
-    basis, _ = np.linalg.qr(sketch)
-    inner = dense_items @ basis
-    gram = stress * inner.T @ inner
-    keys, part = _products(texts, vocabulary, weight, basis.astype(np.float32), back=False)
-    gram[keys] += part
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    order = np.argsort(values)[::-1][:rank]
-    return Space(vocabulary, weight, basis @ vectors[:, order], np.sqrt(np.maximum(values[order], 0)))
+    # Nystrom: A'A ~ Y (R'Y)^-1 Y'; a small shift keeps the inverse stable.
+    shift = 1e-6 * np.linalg.norm(sketch, 2)
+    shifted = sketch + shift * random
+    inner = random.T @ shifted
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    root = vectors / np.sqrt(np.maximum(values, 1e-9 * values.max()))
+    basis, singular, _ = np.linalg.svd(shifted @ root, full_matrices=False)
+    return Space(vocabulary, weight, basis[:, :rank], np.sqrt(np.maximum(singular[:rank] ** 2 - shift, 0)))
 
 
 def item_vectors(items: list[Item], vocabulary: Vocabulary, weight: np.ndarray) -> np.ndarray:
     out = np.zeros((len(items), len(weight)))
     for i, x in enumerate(items):
-        c = np.unique(vocabulary.columns(x.words))
+        c = np.unique(vocabulary.columns(x.words, len(x.words)))
         out[i, c[c >= 0]] = weight[c[c >= 0]]
     return out
 
@@ -268,18 +259,19 @@ def find_leaks(docs: DataFrame, items: list[Item], space: Space, item_type: T.Da
     """(_key, _item, HIT) of confirmed pairs; ``docs`` has _key and text."""
     queries = item_vectors(items, space.vocabulary, space.weight) @ space.basis
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-    both = np.hstack([space.basis, space.basis @ queries.T]).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast((space.vocabulary, space.weight, both, space.basis.shape[1], items))
+    # A passage times this is its latent vector times each item's.
+    products = (space.weight[:, None] * (space.basis @ queries.T)).astype(np.float32)
+    sent = docs.sparkSession.sparkContext.broadcast((space.vocabulary, space.weight, products, items))
     schema = T.StructType([T.StructField("_key", docs.schema["_key"].dataType), T.StructField("_item", item_type), *T._parse_datatype_string(HIT).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weight, both, rank, items = sent.value
+        vocabulary, weight, products, items = sent.value
         used, weight_of = weight > 0, {w: float(weight[i]) for w, i in vocabulary.items()}
         for whole in batches:
             for b in row_slices(whole, "text"):
                 rows, columns, starts, words = sparse_passages(b.column(1).to_pylist(), vocabulary, used)
                 best: dict[tuple[int, int], tuple] = {}
-                for at, cosine in _cosines(rows, columns, weight, both, rank):
+                for at, cosine in _cosines(rows, columns, weight, products):
                     for p, q in zip(*(x.tolist() for x in np.nonzero(cosine >= min_cosine))):
                         doc = int(np.searchsorted(starts, at[p], "right")) - 1
                         reach = len(items[q].words)
@@ -301,13 +293,13 @@ def find_leaks(docs: DataFrame, items: list[Item], space: Space, item_type: T.Da
     return docs.select("_key", "text").mapInArrow(run, schema)
 
 
-def _cosines(rows: np.ndarray, columns: np.ndarray, weight: np.ndarray, both: np.ndarray, rank: int, step: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(passages, cosines with all items) in runs of entries."""
-    for r, c in _runs(rows, columns, step):
+def _cosines(rows: np.ndarray, columns: np.ndarray, weight: np.ndarray, products: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(passages, cosines with all items) in runs of entries.  A passage is as long as its whole vector, so that what lies
+    outside the latent space counts against it."""
+    for r, c in _runs(rows, columns, 20_000):
         first = _groups(r)
-        sums = np.add.reduceat(both[c] * weight[c, None].astype(np.float32), first, axis=0)
-        norm = np.maximum(np.linalg.norm(sums[:, :rank], axis=1, keepdims=True), 1e-9)
-        yield r[first], sums[:, rank:] / norm
+        norm = np.sqrt(np.add.reduceat(weight[c] ** 2, first))
+        yield r[first], np.add.reduceat(products[c], first, axis=0) / norm[:, None]
 
 
 def _runs(rows: np.ndarray, columns: np.ndarray, step: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from seqflip.llm.decontamination import Item, benchmark_leaks, last_passage, lcs, latent_space, sparse_passages, Vocabulary, words_of
+from seqflip.llm.decontamination import Item, benchmark_leaks, lcs, latent_space, sparse_passages, Vocabulary, words_of
 
 
 def brute_lcs(a, b):
@@ -27,9 +27,12 @@ def test_every_word_is_in_a_passage():
     for n in (0, 1, 31, 32, 33, 63, 64, 65, 96, 97, 128, 300):
         text = " ".join(f"w{i}" for i in range(n))
         rows, columns, starts, _ = sparse_passages([text], vocabulary, np.ones(300, bool))
-        assert starts[-1] == last_passage(n) + 1 and set(columns) == set(range(n))
-        for p in range(last_passage(n) + 1):
+        count = max(1, -(-n // 32) - 1)
+        assert starts.tolist() == [0, count] and set(columns) == set(range(n))
+        for p in range(count):
             assert set(columns[rows == p]) == set(range(n)[p * 32:p * 32 + 64])
+        rows, columns, starts, _ = sparse_passages([text], vocabulary, np.ones(300, bool), 64)
+        assert starts[-1] == max(1, -(-n // 64)) and columns.tolist() == list(range(n)) and rows.tolist() == [i // 64 for i in range(n)]
 
 
 def word():
@@ -74,12 +77,12 @@ def test_latent_space_is_the_svd_of_the_passages(spark):
     d, b = frames(spark, docs, items)
     made = [Item(i, w, []) for i, w in ((i, [x.encode() for x in w]) for i, w in items.items())]
     space = latent_space(d.select("text"), made)
-    rows, columns, starts, _ = sparse_passages([r.text for r in d.collect()], space.vocabulary, space.weight > 0)
+    rows, columns, starts, _ = sparse_passages([r.text for r in d.collect()], space.vocabulary, space.weight > 0, 64)
     a = np.zeros((starts[-1], len(space.weight)))
     a[rows, columns] = space.weight[columns]
     q = np.zeros((len(made), len(space.weight)))
     for i, x in enumerate(made):
-        q[i, np.unique(space.vocabulary.columns(x.words))] = 1
+        q[i, np.unique(space.vocabulary.columns(x.words, len(x.words)))] = 1
     q *= space.weight
     assert np.allclose(space.basis.T @ space.basis, np.eye(space.basis.shape[1]), atol=1e-5)
     assert np.linalg.norm(q - q @ space.basis @ space.basis.T) < 0.15 * np.linalg.norm(q)  # items keep 98 % of their energy
