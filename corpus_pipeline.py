@@ -2,7 +2,12 @@
 
 Every stage gets what its predecessor kept and returns the columns of documents; the last one returns the encoded
 corpus.  ``run`` writes each stage as Parquet in the shared folder and rereads it, so a lost executor replays one stage at
-most.  Columns of documents that a stage does not name pass through; rows without a text count as empty.
+most.
+
+Defined cases: columns that a stage does not name pass through, whatever they are called; null and empty texts have no words
+and go in the first stage; rows without a doc_id are documents like any other, but decontamination knows a document by its
+doc_id, so all of them go if one leaks; equal rows are copies, of which one stays; a null source is a host of its own;
+texts of any length are processed whole; empty tables give an empty corpus.
 """
 
 from __future__ import annotations
