@@ -61,10 +61,17 @@ def best_substitution(df: DataFrame, model: LinearModel, tokens: str = "tokens")
                      first["new"].alias("new_token"), (-first["ng"]).alias("gain"))
 
 
-def _apply_log(tokens: Column, log: Column) -> Column:
-    """Replay a change log on a token array (positions in a log are distinct)."""
-    return F.aggregate(log, tokens, lambda arr, e: F.transform(
-        arr, lambda t, i: F.when(i == e["position"], e["new_token"]).otherwise(t)))
+def _changed_tokens(tokens: Column, model: LinearModel, n: Column, last_ng: Column, last_pos: Column) -> Column:
+    """The tokens after ``n`` changes: a position was changed exactly if its candidate sorts at or before the last one
+    taken, so one pass over the sequence replays the whole log."""
+    K = model.alphabet
+    W, WB, TB = model.weight_array(), model.best_weight_array(), model.best_token_array()
+
+    def new(t, i):
+        ng = F.get(W, i * K + t) - F.get(WB, i)
+        return F.when((ng < last_ng) | ((ng == last_ng) & (i <= last_pos)), F.get(TB, i)).otherwise(t)
+
+    return F.when(n > 0, F.transform(tokens, new)).otherwise(tokens)
 
 
 def greedy_search(df: DataFrame, model: LinearModel, spec: SequenceSpec = SequenceSpec(),
@@ -84,6 +91,7 @@ def greedy_search(df: DataFrame, model: LinearModel, spec: SequenceSpec = Sequen
                 .withColumn("_cand", candidates(tokens, model)))
     init_done = (F.col("init_z") >= T) if skip_satisfied else F.lit(False)
     init = F.struct(F.col("init_z").alias("z"), F.lit(0).alias("n"), init_done.alias("done"),
+                    F.lit(0).cast(typ).alias("last_ng"), F.lit(-1).alias("last_pos"),
                     F.expr(f"cast(array() as {log_type(typ)})").alias("log"))
 
     def merge(acc, c):
@@ -91,6 +99,7 @@ def greedy_search(df: DataFrame, model: LinearModel, spec: SequenceSpec = Sequen
         entry = F.struct(acc["n"].alias("change_num"), c["pos"].alias("position"), c["prev"].alias("prev_token"),
                          c["new"].alias("new_token"), nz.alias("new_z"))
         step = F.struct(nz.alias("z"), (acc["n"] + 1).alias("n"), ((nz >= T) | (acc["n"] + 1 >= limit)).alias("done"),
+                        c["ng"].alias("last_ng"), c["pos"].alias("last_pos"),
                         F.array_append(acc["log"], entry).alias("log"))
         return F.when(acc["done"], acc).otherwise(step)
 
@@ -104,7 +113,7 @@ def greedy_search(df: DataFrame, model: LinearModel, spec: SequenceSpec = Sequen
     stuck = exhausted if rounds is None else exhausted & (n + 1 <= rounds)
     status = (F.when(reached, "reached").when(capped, "capped").when(stuck, "stuck").otherwise("working"))
     out = (st.withColumn("init_pred", sigmoid(F.col("init_z"), model))
-             .withColumn("current_tokens", _apply_log(F.col(tokens), F.col("_r.log")))
+             .withColumn("current_tokens", _changed_tokens(F.col(tokens), model, n, F.col("_r.last_ng"), F.col("_r.last_pos")))
              .withColumn("current_z", zf)
              .withColumn("current_pred", sigmoid(zf, model))
              .withColumn("status", status)

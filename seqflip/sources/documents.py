@@ -6,8 +6,8 @@ window is aligned to the end and every character of the whole text is in some
 window.  Token = ``code point % K``.  Texts shorter than ``L`` (or NULL) are
 reported by :func:`short_documents` instead.
 
-The text of a document is tokenised once (O(n)) and the windows are slices of
-that array; nothing is re-scanned per window.  The work is map-only: no
+The text of a document is tokenised once, in blocks of ``BLOCK_WINDOWS`` windows, and the windows are slices of
+the blocks; nothing is re-scanned per window.  The work is map-only: no
 shuffle, and a scan task's share of windows is proportional to its share of
 text bytes.
 """
@@ -24,32 +24,46 @@ from ..functions.hashing import split_name
 from ..spec import SequenceSpec
 
 
+#: Windows that are cut from one block of text at a time.
+BLOCK_WINDOWS = 1_000
+
+
+def _blocks(documents: DataFrame, L: int, keep: Sequence[str], block_windows: int) -> DataFrame:
+    """``(doc_id, *keep, _first, _chunk)``: every text as blocks of whole windows, and the window aligned to its end as a
+    block of its own where the length is no multiple of ``L``.  Arrays of characters are made from blocks, so their size
+    has a bound however long a text is."""
+    docs = documents.where(F.length("text") >= L)
+    n = F.length("text")
+    full = F.floor(n / L).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), full - 1, F.lit(block_windows)), lambda s: F.struct(
+        s.alias("first"), F.substr("text", s * L + 1, F.least(F.lit(block_windows), full - s) * L).alias("chunk")))
+    tail = F.struct(full.alias("first"), F.substr("text", n - L + 1, F.lit(L)).alias("chunk"))
+    both = F.when(n % L != 0, F.concat(blocks, F.array(tail))).otherwise(blocks)
+    return (docs.select("doc_id", *keep, F.explode_outer(both).alias("_b")).where(F.col("_b").isNotNull())
+            .select("doc_id", *keep, F.col("_b.first").alias("_first"), F.col("_b.chunk").alias("_chunk")))
+
+
 def document_windows(documents: DataFrame, spec: SequenceSpec = SequenceSpec(),
-                     keep: Sequence[str] = ()) -> DataFrame:
+                     keep: Sequence[str] = (), block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``documents(doc_id, text, ...)`` -> ``(doc_id, *keep, win INT, tokens ARRAY<INT>)``."""
     L, K = spec.length, spec.alphabet
-    docs = (documents.where(F.length("text") >= L)
-            .select("doc_id", *keep, char_tokens("text", K).alias("_toks")))
-    n = F.size("_toks")
-    nwin = F.floor((n + (L - 1)) / L).cast("int")
-    # One expression builds all windows of a text from the tokenised array
+    docs = _blocks(documents, L, keep, block_windows).select("doc_id", *keep, "_first", char_tokens("_chunk", K).alias("_toks"))
+    # One expression builds all windows of a block from the tokenised array
     # (referenced twice, so the optimiser keeps it materialised once).
-    windows = F.transform(F.sequence(F.lit(0), nwin - 1),
-                          lambda w: F.slice(F.col("_toks"), F.least(w * L, n - L) + 1, L))
-    return docs.select("doc_id", *keep, F.posexplode(windows).alias("win", "tokens"))
+    windows = F.transform(F.sequence(F.lit(0), (F.size("_toks") / L).cast("int") - 1), lambda w: F.slice(F.col("_toks"), w * L + 1, L))
+    return (docs.select("doc_id", *keep, "_first", F.posexplode(windows).alias("_w", "tokens"))
+            .select("doc_id", *keep, (F.col("_first") + F.col("_w")).cast("int").alias("win"), "tokens"))
 
 
 def document_text_windows(documents: DataFrame, spec: SequenceSpec = SequenceSpec(),
-                          keep: Sequence[str] = ()) -> DataFrame:
+                          keep: Sequence[str] = (), block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The same windows as raw text: ``(doc_id, *keep, win INT, chunk STRING)``."""
     L = spec.length
-    docs = (documents.where(F.length("text") >= L)
-            .select("doc_id", *keep, F.split("text", "").alias("_chars")))
-    n = F.size("_chars")
-    nwin = F.floor((n + (L - 1)) / L).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), nwin - 1),
-                          lambda w: F.array_join(F.slice(F.col("_chars"), F.least(w * L, n - L) + 1, L), ""))
-    return docs.select("doc_id", *keep, F.posexplode(windows).alias("win", "chunk"))
+    docs = _blocks(documents, L, keep, block_windows)
+    windows = F.transform(F.sequence(F.lit(0), F.floor(F.length("_chunk") / L).cast("int") - 1),
+                          lambda w: F.substr(F.col("_chunk"), w * L + 1, F.lit(L)))
+    return (docs.select("doc_id", *keep, "_first", F.posexplode(windows).alias("_w", "chunk"))
+            .select("doc_id", *keep, (F.col("_first") + F.col("_w")).cast("int").alias("win"), "chunk"))
 
 
 def short_documents(documents: DataFrame, spec: SequenceSpec = SequenceSpec()) -> DataFrame:
