@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,7 +90,7 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 def row_slices(batch: pa.RecordBatch, column: str, target_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds about ``target_bytes`` (one row at least)."""
-    sizes = [len(x) if x is not None else 0 for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
     start = total = 0
     for i, s in enumerate(sizes):
         if i > start and total + s > target_bytes:
