@@ -39,45 +39,69 @@ STATS = ["words", "chars", "letters", "capitals", "symbols", "lone", "plain", "e
 
 
 class WordTable(dict):
-    """word -> row of its statistics and feature numbers; starts anew beyond ``limit`` words (results do not change)."""
+    """word (bytes) -> row of its statistics and feature numbers; starts anew beyond ``limit`` words (results do not change)."""
 
     def __init__(self, n_features: int, limit: int = 300_000):
         super().__init__()
         self.n, self.limit = n_features, limit
+        self.shapes: dict[str, int] = {}
         self.reset()
 
     def reset(self) -> None:
         self.clear()
+        self.shapes.clear()
         self.stats = np.zeros((1024, len(STATS)), np.int32)
         self.features = np.zeros((1024, 2), np.int32)
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, key: bytes) -> int:
         row = len(self)
         if row == len(self.stats):
             self.stats = np.concatenate([self.stats, np.zeros_like(self.stats)])
             self.features = np.concatenate([self.features, np.zeros_like(self.features)])
-        letters = sum(map(str.isalpha, word))
-        core = word.strip(".,;:!?()\"'")
-        self.stats[row] = (1, len(word), letters, sum(map(str.isupper, word)), sum(c in SYMBOLS for c in word),
-                           not any(map(str.isalnum, word)), bool(core) and all(c.isalpha() or c in "-'" for c in core),
-                           word[-1] in ".!?", word.count("!"))
-        # The word itself, and its shape: letters a, capitals A, digits 0, runs shortened, others as they are.
-        shape = ""
-        for c in word:
-            c = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-            if not shape.endswith(c):
-                shape += c
-        self.features[row] = (xxhash.xxh64_intdigest(word.lower()) % self.n, self.n + xxhash.xxh64_intdigest(shape) % self.n)
-        self[word] = row
+        word = key.decode()
+        stats, shape = word_stats(word)
+        self.stats[row] = stats
+        if shape not in self.shapes:
+            self.shapes[shape] = self.n + xxhash.xxh64_intdigest(shape) % self.n
+        self.features[row] = (xxhash.xxh64_intdigest(word.lower()) % self.n, self.shapes[shape])
+        self[key] = row
         return row
 
     def rows(self, text: str) -> np.ndarray:
         if len(self) > self.limit:
             self.reset()
-        words = [w.decode() for w in text.encode().split()]
+        words = text.encode().split()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def word_stats(word: str) -> tuple[tuple[int, ...], str]:
+    """STATS of a word, and its shape: letters a, capitals A, digits 0, others as they are, runs shortened."""
+    body = word.rstrip(".,;:!?")
+    if body.isalpha() and len(word) - len(body) <= 1:  # nearly all words
+        tail, n = word[len(body):], len(body)
+        if body.islower():
+            capitals, shape = 0, "a"
+        elif body[0].isupper() and (n == 1 or body[1:].islower()):
+            capitals, shape = 1, "A" if n == 1 else "Aa"
+        else:
+            capitals, shape = sum(map(str.isupper, body)), _shape(body)
+        return (1, len(word), n, capitals, 0, 0, 1, tail in (".", "!", "?"), tail == "!"), shape + tail
+    core = word.strip(".,;:!?()\"'")
+    return (1, len(word), sum(map(str.isalpha, word)), sum(map(str.isupper, word)), sum(c in SYMBOLS for c in word),
+            not any(map(str.isalnum, word)), bool(core) and all(c.isalpha() or c in "-'" for c in core),
+            word[-1] in ".!?", word.count("!")), _shape(word)
+
+
+def _shape(word: str) -> str:
+    shape, last = [], ""
+    for c in word:
+        c = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        if c != last:
+            shape.append(c)
+            last = c
+    return "".join(shape)
+
+
 def votes_of(stats: np.ndarray, lines: np.ndarray, distinct: np.ndarray, doubled: np.ndarray) -> dict[str, np.ndarray]:
     """Votes of the heuristic labellers on documents (rows of word statistics, lines, distinct lines, words equal to the
     one before).  Each one has two limits and abstains between them."""
@@ -117,17 +141,18 @@ def decode_pattern(pattern: int, n: int) -> list[int]:
     return votes[::-1]
 
 
-def document_votes(texts: list[str], table: WordTable) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(pattern of votes, distinct features) of each text."""
+def document_votes(texts: list[str], table: WordTable, with_features: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(pattern of votes, distinct features if asked for) of each text."""
     stats, doubled = np.zeros((len(texts), len(STATS)), np.int64), np.zeros(len(texts), np.int64)
     lines, distinct, features = [], [], []
     for i, t in enumerate(texts):
         rows = table.rows(t)
         stats[i] = table.stats[rows].sum(axis=0)
         doubled[i] = (rows[1:] == rows[:-1]).sum()
-        # Besides words and shapes, the tenth of the words that repeat the one before.
-        share = table.n + xxhash.xxh64_intdigest(f"doubled {10 * doubled[i] // max(1, len(rows))}") % table.n
-        features.append(np.unique(np.append(table.features[rows], share)))
+        if with_features:
+            # Besides words and shapes, the tenth of the words that repeat the one before.
+            share = table.n + xxhash.xxh64_intdigest(f"doubled {10 * doubled[i] // max(1, len(rows))}") % table.n
+            features.append(np.unique(np.append(table.features[rows], share)))
         full = [x for x in t.split("\n") if x.strip()]
         lines.append(len(full))
         distinct.append(len(set(full)))
@@ -206,7 +231,7 @@ def score_with_model(df: DataFrame, key: str = "doc_id", text: str = "text", max
         table = WordTable(n_features)
         for whole in batches:
             for b in row_slices(whole, "_text"):
-                pattern, _ = document_votes(b.column(0).to_pylist(), table)
+                pattern, _ = document_votes(b.column(0).to_pylist(), table, with_features=False)
                 yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int32())], names=["pattern"])
 
     counts = source.select("_text").mapInArrow(vote, "pattern int").groupBy("pattern").count().collect()  # 3 ** labellers at most

@@ -1,6 +1,6 @@
 import numpy as np
 
-from seqflip.llm.quality_model import (BAD, GOOD, LABELLERS, WordTable, decode_pattern, document_votes, encode_pattern,
+from seqflip.llm.quality_model import (_shape, word_stats, BAD, GOOD, LABELLERS, WordTable, decode_pattern, document_votes, encode_pattern,
                                        expectation_maximisation, quality_scores, score_with_model)
 
 SF = "/root/testdata/sf0.01"
@@ -47,3 +47,14 @@ def test_nulls_repeats_clashes_and_empty(spark):
     got = quality_scores(df).collect()
     assert len(got) == 5 and all(r.kept is not None and 0 <= r.score <= 1 for r in got)
     assert quality_scores(df.limit(0)).count() == 0
+
+
+def test_word_stats_by_hand():
+    assert word_stats("Word.") == ((1, 5, 4, 1, 0, 0, 1, True, False), "Aa.")
+    assert word_stats("ÉTÉ!!")[0] == (1, 5, 3, 3, 0, False, True, True, 2) and word_stats("ÉTÉ!!")[1] == "A!"
+    assert word_stats("ab$$$")[0] == (1, 5, 2, 0, 3, False, False, False, 0)
+    assert word_stats("|")[0] == (1, 1, 0, 0, 1, True, False, False, 0)
+    for w in ("a", "A", "aB", "AB", "Ab", "été,", "McDonald?", "x1", "don't", "(yes)", "1,000", "..."):
+        stats, shape = word_stats(w)
+        assert shape == _shape(w) and stats[2] == sum(map(str.isalpha, w)) and stats[3] == sum(map(str.isupper, w))
+        assert stats[8] == w.count("!") and stats[5] == (not any(map(str.isalnum, w)))
