@@ -81,7 +81,7 @@ def to_long(df: DataFrame, keys: Sequence[str], tokens: str = "tokens") -> DataF
 def to_array(long_df: DataFrame, keys: Sequence[str], length: int) -> DataFrame:
     """Long form -> array form; positions re-ordered.
 
-    Positions outside ``[0, length)`` are dropped and repeated ``(keys, pos)`` rows
+    Positions outside ``[0, length)`` are left out (``bad_positions`` reports them) and repeated ``(keys, pos)`` rows
     reduce to their largest token map-side, so each gathered group holds at most
     ``length`` entries however many rows one key has; one shuffle on the keys."""
     pos = F.col("pos")
@@ -90,3 +90,8 @@ def to_array(long_df: DataFrame, keys: Sequence[str], length: int) -> DataFrame:
     return (per_pos.groupBy(*keys)
             .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_pt"))
             .select(*keys, F.col("_pt.token").alias("tokens")))
+
+
+def bad_positions(long_df: DataFrame, length: int) -> DataFrame:
+    """The rows that :func:`to_array` leaves out."""
+    return long_df.where(F.col("pos").isNull() | (F.col("pos") < 0) | (F.col("pos") >= length))

@@ -84,7 +84,9 @@ class Profile:
         return out
 
     def log_ratios(self) -> list[list[float]]:
-        """``ln(e1[j, t] / e0[t])`` for the active offsets."""
+        """``ln(e1[j, t] / e0[t])`` for the active offsets; every token needs a probability above 0 in both."""
+        if min(min(row) for row in (self.state0, *self.state1)) <= 0:
+            raise ValueError("a token of probability 0 has no log ratio; smooth the profile")
         return [[math.log(self.state1[j][t] / self.state0[t]) for t in range(self.alphabet)]
                 for j in range(self.active)]
 

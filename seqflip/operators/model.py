@@ -91,11 +91,12 @@ class LinearModel:
 
     @classmethod
     def from_df(cls, weights: DataFrame, bias, length: int, alphabet: int, integer: bool = True) -> "LinearModel":
-        """Collect a weights table.  Bounded: at most ``length * alphabet`` rows."""
+        """Collect a weights table, which must have each of the ``length * alphabet`` cells once."""
         limit = length * alphabet
         rows = weights.select("pos", "token", "w").limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError("weights table has more than length * alphabet rows")
+        cells = {(r["pos"], r["token"]) for r in rows}
+        if len(rows) != limit or cells != {(i, b) for i in range(length) for b in range(alphabet)}:
+            raise ValueError(f"weights table must have each of the {limit} cells once; it has {len(rows)} rows, {len(cells)} cells")
         flat = [0] * limit if integer else [0.0] * limit
         for r in rows:
             flat[r["pos"] * alphabet + r["token"]] = int(r["w"]) if integer else float(r["w"])

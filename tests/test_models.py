@@ -174,3 +174,18 @@ def test_raise_mode_and_working_count_of_fixed_rounds(spark):
     st = greedy_search(df.select("seq_id", "tokens"), model, spec, rounds=2)
     counts = {r["round"]: r["working"] for r in working_count(st, rounds=2).collect()}
     assert set(counts) == {0, 1, 2} and counts[2] == st.where("working").count()
+
+
+def test_incomplete_weights_and_zero_probabilities_are_refused(spark):
+    import pytest
+    from seqflip.operators.generate import Profile
+    from seqflip.operators.model import LinearModel
+
+    full = [(i, b, float(i + b)) for i in range(2) for b in range(3)]
+    frame = lambda rows: spark.createDataFrame(rows, "pos INT, token INT, w DOUBLE")
+    assert LinearModel.from_df(frame(full), 0.5, 2, 3, integer=False).weights == tuple(w for _, _, w in full)
+    for rows in (full[:-1], full + full[:1], full[:-1] + full[:1]):
+        with pytest.raises(ValueError):
+            LinearModel.from_df(frame(rows), 0.5, 2, 3, integer=False)
+    with pytest.raises(ValueError):
+        Profile((0.5, 0.5), (0.0, 1.0), ((0.5, 0.5),)).log_ratios()
