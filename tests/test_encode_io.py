@@ -78,13 +78,15 @@ def test_long_form_round_trip(spark):
     assert sorted(back.collect()) == sorted(df.select("seq_id", "tokens").collect())
 
 
-def test_spread_is_round_robin_and_only_for_few_splits(spark):
-    from seqflip.sources.tables import spread
-    cores = spark.sparkContext.defaultParallelism
+def test_spread_is_explicit_and_round_robin(spark):
+    from seqflip.sources.tables import SPREAD_CONF, spread
     one = spark.range(1000).coalesce(1)
-    s = spread(one)
-    plan = s._jdf.queryExecution().executedPlan().toString()
-    assert s.rdd.getNumPartitions() == cores and "RoundRobinPartitioning" in plan
-    assert sorted(r[0] for r in s.collect()) == list(range(1000))
-    many = spark.range(0, 1000, 1, cores)
-    assert spread(many) is many
+    assert spread(one) is one                      # unset: nothing moves, whatever the number of splits
+    spark.conf.set(SPREAD_CONF, "5")
+    try:
+        s = spread(one)
+        plan = s._jdf.queryExecution().executedPlan().toString()
+        assert s.rdd.getNumPartitions() == 5 and "RoundRobinPartitioning" in plan
+        assert sorted(r[0] for r in s.collect()) == list(range(1000))
+    finally:
+        spark.conf.unset(SPREAD_CONF)
