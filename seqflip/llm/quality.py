@@ -4,8 +4,8 @@ Lines are normalised (ASCII lower case, single spaces) and hashed; the documents
 lines above the limits are removed; a document that loses too much is depleted and rejected, as is one that fails
 the base rules on its own text.
 
-Copies count as one document: a document is known by the smallest hash among its lines, so a page that was crawled
-a thousand times does not turn its own lines into boilerplate.
+Copies count as one document: a document is known by a digest of all its line hashes, so a page that was crawled a
+thousand times does not turn its own lines into boilerplate, and documents that share some lines stay apart.
 
 Scale: one Arrow pass makes a few numbers and 12 bytes a line for each document; the texts never shuffle.  Counting
 goes by (host, line, document) and then (host, line), both with map-side partial sums, so a line or a host with a third
@@ -20,7 +20,7 @@ struct whatever they are called; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,11 @@ def line_hash(line: bytes) -> int:
     return int.from_bytes(hashlib.md5(b" ".join(line.lower().split())).digest()[:8], "big")
 
 
+def document_digest(hashes: Iterable[int]) -> int:
+    """64 bits of the MD5 of the distinct line hashes in order, unsigned: equal for documents of the same lines only."""
+    return int.from_bytes(hashlib.md5(np.unique(np.fromiter(hashes, np.uint64)).tobytes()).digest()[:8], "big")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -89,10 +94,10 @@ LINE = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField
 
 
 def document_measures(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """``keep`` columns, the base measures, ``_sketch`` and ``_lines`` of every document."""
+    """``keep`` columns, the base measures, ``_digest`` and ``_lines`` of every document."""
     fields = [df.schema[c] for c in keep]
     schema = T.StructType([*fields, *[T.StructField(m, T.LongType(), False) for m in MEASURES],
-                           T.StructField("_sketch", T.LongType()), T.StructField("_lines", LINE)])
+                           T.StructField("_digest", T.LongType()), T.StructField("_lines", LINE)])
     arrow_line = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +106,7 @@ def document_measures(df: DataFrame, text: str, keep: Sequence[str]) -> DataFram
             for b in row_slices(whole, text):
                 found = [measure(t or "", hasher) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
                 base = np.array([m for m, _ in found], np.int64).reshape(len(found), len(MEASURES))
-                sketch = [_signed(min(h for h, _, _ in lines)) if lines else None for _, lines in found]
+                digest = [_signed(document_digest(h for h, _, _ in lines)) if lines else None for _, lines in found]
                 flat = [x for _, lines in found for x in lines]
                 offsets = np.concatenate([[0], np.cumsum([len(lines) for _, lines in found])])
                 inner = pa.StructArray.from_arrays(
@@ -110,17 +115,17 @@ def document_measures(df: DataFrame, text: str, keep: Sequence[str]) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner).cast(arrow_line)
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(b.schema.get_field_index(c)) for c in keep], *[pa.array(base[:, i]) for i in range(len(MEASURES))],
-                     pa.array(sketch, pa.int64()), lists], names=schema.fieldNames())
+                     pa.array(digest, pa.int64()), lists], names=schema.fieldNames())
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
 def frequent_lines(lines: DataFrame, max_docs: int, max_share: float) -> DataFrame:
     """(_host, h) of the lines that more than ``max_docs`` and more than ``max_share`` of a host's documents hold.
-    ``lines``: (_host, _sketch, h), a row for each line of each document."""
-    pairs = lines.select("_host", "h", "_sketch").distinct()
+    ``lines``: (_host, _digest, h), a row for each line of each document."""
+    pairs = lines.select("_host", "h", "_digest").distinct()
     per_line = pairs.groupBy("_host", "h").agg(F.count("*").alias("docs"))
-    hosts = lines.select("_host", "_sketch").distinct().groupBy("_host").agg(F.count("*").alias("host_docs"))
+    hosts = lines.select("_host", "_digest").distinct().groupBy("_host").agg(F.count("*").alias("host_docs"))
     busy = per_line.filter(F.col("docs") > max_docs)
     return (busy.join(hosts, "_host").filter(F.col("docs") > max_share * F.col("host_docs")).select("_host", "h"))
 
@@ -138,11 +143,11 @@ def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host:
                        # a null host must not meet an empty one
                        F.when(F.col(host).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(host).cast("string"))).alias("_host"))
     docs = stored(document_measures(source, "_text", [*keep, "_host"]).withColumn("_row", F.monotonically_increasing_id()), "measures")
-    lines = docs.select("_row", "_host", "_sketch", F.explode("_lines").alias("_l")).select("_row", "_host", "_sketch", "_l.h", "_l.n", "_l.words")
+    lines = docs.select("_row", "_host", "_digest", F.explode("_lines").alias("_l")).select("_row", "_host", "_digest", "_l.h", "_l.n", "_l.words")
     frequent = frequent_lines(lines, max_docs, max_share)
     removed = (lines.select("_row", "_host", "h", "n", "words").join(frequent, ["_host", "h"])
                .groupBy("_row").agg(F.collect_list("n").alias("_n"), F.sum("words").alias("_words")))
-    out = docs.drop("_lines", "_sketch", "_host").join(removed, "_row", "left")
+    out = docs.drop("_lines", "_digest", "_host").join(removed, "_row", "left")
     left = F.col("n_words") - F.coalesce("_words", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.select(

@@ -55,3 +55,17 @@ def test_long_text(spark):
     long = " ".join(f"w{i}" for i in range(200_000))
     r = quality_rules(docs(spark, [(1, long, "h", None)])).first()
     assert r.n_words == 200_000 and r.n_repeat_words == 0 and r.kept
+
+
+def test_documents_that_share_their_smallest_line_are_counted_apart(spark):
+    from seqflip.llm.quality import line_hash
+
+    low = min((f"menu {i}" for i in range(5000)), key=lambda x: line_hash(x.encode()))
+    rows = [(i, " ".join(f"v{i}_{j}" for j in range(30)) + f"\n{low}", "h", None) for i in range(20)]
+    assert all(line_hash(low.encode()) < line_hash(r[1].split("\n")[0].encode()) for r in rows)
+    rows += [(100 + i, "\n".join([low, GOOD]), "h", None) for i in range(50)]  # copies are one document still
+    rows += [(200 + i, GOOD + f"\nheld by ten {i // 5}", "g", None) for i in range(50)]
+    got = {r.doc_id: r for r in quality_rules(docs(spark, rows).repartition(3)).collect()}
+    assert all(got[i].removed_lines == [1] and got[i].n_words_left == 30 and got[i].kept for i in range(20))
+    assert all(got[100 + i].removed_lines == [0] for i in range(50))
+    assert all(got[200 + i].removed_lines == [] for i in range(50))  # ten different documents
