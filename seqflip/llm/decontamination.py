@@ -3,19 +3,20 @@
 Documents are cut into passages of ``WINDOW`` words, end to end for the statistics and overlapping by half for the
 search.  Passages and benchmark items are TF-IDF vectors over the
 words of the benchmark (other words add nothing to a product with an item; inverse document frequencies come from all
-passages and fall to zero at ``COMMON``).  A randomised SVD gives the latent space in one pass: each task multiplies its
+passages, and every word keeps a weight above zero at any size of the corpus).  A randomised SVD gives the latent space in one pass: each task multiplies its
 sparse passages with a random matrix and back, and the singular vectors come from the summed sketch (Nystrom's form for
 A'A).  The items stand in the matrix too, with as much weight as all passages together and a rank above their number, so
 that an item that leaked only once keeps its direction.
 
 Passages whose latent cosine with an item reaches ``MIN_COSINE`` are candidates, for all passages of the corpus against
-all items.  Candidates are confirmed on the words around them: the longest common subsequence with the item, the share
+all items.  An item that leaked into many passages makes its own words common, so its cosines fall: passages that hold
+``MIN_ITEM_WORDS`` words of an item in one run are candidates too, whatever their weights.  Candidates are confirmed on the words around them: the longest common subsequence with the item, the share
 of the item's TF-IDF weight that is there, and for paraphrases the item's answer.
 
 The benchmark is a query set.  It is taken in blocks of ``BLOCK_ITEMS`` items and the vocabulary, the basis and the
 items of a block are all that is broadcast.  The corpus never shuffles; what moves are sums of a bounded size for each task.
 
-Defined cases: null or empty texts and items, and items without a word that is rarer than ``COMMON``, match nothing; an
+Defined cases: null or empty texts and items match nothing; an
 item of fewer than ``MIN_ITEM_WORDS`` words must occur whole; repeated rows and null keys each get rows of their own;
 other columns are dropped; an empty table on either side gives an empty result.
 """
@@ -34,11 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_slices, stored
+from .common import mix, row_slices, stored
 
 WINDOW, STRIDE = 64, 32
-#: Share of all passages from which a word has no weight.
-COMMON = 0.01
 BLOCK_ITEMS = 256
 EXTRA_RANK, OVERSAMPLING = 16, 8
 MIN_COSINE = 0.3
@@ -73,10 +72,8 @@ def last_sentence(text: str) -> str:
     return next((s for s in reversed(re.split(r"[.!?]+", text)) if words_of(s)), "")
 
 
-def sparse_passages(texts: list[str], vocabulary: Vocabulary, used: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """(passage, column) of every distinct word with weight, in order of passages; where the passages of each text start,
-    and their number; the words of the texts.  Passages without a word of weight have no entry.  They start every
-    ``stride`` words: STRIDE (each word in two) or WINDOW (each word in one)."""
+def _passages(texts: list[str], vocabulary: Vocabulary, used: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]], np.ndarray]:
+    """``sparse_passages``, and the column of each word of all texts."""
     words = [words_of(t) for t in texts]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate([[0], np.cumsum(np.maximum(-(-lengths // stride) - (WINDOW // stride - 1), 1))]).astype(np.int64)
@@ -93,13 +90,34 @@ def sparse_passages(texts: list[str], vocabulary: Vocabulary, used: np.ndarray,
         key = np.concatenate([key[p <= last], (key - width)[p > starts[text]]])
     key.sort()
     key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    return key // width, key % width, starts, words
+    return key // width, key % width, starts, words, c
+
+
+def sparse_passages(texts: list[str], vocabulary: Vocabulary, used: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """(passage, column) of every distinct word with weight, in order of passages; where the passages of each text start,
+    and their number; the words of the texts.  Passages without a word of weight have no entry.  They start every
+    ``stride`` words: STRIDE (each word in two) or WINDOW (each word in one)."""
+    return _passages(texts, vocabulary, used, stride)[:4]
 
 
 def _groups(rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.empty(0, np.int64)
 
 
+def _sums(matrix: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``at`` of the matrix in the groups that start at ``first``; adds the k-th rows of all groups at once."""
+    counts = np.diff(np.append(first, len(at)))
+    order = np.argsort(-counts, kind="stable")
+    start, counts = first[order], counts[order]
+    total = np.take(matrix, at[start], axis=0)
+    longer = np.searchsorted(-counts, -np.arange(1, counts.max(initial=1)))
+    for k, m in enumerate(longer.tolist(), 1):
+        total[:m] += np.take(matrix, at[start[:m] + k], axis=0)
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
 def sums_by_key(parts: DataFrame, width: int) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """Sum of the vectors of each key; the result has a row for each key of a bounded range and goes to the driver."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +183,11 @@ def sketch_of(texts: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, rand
                 rows, columns, _, _ = sparse_passages(b.column(b.schema.get_field_index("text")).to_pylist(), vocabulary, used, WINDOW)
                 for r, c in _runs(rows, columns):
                     first = _groups(r)
-                    dense = np.add.reduceat(weighted[c], first, axis=0)
+                    dense = _sums(weighted, c, first)
                     own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(r))))
                     order = np.argsort(c, kind="stable")
                     heads = _groups(c[order])
-                    total[c[order][heads]] += np.add.reduceat(dense[own[order]], heads, axis=0) * weight[c[order][heads], None]
+                    total[c[order][heads]] += _sums(dense, own[order], heads) * weight[c[order][heads], None]
         held = np.flatnonzero(total.any(axis=1))
         if len(held):
             yield _parts(held, total[held])
@@ -178,7 +196,7 @@ def sketch_of(texts: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, rand
 
 
 def latent_space(texts: DataFrame, items: list[Item], seed: int = 20) -> Space | None:
-    """Randomised SVD of the passages of ``texts`` and the items; None if no word has weight."""
+    """Randomised SVD of the passages of ``texts`` and the items; None if they have no word."""
     vocabulary = Vocabulary({w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))})
     if not vocabulary:
         return None
@@ -186,11 +204,7 @@ def latent_space(texts: DataFrame, items: list[Item], seed: int = 20) -> Space |
     n_items = np.zeros(len(vocabulary))
     for x in items:
         n_items[np.unique(vocabulary.columns(x.words, len(x.words)))] += 1
-    weight = np.maximum(0.0, np.log(np.maximum(1.0, COMMON * (total + len(items)) / np.maximum(1.0, counts + n_items))))
-    if total * COMMON < 20:  # in a corpus of a few hundred passages every word counts
-        weight = np.log1p((total + len(items)) / np.maximum(1.0, counts + n_items))
-    if not (weight > 0).any():
-        return None
+    weight = np.log1p((total + len(items)) / np.maximum(1.0, counts + n_items))
     dense_items = item_vectors(items, vocabulary, weight)
     energy = float((counts * weight ** 2).sum())
     stress = max(1.0, energy) / max(1e-9, float((dense_items ** 2).sum()))
@@ -252,6 +266,55 @@ def _occurs(part: list[bytes], words: list[bytes]) -> bool:
     return any(words[i:i + len(part)] == part for i in range(len(words) - len(part) + 1))
 
 
+def _run_hashes(columns: np.ndarray, codes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, given by their columns (-1: the last code)."""
+    code = codes[columns]
+    n = max(0, len(code) - width + 1)
+    h = code[:n].copy()
+    for k in range(1, width):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += code[k:k + n]
+    return mix(h)
+
+
+class Runs:
+    """The runs of ``MIN_ITEM_WORDS`` words of the items, to be found in texts."""
+
+    def __init__(self, items: list[Item], vocabulary: Vocabulary):
+        self.codes = mix(np.arange(1, len(vocabulary) + 2, dtype=np.uint64))
+        self.tables = []
+        for width in sorted({self.width(x) for x in items} - {0}):
+            found = [(i, h) for i, x in enumerate(items) if self.width(x) == width
+                     for h in np.unique(_run_hashes(vocabulary.columns(x.words, len(x.words)), self.codes, width)).tolist()]
+            hashes = np.array([h for _, h in found], np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            seen = np.zeros(1 << 20, bool)  # by the upper bits; spares most searches
+            seen[hashes >> np.uint64(44)] = True
+            self.tables.append((width, hashes[order], np.array([i for i, _ in found], np.int64)[order], seen))
+
+    @staticmethod
+    def width(item: Item) -> int:
+        return MIN_ITEM_WORDS if len(item.words) >= MIN_ITEM_WORDS else 0
+
+    def find(self, columns: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, item), in order of passages, of the runs that lie in one text."""
+        ends = np.cumsum(lengths)
+        passages, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for width, hashes, owners, seen in self.tables:
+            h = _run_hashes(columns, self.codes, width)
+            at = np.flatnonzero(seen[h >> np.uint64(44)])
+            lo, hi = (np.searchsorted(hashes, h[at], side) for side in ("left", "right"))
+            text = np.searchsorted(ends, at, "right")
+            many = np.where(at + width <= ends[text], hi - lo, 0)
+            own = np.repeat(np.arange(len(at)), many)
+            place = lo[own] + np.arange(len(own)) - (np.cumsum(many) - many)[own]
+            passage = np.minimum((at - (ends - lengths)[text]) // STRIDE + starts[text], starts[text + 1] - 1)
+            passages.append(passage[own])
+            items.append(owners[place])
+        both = np.unique(np.stack([np.concatenate(passages), np.concatenate(items)]), axis=1)
+        return both[0], both[1]
+
+
 HIT = "cosine double, lcs double, answer double, start_word long, end_word long"
 
 
@@ -261,18 +324,22 @@ def find_leaks(docs: DataFrame, items: list[Item], space: Space, item_type: T.Da
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
     # A passage times this is its latent vector times each item's.
     products = (space.weight[:, None] * (space.basis @ queries.T)).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast((space.vocabulary, space.weight, products, items))
+    sent = docs.sparkSession.sparkContext.broadcast((space.vocabulary, space.weight, products, items, Runs(items, space.vocabulary)))
     schema = T.StructType([T.StructField("_key", docs.schema["_key"].dataType), T.StructField("_item", item_type), *T._parse_datatype_string(HIT).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weight, products, items = sent.value
+        vocabulary, weight, products, items, runs = sent.value
         used, weight_of = weight > 0, {w: float(weight[i]) for w, i in vocabulary.items()}
         for whole in batches:
             for b in row_slices(whole, "text"):
-                rows, columns, starts, words = sparse_passages(b.column(1).to_pylist(), vocabulary, used)
+                rows, columns, starts, words, every = _passages(b.column(1).to_pylist(), vocabulary, used, STRIDE)
+                run_at, run_item = runs.find(every, np.fromiter(map(len, words), np.int64, len(words)), starts)
                 best: dict[tuple[int, int], tuple] = {}
                 for at, cosine in _cosines(rows, columns, weight, products):
-                    for p, q in zip(*(x.tolist() for x in np.nonzero(cosine >= min_cosine))):
+                    candidate = cosine >= min_cosine
+                    mine = slice(*np.searchsorted(run_at, [at[0], at[-1] + 1]))
+                    candidate[np.searchsorted(at, run_at[mine]), run_item[mine]] = True
+                    for p, q in zip(*(x.tolist() for x in np.nonzero(candidate))):
                         doc = int(np.searchsorted(starts, at[p], "right")) - 1
                         reach = len(items[q].words)
                         first = (int(at[p]) - int(starts[doc])) * STRIDE
@@ -299,7 +366,7 @@ def _cosines(rows: np.ndarray, columns: np.ndarray, weight: np.ndarray, products
     for r, c in _runs(rows, columns, 20_000):
         first = _groups(r)
         norm = np.sqrt(np.add.reduceat(weight[c] ** 2, first))
-        yield r[first], np.add.reduceat(products[c], first, axis=0) / norm[:, None]
+        yield r[first], _sums(products, c, first) / norm[:, None]
 
 
 def _runs(rows: np.ndarray, columns: np.ndarray, step: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:

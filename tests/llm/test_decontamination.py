@@ -100,3 +100,24 @@ def test_answers_short_items_nulls_and_empty(spark):
     assert got == [(1, 10), (2, 7), (2, 7)] or got == [(2, 7), (2, 7)]
     assert benchmark_leaks(d.limit(0), b).count() == 0 and benchmark_leaks(d, b.limit(0)).count() == 0
     assert words_of("É,é;x-1") == ["é".encode(), "é".encode(), b"x", b"1"]
+
+
+def large(n_docs, leaks):
+    """More than 2,000 passages; ``leaks``: (item, every how many documents)."""
+    random.seed(5)
+    items = {i: [word() for _ in range(random.randrange(25, 60))] for i in range(12)}
+    docs = {i: [word() for _ in range(random.randrange(60, 300))] for i in range(n_docs)}
+    want = set()
+    for i, every in leaks:
+        for d in range(i, n_docs, every):
+            at = random.randrange(len(docs[d]) + 1)
+            docs[d][at:at] = items[i]
+            want.add((d, i))
+    return docs, items, want
+
+
+def test_item_that_leaked_into_many_passages(spark):
+    docs, items, want = large(900, [(0, 2), (1, 300)])
+    d, b = frames(spark, docs, items)
+    got = {(r.doc_id, r.item_id) for r in benchmark_leaks(d, b).collect()}
+    assert sum(max(1, -(-len(w) // 64)) for w in docs.values()) > 2000 and got == want
