@@ -121,3 +121,24 @@ def test_item_that_leaked_into_many_passages(spark):
     d, b = frames(spark, docs, items)
     got = {(r.doc_id, r.item_id) for r in benchmark_leaks(d, b).collect()}
     assert sum(max(1, -(-len(w) // 64)) for w in docs.values()) > 2000 and got == want
+
+
+def test_planted_leaks_and_paraphrases_in_thousands_of_passages(spark):
+    docs, items, want = make()
+    for d in range(1000, 1900):
+        docs[d] = [word() for _ in range(random.randrange(60, 300))]
+        if d % 8 == 0:  # one item in several percent of the passages
+            leak = list(items[3])
+            for k in range(d % 6, len(leak), 6):
+                leak[k] = word()
+            docs[d][30:30] = leak
+            want.add((d, 3))
+    assert sum(max(1, -(-len(w) // 64)) for w in docs.values()) > 2000
+    d, b = frames(spark, docs, items)
+    assert {(r.doc_id, r.item_id) for r in benchmark_leaks(d, b).collect()} == want
+    made = [Item(i, [x.encode() for x in w], []) for i, w in items.items()]
+    for some in (d, d.filter("doc_id < 100")):
+        space = latent_space(some.select("text"), made)
+        rows, columns, starts, _ = sparse_passages([r.text for r in some.collect()], space.vocabulary, np.ones(len(space.weight), bool), 64)
+        held = np.bincount(columns, minlength=len(space.weight)) + (item_counts := sum(np.isin(sorted(space.vocabulary), x.words) for x in made))
+        assert item_counts.min() >= 1 and np.allclose(space.weight, np.log1p((starts[-1] + len(made)) / held))
