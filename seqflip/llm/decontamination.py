@@ -10,10 +10,11 @@ that an item that leaked only once keeps its direction.
 
 Passages whose latent cosine with an item reaches ``MIN_COSINE`` are candidates, for all passages of the corpus against
 all items.  An item that leaked into many passages makes its own words common, so its cosines fall: passages that hold
-``MIN_ITEM_WORDS`` words of an item in one run are candidates too, whatever their weights.  Candidates are confirmed on the words around them: the longest common subsequence with the item, the share
+``MIN_ITEM_WORDS`` words of an item in one run, or the whole of a shorter item, are candidates too, whatever their weights.
+Items longer than a passage are cut into queries no longer than one.  Candidates are confirmed on the words around them: the longest common subsequence with the item, the share
 of the item's TF-IDF weight that is there, and for paraphrases the item's answer.
 
-The benchmark is a query set.  It is taken in blocks of ``BLOCK_ITEMS`` items and the vocabulary, the basis and the
+The benchmark is a query set.  It is taken in blocks of about ``BLOCK_ITEMS`` queries and the vocabulary, the basis and the
 items of a block are all that is broadcast.  The corpus never shuffles; what moves are sums of a bounded size for each task.
 
 Defined cases: null or empty texts and items match nothing; an
@@ -68,6 +69,17 @@ class Item:
     answer: list[bytes]
 
 
+def pieces(items: list[Item]) -> tuple[list[Item], np.ndarray]:
+    """The items cut evenly into queries of at most a passage's length, and where those of each item start."""
+    out, first = [], []
+    for x in items:
+        n = max(1, ceil(len(x.words) / WINDOW))
+        ends = [len(x.words) * k // n for k in range(n + 1)]
+        first.append(len(out))
+        out += [Item(x.id, x.words[a:z], []) for a, z in zip(ends, ends[1:])]
+    return out, np.array(first, np.int64)
+
+
 def last_sentence(text: str) -> str:
     return next((s for s in reversed(re.split(r"[.!?]+", text)) if words_of(s)), "")
 
@@ -278,7 +290,7 @@ def _run_hashes(columns: np.ndarray, codes: np.ndarray, width: int) -> np.ndarra
 
 
 class Runs:
-    """The runs of ``MIN_ITEM_WORDS`` words of the items, to be found in texts."""
+    """The runs of ``MIN_ITEM_WORDS`` words of the items, and shorter items as they are, to be found in texts."""
 
     def __init__(self, items: list[Item], vocabulary: Vocabulary):
         self.codes = mix(np.arange(1, len(vocabulary) + 2, dtype=np.uint64))
@@ -294,7 +306,7 @@ class Runs:
 
     @staticmethod
     def width(item: Item) -> int:
-        return MIN_ITEM_WORDS if len(item.words) >= MIN_ITEM_WORDS else 0
+        return min(MIN_ITEM_WORDS, len(item.words))
 
     def find(self, columns: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(passage, item), in order of passages, of the runs that lie in one text."""
@@ -320,15 +332,16 @@ HIT = "cosine double, lcs double, answer double, start_word long, end_word long"
 
 def find_leaks(docs: DataFrame, items: list[Item], space: Space, item_type: T.DataType, min_cosine: float) -> DataFrame:
     """(_key, _item, HIT) of confirmed pairs; ``docs`` has _key and text."""
-    queries = item_vectors(items, space.vocabulary, space.weight) @ space.basis
+    parts, first_part = pieces(items)
+    queries = item_vectors(parts, space.vocabulary, space.weight) @ space.basis
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-    # A passage times this is its latent vector times each item's.
+    # A passage times this is its latent vector times each query's.
     products = (space.weight[:, None] * (space.basis @ queries.T)).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast((space.vocabulary, space.weight, products, items, Runs(items, space.vocabulary)))
+    sent = docs.sparkSession.sparkContext.broadcast((space.vocabulary, space.weight, products, items, first_part, Runs(items, space.vocabulary)))
     schema = T.StructType([T.StructField("_key", docs.schema["_key"].dataType), T.StructField("_item", item_type), *T._parse_datatype_string(HIT).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weight, products, items, runs = sent.value
+        vocabulary, weight, products, items, first_part, runs = sent.value
         used, weight_of = weight > 0, {w: float(weight[i]) for w, i in vocabulary.items()}
         for whole in batches:
             for b in row_slices(whole, "text"):
@@ -336,6 +349,7 @@ def find_leaks(docs: DataFrame, items: list[Item], space: Space, item_type: T.Da
                 run_at, run_item = runs.find(every, np.fromiter(map(len, words), np.int64, len(words)), starts)
                 best: dict[tuple[int, int], tuple] = {}
                 for at, cosine in _cosines(rows, columns, weight, products):
+                    cosine = np.maximum.reduceat(cosine, first_part, axis=1) if cosine.shape[1] > len(items) else cosine
                     candidate = cosine >= min_cosine
                     mine = slice(*np.searchsorted(run_at, [at[0], at[-1] + 1]))
                     candidate[np.searchsorted(at, run_at[mine]), run_item[mine]] = True
@@ -388,14 +402,16 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     corpus = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     queries = benchmark.select(F.col(item).alias("id"), F.col(item_text).alias("text"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("answer"))
     queries = stored(queries.filter("text IS NOT NULL"), "benchmark")
-    blocks = max(1, ceil(queries.count() / block_items))
+    n_words = F.size(F.split("text", r"[\x00-\x7F&&[^0-9A-Za-z]]+"))
+    n_pieces = queries.agg(F.sum(F.ceil(n_words / WINDOW))).first()[0] or 0
+    blocks = max(1, ceil(n_pieces / block_items))
     item_type = benchmark.schema[item].dataType
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("_item", item_type), *T._parse_datatype_string(HIT).fields])
     out = spark.createDataFrame([], schema)
     for k in range(blocks):
         rows = queries.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()
         items = [Item(r.id, w, words_of(r.answer if r.answer is not None else last_sentence(r.text))) for r in rows if (w := words_of(r.text))]
-        space = latent_space(corpus, items) if items else None
+        space = latent_space(corpus, pieces(items)[0]) if items else None
         if space is not None:
             found = find_leaks(corpus, items, space, item_type, min_cosine)
             out = out.unionByName(found.withColumnRenamed("_key", key))

@@ -142,3 +142,18 @@ def test_planted_leaks_and_paraphrases_in_thousands_of_passages(spark):
         rows, columns, starts, _ = sparse_passages([r.text for r in some.collect()], space.vocabulary, np.ones(len(space.weight), bool), 64)
         held = np.bincount(columns, minlength=len(space.weight)) + (item_counts := sum(np.isin(sorted(space.vocabulary), x.words) for x in made))
         assert item_counts.min() >= 1 and np.allclose(space.weight, np.log1p((starts[-1] + len(made)) / held))
+
+
+def test_items_longer_than_a_passage_and_lists_of_short_items(spark):
+    random.seed(9)
+    word_of = lambda: "".join(random.choice("bcdfglmnprst") + random.choice("aeiou") for _ in range(4))
+    items = {0: [word_of() for _ in range(1500)], 1: [word_of() for _ in range(900)]}
+    items |= {i: [word_of() for _ in range(5)] for i in range(2, 42)}
+    docs = {i: [word_of() for _ in range(100)] for i in range(20)}
+    docs[3][50:50] = items[0]
+    docs[4][10:10] = [word_of() if k % 6 == 0 else w for k, w in enumerate(items[1])]  # no run of eight words is left
+    docs[5][20:20] = [w for i in range(2, 42) for w in items[i]]
+    docs[6][20:20] = items[7][:4]
+    d, b = frames(spark, docs, items)
+    got = {(r.doc_id, r.item_id) for r in benchmark_leaks(d, b).collect()}
+    assert got == {(3, 0), (4, 1)} | {(5, i) for i in range(2, 42)}
