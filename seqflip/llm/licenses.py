@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-Candidate blocks are runs of lines with license words.  Each block is compressed alone and with every template as a
+Candidate blocks are runs of lines with license words, grown over neighbouring lines and runs where these complete the
+wording of a template, however it is wrapped.  Each block is compressed alone and with every template as a
 zstandard raw-content dictionary; templates are ranked by how much smaller the dictionary makes the block (ties:
 template name), and the winners, those within ``MARGIN`` of the best, are confirmed by the exact differences in wording.
 
@@ -15,6 +16,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from difflib import SequenceMatcher
 
@@ -132,6 +134,49 @@ class Scanner:
         other = next((n for _, n in ranked if n != name), None)
         return name, round(reduction, 6), verdict, round(share, 6), diff, other
 
+    def grown(self, text: str, runs: list[tuple[int, int, str]], min_wording: float) -> list[tuple[int, int, str]]:
+        """The blocks, each with the lines around it that belong to a template's wording; blocks that meet become one."""
+        lines = text.split("\n")
+        known: dict[int, list[str]] = {}
+        spans = sorted(self._span(lines, known, first, last, min_wording) for first, last, _ in runs)
+        out: list[list[int]] = []
+        for a, z in spans:
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], z)
+            else:
+                out.append([a, z])
+        return [(a, z, "\n".join(lines[a:z + 1])) for a, z in out]
+
+    def _span(self, lines: list[str], known: dict[int, list[str]], first: int, last: int, min_wording: float) -> tuple[int, int]:
+        """[first, last] and the lines that hold the best confirmed template's wording, if it reaches beyond them."""
+        def words(i: int) -> list[str]:
+            if i not in known:
+                known[i] = words_of(lines[i])
+            return known[i]
+
+        best, span = (0.0, 0), (first, last)
+        for n in self.names:
+            template = self.words[n]
+            reach = len(template) * 5 // 4  # a variant may have some more words
+            lo, hi = first, last
+            for step in (-1, 1):
+                at, held = (first if step < 0 else last) + step, 0
+                while 0 <= at < len(lines) and held < reach:
+                    held += len(words(at))
+                    lo, hi = min(lo, at), max(hi, at)
+                    at += step
+            around = [(w, i) for i in range(lo, hi + 1) for w in words(i)]
+            if not template or (Counter(template) & Counter(w for w, _ in around)).total() < min_wording * len(template):
+                continue
+            found = [m for m in SequenceMatcher(None, template, [w for w, _ in around], autojunk=False).get_matching_blocks() if m.size]
+            share = sum(m.size for m in found) / len(template)
+            runs = [m for m in found if m.size > 1]
+            own = any(around[m.b][1] <= last and around[m.b + m.size - 1][1] >= first for m in runs)  # else of another block
+            if own and share >= min_wording and (share, len(template)) > best:
+                best = share, len(template)
+                span = min(first, around[runs[0].b][1]), max(last, around[runs[-1].b + runs[-1].size - 1][1])
+        return span
+
 
 def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: Mapping[str, str] = TEMPLATES,
                  cues: str = CUES, min_wording: float = MIN_WORDING) -> DataFrame:
@@ -151,7 +196,7 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", templat
         for b in batches:
             owner, rows = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                for n, (first, last, block) in enumerate(blocks(t, cue)):
+                for n, (first, last, block) in enumerate(scanner.grown(t, blocks(t, cue), min_wording)):
                     if block not in memo:
                         if len(memo) > 10_000:
                             memo.clear()

@@ -45,3 +45,43 @@ def test_finds_every_notice_of_the_smallest_tables(spark):
     for r in license_scan(docs).filter("verdict = 'exact'").collect():
         got.setdefault(r.doc_id, set()).add(r.license)
     assert want and got == want
+
+
+MIT = """MIT License
+
+Copyright (c) 2024 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details."""
+
+
+def test_notices_in_their_standard_wrapping(spark):
+    import textwrap
+
+    before, after = "first line\nsecond\n\n", "\n\nand then code\nmore code\n" + "x = 1\n" * 20
+    rows = [(1, before + MIT + after), (2, before + GPL + after), (3, before + MIT + after + GPL), (4, before + MIT.replace("merge, publish", "publish") + after)]
+    rows += [(10 + i, before + textwrap.fill(TEMPLATES[n], 40, break_on_hyphens=False, break_long_words=False) + after) for i, n in enumerate(sorted(TEMPLATES))]
+    got = {}
+    for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.block, r.first_line, r.last_line, r.license, r.verdict))
+    assert got[1] == [(0, 3, 15, "MIT text", "exact")] and got[4] == [(0, 3, 15, "MIT text", "variant")]
+    assert got[2] == [(0, 3, 11, "GPL-3.0-or-later header", "exact")]
+    assert [x[3:] for x in sorted(got[3])] == [("MIT text", "exact"), ("GPL-3.0-or-later header", "exact")]
+    for i, n in enumerate(sorted(TEMPLATES)):
+        assert [x[3:] for x in got[10 + i]] == [(n, "exact")], (n, got[10 + i])
