@@ -97,3 +97,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import benchmark_leaks
 
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("answer", "answer_share")
+
+
+@register("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four components of 256ths; ``deviation`` is null where it goes beyond a long (the operator has it as a decimal)."""
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
