@@ -105,3 +105,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whiten
 
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@register("op12_simhash_near_dedup")
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, two differing bits."""
+    from .simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"))
