@@ -176,7 +176,7 @@ f AS (SELECT rid, source, line,
              md5(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS h,
              len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
       FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, min(h) AS sketch FROM f GROUP BY rid),
+dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, md5(string_agg(DISTINCT h, '' ORDER BY h)) AS sketch FROM f GROUP BY rid),
 freq AS (SELECT source, h, count(DISTINCT sketch) AS docs FROM f JOIN dl USING (rid) GROUP BY source, h),
 hosts AS (SELECT source, count(DISTINCT sketch) AS host_docs FROM f JOIN dl USING (rid) GROUP BY source),
 bad AS (SELECT freq.source, h FROM freq JOIN hosts ON freq.source IS NOT DISTINCT FROM hosts.source
