@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import persisted, scratch_path
 from ..spec import SequenceSpec
 
 
@@ -15,10 +16,42 @@ def filter_label(df: DataFrame, label: int = 0, col: str = "label") -> DataFrame
     return df.where(F.col(col) == label).drop(col)
 
 
+def _framed(c: str) -> Column:
+    """A value with its length in front, or ``n`` for null: no two lists of values join to the same text."""
+    text = F.col(c).cast("string")
+    return F.when(text.isNull(), "n").otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+
+
 def assign_id(df: DataFrame, keys: Sequence[str], col: str = "seq_id") -> DataFrame:
     """A stable id per row, map-only: the MD5 of its natural key.  It depends neither on the
-    partitioning nor on a task's retry; rows of equal keys share an id."""
-    return df.withColumn(col, F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])))
+    partitioning nor on a task's retry; rows of equal keys share an id.  Nulls and values that hold any
+    separator stay apart."""
+    return df.withColumn(col, F.md5(F.concat(*[_framed(k) for k in keys])))
+
+
+#: Rows that are numbered together: 2^16 neighbours of one partition.
+SLICE_BITS = 16
+
+
+def assign_line_id(lines: DataFrame, line: str = "value", col: str = "seq_id") -> DataFrame:
+    """S13 where no key exists: unique ids for bare lines, ``md5(md5(line) # ordinal among equal lines)``.
+
+    The set of ids depends on the lines only, not on their order or partitioning.  The rows are written once with
+    their place.  Equal lines are counted per slice of ``2^SLICE_BITS`` neighbouring rows, prefix sums over a line's slices
+    give each slice its first ordinal, and a window numbers the equal lines within a slice.  So no
+    group holds more rows than a slice, whatever share of all rows one line has.  Null lines are equal lines."""
+    spark = lines.sparkSession
+    path = scratch_path(spark, "lines")
+    placed = lines.withColumn("_digest", F.md5(_framed(line))).withColumn("_row", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path).withColumn("_slice", F.shiftright("_row", SLICE_BITS))
+    before = Window.partitionBy("_digest").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    first = (rows.groupBy("_digest", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+             .select("_digest", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
+    within = F.row_number().over(Window.partitionBy("_digest", "_slice").orderBy("_row")) - 1
+    ordinal = (F.col("_first") + F.col("_within")).cast("string")
+    return (rows.withColumn("_within", within).join(first, ["_digest", "_slice"])
+            .select(*lines.columns, F.md5(F.concat("_digest", F.lit("#"), ordinal)).alias(col)))
 
 
 def sample_head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -51,7 +84,8 @@ def validate_sequences(df: DataFrame, spec: SequenceSpec = SequenceSpec(), token
 
 def repartition_cache(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
     """Hash-partition by the whole sequence key (one document can hold a third of all windows, its windows then go to
-    many tasks) and keep it in memory for repeated passes; the caller releases it with ``unpersist``."""
+    many tasks) and keep it in memory for repeated passes; the open :class:`~seqflip.session.Scope` releases it, or
+    the caller with ``unpersist``."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).persist()
+    return persisted(df.repartition(n, *keys))

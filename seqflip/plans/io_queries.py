@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 
 from ..functions.encode import tokens_to_csv
 from ..operators.model import LinearModel
-from ..operators.prepare import assign_id, filter_label, repartition_cache, sample_head
+from ..operators.prepare import assign_id, assign_line_id, filter_label, repartition_cache, sample_head
 from ..operators.score import sigmoid
 from ..operators.search import change_log, greedy_search, linear_search_loop, round_changes
 from ..session import scratch_path
 from ..sources.tables import load_linear_model, save_linear_model
 from ..sources.text import (append_changes, change_log_text, format_labelled_lines, parse_change_log,
-                            parse_labelled_lines, read_results, write_results)
+                            parse_labelled_lines, read_labelled_text, read_results, write_lines, write_results)
 from ..spec import MICRO
 from . import oracle as O
-from .documents import document_model, labelled, search_input
+from .documents import document_model, documents, labelled, search_input
 from .registry import KEYS, SPEC, _with, r6, register
 from .search_queries import _state_select, _state_sql
 
@@ -129,8 +129,8 @@ def _result_compare(df: DataFrame) -> DataFrame:
 
 @register("merge_result_files", _RESULT_SQL)
 def q_merge_result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S6 + S9: write results as header-less CSV (multi-line logs quoted), read the
-    whole folder back with ``multiLine``."""
+    """S6 + S9: write results as header-less CSV (one line a record, line breaks of logs escaped), read the
+    whole folder back."""
     path = scratch_path(spark, "results")
     write_results(_result_table(spark, sf_dir), path, header=False)
     return _result_compare(read_results(spark, path, RESULT_KEYED_DDL, header=False))
@@ -184,12 +184,72 @@ def q_load_model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("assign_id", LAB + f""",
 l AS ({_LINES})
-SELECT md5(concat_ws('|', doc_id, win)) AS seq_id, tokens || ',' || CAST(label AS VARCHAR) AS value FROM l""")
+SELECT md5(concat(length(doc_id::VARCHAR), ':', doc_id, length(win::VARCHAR), ':', win)) AS seq_id, tokens || ',' || CAST(label AS VARCHAR) AS value FROM l""")
 def q_assign_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stable id for every line, from its natural key."""
     return assign_id(_lines(spark, sf_dir), KEYS).select("seq_id", "value")
 
 
+@register("assign_line_id", """
+SELECT md5(md5(concat(length(value), ':', value)) || '#' || CAST(row_number() OVER (PARTITION BY value) - 1 AS VARCHAR)) AS seq_id, value
+FROM (SELECT unnest(string_split(text, chr(10))) AS value FROM documents)""")
+def q_assign_line_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S13 for lines that have no key: every line of every text, equal lines (the empty one above all) numbered."""
+    lines = documents(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("value"))
+    return assign_line_id(lines).select("seq_id", "value")
+
+
+#: Lines planted next to those of the windows: blank, without a proper label, a token too many, and a token out of range.
+_PLANTED = f"""
+l AS ({_LINES}),
+good AS (SELECT doc_id, win, tokens || ',' || CAST(label AS VARCHAR) AS value FROM l),
+planted AS (
+  SELECT CASE (doc_id + win) % 5 WHEN 0 THEN '' WHEN 1 THEN value || ',x' WHEN 2 THEN '19,' || value
+                                 ELSE '77' || substr(value, strpos(value, ',')) END AS value,
+         CASE (doc_id + win) % 5 WHEN 0 THEN 'blank' WHEN 1 THEN 'bad_label' WHEN 2 THEN 'bad_length' ELSE 'bad_token' END AS reason
+  FROM good WHERE (doc_id + win) % 5 <> 4)"""
+
+
+def _text_files(spark: SparkSession, sf_dir: str) -> str:
+    """The labelled windows as text files, with the planted lines."""
+    lines = _lines(spark, sf_dir)
+    v, k = F.col("value"), F.pmod(F.col("doc_id") + F.col("win"), F.lit(5))
+    planted = (F.when(k == 0, "").when(k == 1, F.concat(v, F.lit(",x"))).when(k == 2, F.concat(F.lit("19,"), v))
+               .when(k == 3, F.concat(F.lit("77"), F.substr(v, F.instr(v, ",")))))
+    both = lines.select(F.explode(F.filter(F.array(v, planted), lambda x: x.isNotNull())).alias("line"))
+    path = scratch_path(spark, "text")
+    write_lines(both, path)
+    return path
+
+
+@register("read_labelled_text", LAB + "," + _PLANTED + """
+SELECT regexp_replace(value, ',[01]$', '') AS tokens, CAST(right(value, 1) AS INTEGER) AS label FROM good""")
+def q_read_labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + S1: windows written as text files and read back; the good lines."""
+    good, _ = read_labelled_text(spark, _text_files(spark, sf_dir), SPEC)
+    return good.select(tokens_to_csv("tokens").alias("tokens"), "label")
+
+
+@register("read_rejected_lines", LAB + "," + _PLANTED + """
+SELECT value, reason FROM planted""")
+def q_read_rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that are no sequences, as they stand in the files, with the reason."""
+    _, rejected = read_labelled_text(spark, _text_files(spark, sf_dir), SPEC)
+    return rejected.select("value", "reason")
+
+
+@register("labelled_text_places", LAB + "," + _PLANTED + """
+SELECT (SELECT count(*) FROM good) AS good_lines, (SELECT count(*) FROM planted) AS rejected_lines, true AS gapless""")
+def q_labelled_text_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good and rejected lines together have every place of every file once."""
+    good, rejected = read_labelled_text(spark, _text_files(spark, sf_dir), SPEC)
+    places = good.select("file", "line_no", F.lit(1).alias("good")).unionByName(rejected.select("file", "line_no", F.lit(0).alias("good")))
+    per_file = places.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.min("line_no").alias("lo"),
+                                          F.max("line_no").alias("hi"), F.countDistinct("line_no").alias("places"))
+    gapless = (F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("places") == F.col("n"))
+    return per_file.agg(F.sum("good").alias("good_lines"), F.sum(F.col("n") - F.col("good")).alias("rejected_lines"), F.bool_and(gapless).alias("gapless"))
+
+
 @register("repartition_cache", _state_sql(None))
 def q_repartition_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread the search input by key and keep it in memory before searching."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session should carry; they are safe on a cluster too.
 RECOMMENDED_CONF = {
@@ -61,6 +62,60 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
+    """A fresh, unique path under the shared checkpoint folder, owned by the open :class:`Scope` if there is one."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.paths.append(path)
+    return path
+
+
+_SCOPE: ContextVar[Scope | None] = ContextVar("seqflip_scope", default=None)
+
+
+class Scope:
+    """Owns the scratch folders and persisted tables that operators make while it is open.
+
+    Results are lazy and read scratch tables, so nothing can be deleted when an operator returns; it can when the result
+    is stored.  ``with Scope(spark):`` around building *and* storing a result releases all of it at the end, also after an
+    error.  Scopes nest: an inner one owns what is made inside it.  Without a scope the folders stay until the
+    checkpoint folder itself is removed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scope:
+        self._token = _SCOPE.set(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        _SCOPE.reset(self._token)
+        self.release()
+
+    def release(self) -> None:
+        for table in self.tables:
+            table.unpersist()
+        for path in self.paths:
+            remove_path(self.spark, path)
+        self.tables, self.paths = [], []
+
+
+def persisted(df: DataFrame) -> DataFrame:
+    """Persist a table; the open :class:`Scope` releases it, or the caller does with ``unpersist``."""
+    df = df.persist()
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.tables.append(df)
+    return df
+
+
+def store_result(spark: SparkSession, build, path: str, mode: str = "errorifexists", fmt: str = "parquet") -> DataFrame:
+    """Build a result, write it to ``path``, release everything it was made from, and read it back."""
+    with Scope(spark):
+        df = build()
+        schema = df.schema
+        df.write.mode(mode).format(fmt).save(path)
+    return spark.read.schema(schema).format(fmt).load(path)

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.encode import tokens_to_csv
+from ..operators.prepare import validity
+from ..spec import SequenceSpec
 
 # Column order of a result file: sequence text, times, scores, flag, count, log.
 RESULT_DDL = ("seq STRING, start_time STRING, finish_time STRING, init_pred DOUBLE, current_pred DOUBLE, "
@@ -36,14 +39,46 @@ def parse_labelled_lines(lines: DataFrame, line: str = "value", keep_label: bool
     return out if keep_label else out.drop("label")
 
 
-def read_labelled_text(spark: SparkSession, path: str) -> DataFrame:
-    """S1 source: a text file of labelled lines -> ``(value, tokens, label)``."""
-    return parse_labelled_lines(spark.read.text(path))
+def place_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a file or folder of text files: ``(file, line_no, value)``, ``line_no`` from 1 in each file.
+
+    A split of a file holds its lines in order, so a line's place in its split is its row number less the first one;
+    the lines of the splits before it are added by prefix sums over one row per split.  Lines never move: the
+    only shuffle is of the splits' counts."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), "value",
+                                         F.monotonically_increasing_id().alias("_row"))
+    before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (lines.groupBy("file", "_at").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+              .select("file", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    return (lines.join(splits, ["file", "_at"])
+            .select("file", (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("line_no"), "value"))
+
+
+def checked_lines(lines: DataFrame, spec: SequenceSpec = SequenceSpec(), line: str = "value") -> DataFrame:
+    """Parsed lines with ``reason``: null for a good line, else ``blank``, ``bad_label`` (neither 0 nor 1), ``bad_length`` or
+    ``bad_token``."""
+    parsed = parse_labelled_lines(lines, line)
+    reason = (F.when(F.coalesce(F.trim(line), F.lit("")) == "", "blank")
+              .when(F.col("label").isNull() | ~F.col("label").isin(0, 1), "bad_label").otherwise(validity("tokens", spec)))
+    return parsed.withColumn("reason", reason)
+
+
+def read_labelled_text(spark: SparkSession, path: str, spec: SequenceSpec = SequenceSpec()) -> tuple[DataFrame, DataFrame]:
+    """S1 source: text files of labelled lines -> ``(good, rejected)``: ``(file, line_no, tokens, label)`` and
+    ``(file, line_no, value, reason)``.  Every line of every file is in one of the two."""
+    checked = checked_lines(place_lines(spark, path), spec)
+    return (checked.where(F.col("reason").isNull()).select("file", "line_no", "tokens", "label"),
+            checked.where(F.col("reason").isNotNull()).select("file", "line_no", "value", "reason"))
+
+
+def write_lines(lines: DataFrame, path: str, line: str = "line") -> None:
+    """Lines of text as files of a folder (overwrite)."""
+    lines.select(line).write.mode("overwrite").text(path)
 
 
 def write_labelled_text(df: DataFrame, path: str, tokens: str = "tokens", label: str = "label") -> None:
     """S3 sink: one labelled line per sequence."""
-    format_labelled_lines(df, tokens, label).select("line").write.mode("overwrite").text(path)
+    write_lines(format_labelled_lines(df, tokens, label), path)
 
 
 # --- change logs as text ----------------------------------------------------------------
@@ -76,21 +111,39 @@ def parse_change_log(df: DataFrame, keys: Sequence[str], text: str = "change_log
 
 # --- result files -----------------------------------------------------------------------
 
+# A field's line breaks are written as two characters, so a record is one line of the file and a large file is read by
+# many tasks; the backslash itself is doubled.
+def escape_lines(c: Column | str) -> Column:
+    """``\\`` -> two of it, newline -> ``\\n``, carriage return -> ``\\r``."""
+    text = F.replace(F.col(c) if isinstance(c, str) else c, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def unescape_lines(c: Column | str) -> Column:
+    """The text that :func:`escape_lines` was given: between doubled backslashes every other one starts a line break."""
+    parts = F.split(F.col(c) if isinstance(c, str) else c, r"\\\\")
+    back = lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.array_join(F.transform(parts, back), "\\")
+
+
+def _on_text(df: DataFrame, change) -> DataFrame:
+    return df.select(*[change(f.name).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema])
+
+
 def write_results(df: DataFrame, path: str, header: bool = False, fmt: str = "csv") -> None:
-    """Write a result table (overwrite).  CSV keeps the log's newlines inside quotes."""
-    w = df.write.mode("overwrite")
+    """Write a result table (overwrite).  In CSV a record is one line: line breaks inside a field are escaped."""
     if fmt == "csv":
-        (w.option("header", header).option("escape", '"')
+        (_on_text(df, escape_lines).write.mode("overwrite").option("header", header).option("escape", '"')
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
-        w.format(fmt).save(path)
+        df.write.mode("overwrite").format(fmt).save(path)
 
 
 def read_results(spark: SparkSession, path: str, schema: str = RESULT_DDL, header: bool = False) -> DataFrame:
-    """Read every result file of a folder (union), multi-line log fields intact."""
-    return (spark.read.schema(schema).option("header", header).option("multiLine", True)
-            .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False).csv(path))
+    """Read every result file of a folder (union); files are split like any text, and line breaks come back."""
+    raw = (spark.read.schema(schema).option("header", header).option("escape", '"')
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return _on_text(raw, unescape_lines)
 
 
 def append_changes(changes: DataFrame, path: str, round_col: str = "round") -> None:
