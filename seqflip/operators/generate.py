@@ -234,6 +234,24 @@ def fit_posterior(train: DataFrame, spec: SequenceSpec = SequenceSpec(), tokens:
     return LinearModel(spec.length, K, tuple(w(i, t) for i in range(spec.length) for t in range(K)), int(first["bias"]))
 
 
+def fit_profile(train: DataFrame, spec: SequenceSpec = SequenceSpec(), tokens: str = "tokens", label: str = "label") -> Profile:
+    """G1 on data: background and state-0 tables are the smoothed token shares outside the active segment and of class 0
+    inside it; the motif is class 1's most frequent token at each active offset (ties: the lowest); state 1 mixes
+    the two by :meth:`Profile.build`.  One aggregation; ``L * K`` rows reach the driver."""
+    from .train import count_weight_table
+
+    K, active = spec.alphabet, range(spec.start, spec.start + spec.active)
+    cells = {(r["pos"], r["token"]): r for r in count_weight_table(train, spec, tokens, label).collect()}
+
+    def shares(counts: list[int]) -> list[float]:
+        return [(c + 1) / (sum(counts) + K) for c in counts]
+
+    outside = [sum(cells[i, t]["n1"] + cells[i, t]["n0"] for i in range(spec.length) if i not in active) for t in range(K)]
+    state0 = [sum(cells[i, t]["n0"] for i in active) for t in range(K)]
+    motif = [max(range(K), key=lambda t: (cells[i, t]["n1"], -t)) for i in active]
+    return Profile.build(shares(outside), shares(state0), motif, spec.class_signal)
+
+
 def _half_up(x: float) -> int:
     """Round to the nearest integer, halves away from zero (as SQL does)."""
     return int(math.copysign(math.floor(abs(x) + 0.5), x))

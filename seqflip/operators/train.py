@@ -111,18 +111,45 @@ def one_hot_features(df: DataFrame, spec: SequenceSpec, tokens: str = "tokens",
 
 # --- T3: logistic regression ------------------------------------------------------
 
-def train_logistic(train: DataFrame, spec: SequenceSpec = SequenceSpec(), tokens: str = "tokens",
-                   label: str = "label", max_iter: int = 100, reg_param: float = 0.0) -> LinearModel:
-    """MLlib logistic regression on the one-hot input -> float ``LinearModel``."""
+@dataclass(frozen=True)
+class FitReport:
+    """How a solver stopped: ``converged`` is false if it used up its iterations."""
+    iterations: int
+    max_iter: int
+    objective: float
+
+    @property
+    def converged(self) -> bool:
+        return self.iterations < self.max_iter
+
+    @property
+    def stopped(self) -> str:
+        return "converged" if self.converged else "max_iter"
+
+
+def _report(fitted, max_iter: int) -> FitReport:
+    summary = fitted.summary() if callable(fitted.summary) else fitted.summary
+    return FitReport(int(summary.totalIterations), max_iter, float(summary.objectiveHistory[-1]))
+
+
+def fit_logistic(train: DataFrame, spec: SequenceSpec = SequenceSpec(), tokens: str = "tokens", label: str = "label",
+                 max_iter: int = 100, reg_param: float = 0.0, tol: float = 1e-6) -> tuple[LinearModel, FitReport]:
+    """MLlib logistic regression on the one-hot input -> float ``LinearModel``, and how its solver stopped."""
     from pyspark.ml.classification import LogisticRegression
 
     L, K = spec.length, spec.alphabet
     data = one_hot_features(train.select(tokens, F.col(label).cast("double").alias("label")), spec, tokens)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg_param,
+    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg_param, tol=tol,
                             standardization=False, family="binomial")
     fitted = lr.fit(data)
     coef = fitted.coefficients.toArray()
-    return LinearModel(L, K, tuple(float(x) for x in coef), float(fitted.intercept), integer=False)
+    return LinearModel(L, K, tuple(float(x) for x in coef), float(fitted.intercept), integer=False), _report(fitted, max_iter)
+
+
+def train_logistic(train: DataFrame, spec: SequenceSpec = SequenceSpec(), tokens: str = "tokens",
+                   label: str = "label", max_iter: int = 100, reg_param: float = 0.0) -> LinearModel:
+    """The model of :func:`fit_logistic`."""
+    return fit_logistic(train, spec, tokens, label, max_iter, reg_param)[0]
 
 
 # --- T5: multilayer perceptron ------------------------------------------------------
@@ -147,9 +174,9 @@ class MLPModel:
         return out
 
 
-def train_mlp(train: DataFrame, spec: SequenceSpec = SequenceSpec(), hidden: Sequence[int] = (32, 16),
-              tokens: str = "tokens", label: str = "label", max_iter: int = 100, seed: int | None = None) -> MLPModel:
-    """T5: MLlib multilayer perceptron on the one-hot input (layers ``[L*K, *hidden, 2]``)."""
+def fit_mlp(train: DataFrame, spec: SequenceSpec = SequenceSpec(), hidden: Sequence[int] = (32, 16), tokens: str = "tokens",
+            label: str = "label", max_iter: int = 100, seed: int | None = None) -> tuple[MLPModel, FitReport]:
+    """T5: MLlib multilayer perceptron on the one-hot input (layers ``[L*K, *hidden, 2]``), and how its solver stopped."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
     L, K = spec.length, spec.alphabet
@@ -158,7 +185,13 @@ def train_mlp(train: DataFrame, spec: SequenceSpec = SequenceSpec(), hidden: Seq
     mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=layers,
                                          maxIter=max_iter, seed=spec.seed if seed is None else seed)
     fitted = mlp.fit(data)
-    return MLPModel(L, K, tuple(layers), tuple(float(x) for x in fitted.weights.toArray()))
+    return MLPModel(L, K, tuple(layers), tuple(float(x) for x in fitted.weights.toArray())), _report(fitted, max_iter)
+
+
+def train_mlp(train: DataFrame, spec: SequenceSpec = SequenceSpec(), hidden: Sequence[int] = (32, 16),
+              tokens: str = "tokens", label: str = "label", max_iter: int = 100, seed: int | None = None) -> MLPModel:
+    """T5: the model of :func:`fit_mlp`."""
+    return fit_mlp(train, spec, hidden, tokens, label, max_iter, seed)[0]
 
 
 def train_model(train: DataFrame, model_type: str, spec: SequenceSpec = SequenceSpec(), **kw):

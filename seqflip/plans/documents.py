@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.model import LinearModel
-from ..operators.train import train_count_weights
+from ..operators.train import MLPModel, train_count_weights, train_logistic, train_mlp
 from ..sources.documents import document_windows, labelled_documents
+from ..sources.models import fitted_once
 from ..sources.tables import read_table, spread
 from ..spec import SequenceSpec
 
@@ -38,6 +39,28 @@ def document_model(spark: SparkSession, sf_dir: str, spec: SequenceSpec = Sequen
     return train_count_weights(labelled(spark, sf_dir, spec).where(F.col("split") == "train"), spec)
 
 
+MLP_ITER = 100
+LR_ITER = 100
+
+
+def train_documents(spark: SparkSession, sf_dir: str, spec: SequenceSpec = SequenceSpec()) -> DataFrame:
+    """The documents of the train split, whole; their digest is the key of fitted models."""
+    docs = labelled_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"), spec)
+    return docs.where(F.col("split") == "train").select("doc_id", "label", "text")
+
+
+def document_mlp(spark: SparkSession, sf_dir: str, spec: SequenceSpec = SequenceSpec()) -> MLPModel:
+    """Multilayer perceptron of the train split; fitted by the first query that asks and loaded by the others."""
+    return fitted_once(train_documents(spark, sf_dir, spec), "mlp", {"spec": repr(spec), "max_iter": MLP_ITER}, lambda: train_mlp(
+        labelled(spark, sf_dir, spec).where(F.col("split") == "train"), spec, max_iter=MLP_ITER))
+
+
+def document_logistic(spark: SparkSession, sf_dir: str, spec: SequenceSpec = SequenceSpec()) -> LinearModel:
+    """Logistic regression of the train split; fitted by the first query that asks and loaded by the others."""
+    return fitted_once(train_documents(spark, sf_dir, spec), "logistic", {"spec": repr(spec), "max_iter": LR_ITER}, lambda: train_logistic(
+        labelled(spark, sf_dir, spec).where(F.col("split") == "train"), spec, max_iter=LR_ITER))
+
+
 def search_input(spark: SparkSession, sf_dir: str, spec: SequenceSpec = SequenceSpec()) -> DataFrame:
     """Every window of every document labelled 0 (the filter reaches the labels scan)."""
     return labelled(spark, sf_dir, spec).where(F.col("label") == 0).select(*DOC_KEYS, "tokens")

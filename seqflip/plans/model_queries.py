@@ -11,20 +11,16 @@ from ..functions.encode import tokens_to_csv
 from ..operators.metrics import mean_change_time, mean_trajectory_time
 from ..operators.nonlinear import mlp_accuracy_by_split, mlp_score, mlp_search_loop
 from ..operators.search import greedy_search, linear_search_loop
-from ..operators.train import accuracy_by_split, train_logistic, train_mlp, train_model
+from ..operators.train import accuracy_by_split, train_model
 from ..operators.score import sigmoid
 from ..session import scratch_path
 from ..sources.tables import load_mlp_model, save_mlp_model
 from ..sources.text import change_log_text, parse_change_log
-from .documents import document_model, labelled, search_input, table
+from .documents import document_logistic, document_mlp, document_model, labelled, search_input, table
 from . import oracle as O
 from .registry import KEYS, SPEC, _with, r6, register
 from .search_queries import _state_select, _state_sql
 
-MLP_ITER = 100
-LR_ITER = 100
-
-
 @register("search_until_done_loop", _state_sql(None))
 def q_search_until_done_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10 loop path: literal rounds until no row works; equals the window path."""
@@ -51,9 +47,9 @@ def q_train_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pipeline(spark, sf_dir, "count")
 
 
-def _pipeline(spark: SparkSession, sf_dir: str, kind: str, **options) -> DataFrame:
+def _pipeline(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     data = labelled(spark, sf_dir, SPEC)
-    model = train_model(data.where(F.col("split") == "train"), kind, SPEC, **options)
+    model = document_logistic(spark, sf_dir, SPEC) if kind == "lr" else train_model(data.where(F.col("split") == "train"), kind, SPEC)
     return accuracy_by_split(data, model).withColumn("accuracy", F.round("accuracy", 9))
 
 
@@ -66,14 +62,14 @@ def q_train_pipeline_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("train_logistic")
 def q_train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MLlib logistic regression on the one-hot windows; its weights table."""
-    model = train_logistic(labelled(spark, sf_dir, SPEC).where(F.col("split") == "train"), SPEC, max_iter=LR_ITER)
+    model = document_logistic(spark, sf_dir, SPEC)
     return model.to_df(spark).withColumn("bias", F.lit(model.bias))
 
 
 @register("logistic_search")
 def q_logistic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T3 -> P10: the window search driven by the MLlib logistic model (float logits)."""
-    model = train_logistic(labelled(spark, sf_dir, SPEC).where(F.col("split") == "train"), SPEC, max_iter=LR_ITER)
+    model = document_logistic(spark, sf_dir, SPEC)
     st = greedy_search(search_input(spark, sf_dir, SPEC), model, SPEC)
     return st.select(*KEYS, tokens_to_csv("current_tokens").alias("current_tokens"), r6("init_pred").alias("init_pred"),
                      r6("current_pred").alias("current_pred"), "total_changes", "status")
@@ -82,17 +78,14 @@ def q_logistic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("train_mlp")
 def q_train_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5 + T6: MLlib multilayer perceptron (L*K -> 32 -> 16 -> 2); accuracy per split."""
-    data = labelled(spark, sf_dir, SPEC)
-    model = train_mlp(data.where(F.col("split") == "train"), SPEC, max_iter=MLP_ITER)
-    return mlp_accuracy_by_split(data, model).withColumn("accuracy", F.round("accuracy", 9))
+    return mlp_accuracy_by_split(labelled(spark, sf_dir, SPEC), document_mlp(spark, sf_dir, SPEC)).withColumn("accuracy", F.round("accuracy", 9))
 
 
 @register("mlp_search")
 def q_mlp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P9 with the non-linear model: five literal rounds, gradient by numpy back-propagation
     in Arrow batches over the rows still working."""
-    data = labelled(spark, sf_dir, SPEC)
-    model = train_mlp(data.where(F.col("split") == "train"), SPEC, max_iter=MLP_ITER)
+    model = document_mlp(spark, sf_dir, SPEC)
     st = mlp_search_loop(search_input(spark, sf_dir, SPEC), model, SPEC, rounds=5)
     return st.select(*KEYS, tokens_to_csv("current_tokens").alias("current_tokens"), r6("init_pred").alias("init_pred"),
                      r6("current_pred").alias("current_pred"), "total_changes", "status", "working")
@@ -129,15 +122,14 @@ def q_load_mlp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5 + S11 for the non-linear model: saved, loaded by path, and every labelled window scored with it."""
     data = labelled(spark, sf_dir, SPEC)
     path = scratch_path(spark, "mlp")
-    save_mlp_model(train_mlp(data.where(F.col("split") == "train"), SPEC, max_iter=MLP_ITER), spark, path)
+    save_mlp_model(document_mlp(spark, sf_dir, SPEC), spark, path)
     return mlp_score(data, load_mlp_model(spark, path)).select(*KEYS, "label", "split", r6("pred").alias("pred"))
 
 
 @register("mlp_search_until_done")
 def q_mlp_search_until_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10 with the non-linear model: rounds until no window is working."""
-    data = labelled(spark, sf_dir, SPEC)
-    model = train_mlp(data.where(F.col("split") == "train"), SPEC, max_iter=MLP_ITER)
+    model = document_mlp(spark, sf_dir, SPEC)
     st = mlp_search_loop(search_input(spark, sf_dir, SPEC), model, SPEC)
     return st.select(*KEYS, tokens_to_csv("current_tokens").alias("current_tokens"), r6("init_pred").alias("init_pred"),
                      r6("current_pred").alias("current_pred"), "total_changes", "status", "working")

@@ -40,7 +40,7 @@ def _with(*ctes: str) -> str:
 
 
 def _load_all() -> None:
-    from . import (document_queries, generator_queries, io_queries, model_queries,  # noqa: F401
+    from . import (certificate_queries, document_queries, generator_queries, io_queries, model_queries,  # noqa: F401
                    search_queries)
 
 
