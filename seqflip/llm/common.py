@@ -3,20 +3,15 @@ Arrow batches and word hashing."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..session import scratch_path
-
-#: ASCII white space, the only separator of words in this subpackage (bytes.split uses the same six).
-SPACE = r"[\x20\x09-\x0D]"
+from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_path, store_result
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,6 +31,14 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return out
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Store what ``build`` gives and delete the tables that it stored on the way."""
+    path = scratch_path(spark, name)
+    out = store_result(spark, build, path)
+    out.stored_at = path
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that ``stored`` wrote, once nothing reads it any more."""
     spark, path = df.sparkSession, df.stored_at
@@ -43,14 +46,6 @@ def forget(df: DataFrame) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
-def hash64(*cols: Column | str) -> Column:
-    return F.xxhash64(*cols)
-
-
 class WordHash(dict):
     """word bytes -> stable 64-bit hash; forgets all when it holds ``limit`` words (results do not change)."""
 

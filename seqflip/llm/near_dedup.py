@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, forget, mix, row_slices, shingle_hashes, stored
+from .common import WordHash, forget, mix, row_slices, settled, shingle_hashes, stored
 from .components import connected_components
 
 N_COORDINATES = 32
@@ -225,7 +225,11 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def judged_rows(df: DataFrame, key: str, text: str, width: int, percent: int, n_coordinates: int) -> DataFrame:
-    """``near_duplicates`` with the key as ``key``, and ``text_id``."""
+    """``near_duplicates`` with the key as ``key``, and ``text_id``; stored, and the tables on the way to it deleted."""
+    return settled(df.sparkSession, lambda: _judged(df, key, text, width, percent, n_coordinates), "judged")
+
+
+def _judged(df: DataFrame, key: str, text: str, width: int, percent: int, n_coordinates: int) -> DataFrame:
     threshold = match_threshold(n_coordinates, percent)
     rows = stored(document_signatures(df, key, text, width, n_coordinates).withColumn("row", F.monotonically_increasing_id()), "signatures")
     full = rows.filter("set_key IS NOT NULL")

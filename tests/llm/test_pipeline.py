@@ -74,3 +74,20 @@ def test_run_and_empty_table(spark, corpus, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_names_of_the_last_stage_and_scratch(spark, corpus, tmp_path):
+    folder = corpus[0]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    from pyspark.sql import functions as F
+
+    docs.select("*", F.lit("mine").alias("token_ids"), F.lit(7).alias("N_Tokens")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    p = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda: {s.getPath().getName() for s in fs.listStatus(p)} if fs.exists(p) else set()
+    before = names()
+    out = cp.run(spark, str(tmp_path))
+    assert out.count() == 44 and {(r.input_token_ids, r.input_N_Tokens) for r in out.collect()} == {("mine", 7)}
+    assert all(r.n_tokens == len(r.token_ids) for r in out.collect())
+    assert {n.rsplit("-", 1)[0] for n in names() - before} == {"stage-bpe"}
