@@ -2,9 +2,11 @@
 
 Every stage gets what its predecessor kept and returns the columns of documents; the last one returns the encoded
 corpus.  ``run`` writes each stage as Parquet in the shared folder and rereads it, so a lost executor replays one stage at
-most.
+most; a stage's scratch tables go when it is written, its input when the next one is.
 
-Defined cases: columns that a stage does not name pass through, whatever they are called; null and empty texts have no words
+Defined cases: columns that a stage does not name pass through, whatever they are called; columns of the input called
+``token_ids`` or ``n_tokens`` come out as ``input_token_ids`` and ``input_n_tokens``; ``n_chars`` is always that of the text as it
+has become; null and empty texts have no words
 and go in the first stage; rows without a doc_id are documents like any other, but decontamination knows a document by its
 doc_id, so all of them go if one leaks; equal rows are copies, of which one stays; a null source is a host of its own;
 texts of any length are processed whole; empty tables give an empty corpus.
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqflip.llm.bpe import encode
-from seqflip.llm.common import stored
+from seqflip.llm.common import forget, settled
 from seqflip.llm.decontamination import benchmark_leaks
 from seqflip.llm.near_dedup import drop_near_duplicates
 from seqflip.llm.passages import remove_passages
@@ -55,6 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document that is left."""
+    docs = docs.withColumnsRenamed({c: f"input_{c}" for c in docs.columns if c.lower() in ("token_ids", "n_tokens")})
     encoded = encode(docs, public_tokenizers.path(VOCABULARY), out="token_ids")
     return encoded.withColumn("n_tokens", F.size("token_ids").cast("long")).drop("text")
 
@@ -69,6 +72,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
