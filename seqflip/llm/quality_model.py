@@ -3,10 +3,12 @@
 Overlapping heuristic labellers vote good, bad or nothing on every document.  Documents are counted by their pattern of
 votes (at most 3 to the power of the labellers, whatever the table holds), and expectation-maximisation over these counts
 estimates each labeller's accuracy and coverage and the share of good documents; that gives every pattern a posterior.
-The posteriors of a bounded sample then train a linear scorer on hashed words, which scores all documents.
+The posteriors of a bounded sample (at most ``max_rows`` distinct texts) then train a linear scorer on hashed words, which
+scores all documents.
 
-Votes and features come from a table of the words that a worker has met, row by row, without a shuffle; training is MLlib
-on the sample; the driver sees the pattern counts and the model's weights, both bounded by parameters.
+Votes and features come from a table of the words that a worker has met, row by row; what shuffles is a hash and a pattern
+for each distinct text; training is MLlib on the sample; the driver sees the pattern counts, a hash and the model's weights,
+all bounded by parameters.
 
 Defined cases: a null or empty text has no words; its labellers vote on nothing but its length; repeated rows and null
 keys each keep a row; other columns are dropped; an empty table, or one whose votes name a single class, gives the
@@ -27,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_slices, stored
+from .common import forget, row_slices, stored
 
-#: Documents that train the scorer; labelled rows beyond that add nothing to a model of 2 * N_FEATURES weights.
+#: Distinct texts that train the scorer; labelled rows beyond that add nothing to a model of 2 * N_FEATURES weights.
 MAX_TRAINING_ROWS = 20_000
 N_FEATURES = 1 << 12
 ROUNDS = 50
@@ -215,6 +217,14 @@ def train_scorer(sample: DataFrame, n_features: int) -> LogisticRegressionModel:
     return LogisticRegression(featuresCol="vector", maxIter=30, regParam=0.01, weightCol="weight", standardization=False).fit(rows)
 
 
+def sampled_texts(source: DataFrame, texts: DataFrame, max_rows: int) -> DataFrame:
+    """(h, _text) of the rows whose text is in the sample: the ``max_rows`` distinct texts of smallest hash, so the sample is
+    never empty, never larger, and the same however the table is dealt.  Every text counts once, whatever its copies:
+    weighted by them, one hot text would be all that a small sample learns from."""
+    last = texts.select("h").distinct().orderBy("h").limit(max_rows).agg(F.max("h").alias("h")).first()["h"]
+    return source.select(F.xxhash64("_text").alias("h"), "_text").filter(F.col("h") <= F.lit(last))
+
+
 def quality_scores(df: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_TRAINING_ROWS,
                    n_features: int = N_FEATURES, keep_from: float = 0.5) -> DataFrame:
     """(key, posterior, score, kept) of every row; ``posterior`` comes from the votes, ``score`` from the scorer."""
@@ -231,35 +241,41 @@ def score_with_model(df: DataFrame, key: str = "doc_id", text: str = "text", max
         table = WordTable(n_features)
         for whole in batches:
             for b in row_slices(whole, "_text"):
-                pattern, _ = document_votes(b.column(0).to_pylist(), table, with_features=False)
-                yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int32())], names=["pattern"])
+                pattern, _ = document_votes(b.column(1).to_pylist(), table, with_features=False)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pattern, pa.int32())], names=["h", "pattern"])
 
-    counts = source.select("_text").mapInArrow(vote, "pattern int").groupBy("pattern").count().collect()  # 3 ** labellers at most
+    # A row for each distinct text: copies are summed before they move.
+    voted = source.select(F.xxhash64("_text").alias("h"), "_text").mapInArrow(vote, "h long, pattern int")
+    texts = stored(voted.groupBy("h", "pattern").agg(F.count("*").alias("n")), "votes")
+    counts = texts.groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # 3 ** labellers at most
     table = np.array([decode_pattern(r["pattern"], len(LABELLERS)) for r in counts], np.int64).reshape(-1, len(LABELLERS))
-    label_model = expectation_maximisation(table, np.array([r["count"] for r in counts], float))
+    label_model = expectation_maximisation(table, np.array([r["n"] for r in counts], float))
     found = label_model.posterior(table)
     names = dict(zip(LABELLERS, label_model.accuracy.round(4).tolist()))
 
-    # The sample: a slice of the hash space of texts that holds about max_rows documents, so that a table gives the same
-    # model however it is dealt.
-    total = int(sum(r["count"] for r in counts))
-    part = int(min(1.0, max_rows / max(1, total)) * (1 << 20))
-
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(n_features)
+        words, seen = WordTable(n_features), set()  # max_rows hashes at most
         for whole in batches:
             for b in row_slices(whole, "_text"):
-                pattern, features = document_votes(b.column(0).to_pylist(), words)
+                hashes = b.column(0).to_pylist()
+                new = [i for i, h in enumerate(hashes) if h not in seen and not seen.add(h)]
+                if not new:
+                    continue
+                b = b.take(pa.array(new, pa.int64()))
+                pattern, features = document_votes(b.column(1).to_pylist(), words)
                 votes = np.array([decode_pattern(int(p), len(LABELLERS)) for p in pattern], np.int64).reshape(-1, len(LABELLERS))
-                yield pa.RecordBatch.from_arrays([pa.array(features, pa.list_(pa.int32())), pa.array(label_model.posterior(votes))],
-                                                 names=["features", "posterior"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(features, pa.list_(pa.int32())), pa.array(label_model.posterior(votes))],
+                                                 names=["h", "features", "posterior"])
 
     two_classes = len(found) and not ((found >= 0.5).all() or (found < 0.5).all())
     weights = None
     if two_classes:
-        chosen = source.select("_text").filter(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < part)
-        fitted = train_scorer(stored(chosen.mapInArrow(learn, "features array<int>, posterior double"), "weak_labels"), n_features)
+        chosen = sampled_texts(source, texts, max_rows).mapInArrow(learn, "h long, features array<int>, posterior double")
+        sample = stored(chosen.dropDuplicates(["h"]).orderBy("h"), "weak_labels")
+        fitted = train_scorer(sample, n_features)
         weights, bias = fitted.coefficients.toArray(), float(fitted.intercept)
+        forget(sample)
+    forget(texts)
 
     schema = T.StructType([T.StructField("_key", key_type), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType())])
 

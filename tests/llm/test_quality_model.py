@@ -1,7 +1,7 @@
 import numpy as np
 
 from seqflip.llm.quality_model import (_shape, word_stats, BAD, GOOD, LABELLERS, WordTable, decode_pattern, document_votes, encode_pattern,
-                                       expectation_maximisation, quality_scores, score_with_model)
+                                       expectation_maximisation, quality_scores, sampled_texts, score_with_model)
 
 SF = "/root/testdata/sf0.01"
 
@@ -41,6 +41,21 @@ def test_accuracy_on_labels_never_trained_on(spark):
     assert set(accuracies) == set(LABELLERS) and min(accuracies.values()) > 0.5
 
 
+def test_sample_is_bounded_and_a_hot_text_counts_once(spark):
+    rows = [(f"text number {i}",) for i in range(400)] + [("one hot text",)] * 200
+    source = spark.createDataFrame(rows, "_text string").repartition(5)
+    texts = source.selectExpr("xxhash64(_text) AS h", "0 AS pattern").groupBy("h", "pattern").count()
+    for most in (1, 50, 401, 10_000):
+        got = sampled_texts(source, texts, most)
+        assert got.select("h").distinct().count() == min(most, 401)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    hot = docs.orderBy("doc_id").limit(1)
+    crowd = docs.unionByName(hot.selectExpr("explode(sequence(10000000L, 10000499L)) AS doc_id", "text"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    judged = quality_scores(crowd, max_rows=300).join(labels, "doc_id").select("kept", "quality").collect()
+    assert sum(r.kept == bool(r.quality) for r in judged) / len(judged) > 0.95
+
+
 def test_nulls_repeats_clashes_and_empty(spark):
     rows = [(1, None, 0.0), (1, None, 0.0), (None, "", 1.0), (2, "### $$$ %%%", None), (3, "A plain sentence of words. " * 20, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, Score double")
