@@ -41,6 +41,7 @@ MEMO_LIMIT = 300_000
 def byte_symbols() -> dict[str, int]:
     """The printable character that stands for each byte in the vocabulary file: printable Latin-1 bytes stand
     for themselves, the others follow from U+0100 on."""
+    # The ranges of printable Latin-1 characters.
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in own]
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
@@ -236,49 +237,6 @@ def _others(df: DataFrame, out: str) -> list[str]:
     return [c for c in df.columns if c.lower() != out.lower()]
 
 
-def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, offsets): the ids of text k are ``ids[offsets[k]:offsets[k + 1]]``."""
-        if len(self.number) > self.memo_limit:
-            self.forget()
-        number, new, flat, sizes = self.number, [], [], []
-        for text in texts:
-            found = self.pieces(text)
-            sizes.append(len(found))
-            for p in found:
-                k = number.get(p)
-                if k is None:
-                    k = number[p] = len(number)
-                    new.append(p)
-                flat.append(k)
-        if new:
-            self.learn(new)
-        piece = np.array(flat, np.int64)
-        lengths = self.starts[piece + 1] - self.starts[piece]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        take = np.repeat(self.starts[piece] - ends[:-1], lengths) + np.arange(ends[-1])
-        return self.ids[take], ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)]
-
-
-def decode_ids(vocab: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
-    """Texts of many id lists laid end to end; invalid UTF-8 becomes U+FFFD."""
-    ids = ids.astype(np.int64)
-    lengths = vocab.starts[ids + 1] - vocab.starts[ids]
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    take = np.repeat(vocab.starts[ids] - ends[:-1], lengths) + np.arange(ends[-1])
-    data, cuts = vocab.all_bytes[take].tobytes(), ends[offsets].tolist()
-    return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
-
-
-def _append(batch: pa.RecordBatch, others: list[str], name: str, values: pa.Array) -> pa.RecordBatch:
-    kept = [batch.column(batch.schema.get_field_index(c)) for c in others]
-    return pa.RecordBatch.from_arrays([*kept, values], names=[*others, name])
-
-
-def _free(df: DataFrame, name: str) -> None:
-    if name.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"column {name} exists already; name another output")
-
-
 def encode(df: DataFrame, vocab_path: str, text: str = "text", out: str = "ids", block_bytes: int = 4 << 20) -> DataFrame:
     """Add ``out``, the ids (array of int) of the whole text."""
     others = _others(df, out)
