@@ -14,8 +14,11 @@ all items.  An item that leaked into many passages makes its own words common, s
 Items longer than a passage are cut into queries no longer than one.  Candidates are confirmed on the words around them: the longest common subsequence with the item, the share
 of the item's TF-IDF weight that is there, and for paraphrases the item's answer.
 
-The benchmark is a query set.  It is taken in blocks of about ``BLOCK_ITEMS`` queries and the vocabulary, the basis and the
-items of a block are all that is broadcast.  The corpus never shuffles; what moves are sums of a bounded size for each task.
+The benchmark is a query set.  Words, their weights and the lengths of passages are those of the whole benchmark, from one
+scan of the corpus; so an item's cosines do not depend on what it is searched together with.  The latent spaces are made for
+blocks of about ``BLOCK_ITEMS`` queries, each over its own words and of a rank above its items; ``SCAN_BLOCKS`` of them share
+the two scans that remain, one for the sketches and one for the search.  Broadcast are the benchmark's words and the items and
+matrices of these blocks.  The corpus never shuffles; what moves are sums of a bounded size for each task.
 
 Defined cases: null or empty texts and items match nothing; an
 item of fewer than ``MIN_ITEM_WORDS`` words must occur whole; repeated rows and null keys each get rows of their own;
@@ -25,6 +28,7 @@ other columns are dropped; an empty table on either side gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
@@ -39,7 +43,7 @@ from pyspark.sql import types as T
 from .common import mix, row_slices, stored
 
 WINDOW, STRIDE = 64, 32
-BLOCK_ITEMS = 256
+BLOCK_ITEMS, SCAN_BLOCKS = 256, 4
 EXTRA_RANK, OVERSAMPLING = 16, 8
 MIN_COSINE = 0.3
 #: Confirmation: share of the item's words in order (alone, or together with the answer) and of its weight.
@@ -149,6 +153,15 @@ def _parts(keys: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in matrix], pa.binary())], names=["k", "v"])
 
 
+@dataclass
+class Statistics:
+    """The words of the benchmark, their weights, and the passages of the corpus that hold each."""
+
+    vocabulary: Vocabulary
+    weight: np.ndarray
+    counts: np.ndarray
+
+
 @dataclass
 class Space:
     """Columns, their weights, the basis (columns x rank) and the singular values."""
@@ -161,9 +174,11 @@ class Space:
 
 def passage_counts(texts: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
     """Passages in all, and those that hold each column."""
-    n, used = len(vocabulary), np.ones(len(vocabulary), bool)
+    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
+        n, used = len(vocabulary), np.ones(len(vocabulary), bool)
         total, count = np.zeros(n, np.int64), 0
         for whole in batches:
             for b in row_slices(whole, "text"):
@@ -174,60 +189,96 @@ def passage_counts(texts: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.nd
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1), pa.int32()), pa.array(np.append(total[held], count), pa.int64())], names=["k", "n"])
 
     rows = texts.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    found = np.zeros(n, np.int64)
+    found = np.zeros(len(vocabulary), np.int64)
     for r in rows:
         if r.k >= 0:
             found[r.k] = r.n
     return next((r.n for r in rows if r.k < 0), 0), found
 
 
-def sketch_of(texts: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(columns, rows of A'(A R)): the sum over all passages a of a'(a R)."""
-    sent = texts.sparkSession.sparkContext.broadcast((vocabulary, weight.astype(np.float32), random.astype(np.float32)))
-    width = random.shape[1]
+def queried_words(queries: DataFrame) -> dict[bytes, int]:
+    """How many queries hold each word of the benchmark; for the empty word, how many there are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = pieces([Item(None, w, []) for t in b.column(0).to_pylist() if (w := words_of(t))])[0]
+            held = Counter(chain.from_iterable(set(x.words) for x in parts))
+            held[b""] = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+    rows = queries.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    return {bytes(r.word): r.n for r in rows}
+
+
+def word_statistics(texts: DataFrame, held: dict[bytes, int]) -> Statistics:
+    """Weights of the words of ``queried_words`` from all passages of ``texts`` and all queries."""
+    words = sorted(w for w in held if w)
+    vocabulary = Vocabulary({w: i for i, w in enumerate(words)})
+    total, counts = passage_counts(texts, vocabulary)
+    mine = np.array([held[w] for w in words], float)
+    return Statistics(vocabulary, np.log1p((total + held.get(b"", 0)) / np.maximum(1.0, counts + mine)), counts)
+
+
+def _local(known: Statistics, vocabulary: Vocabulary) -> np.ndarray:
+    """The column of a block's vocabulary for each word of the benchmark, -1 for none."""
+    out = np.full(len(known.vocabulary), -1, np.int64)
+    out[known.vocabulary.columns(vocabulary, len(vocabulary))] = np.arange(len(vocabulary))
+    return out
+
+
+def sketches_of(texts: DataFrame, known: Statistics, blocks: list[tuple[Vocabulary, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """A'(A R) for each block (vocabulary, weight, R): the sum over all passages a of a'(a R).  One scan for all."""
+    width = max(r.shape[1] for _, _, r in blocks)
+    ends = np.cumsum([0, *(len(v) for v, _, _ in blocks)])
+    sent = texts.sparkSession.sparkContext.broadcast((known.vocabulary, [(_local(known, v), w.astype(np.float32), r.astype(np.float32)) for v, w, r in blocks]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weight, random = sent.value
-        total = np.zeros((len(weight), width))
-        used, weighted = weight > 0, random * weight[:, None]
+        vocabulary, blocks = sent.value
+        totals = [np.zeros(r.shape) for _, _, r in blocks]
+        used, weighted = np.ones(len(vocabulary), bool), [r * w[:, None] for _, w, r in blocks]
         for whole in batches:
             for b in row_slices(whole, "text"):
                 rows, columns, _, _ = sparse_passages(b.column(b.schema.get_field_index("text")).to_pylist(), vocabulary, used, WINDOW)
-                for r, c in _runs(rows, columns):
-                    first = _groups(r)
-                    dense = _sums(weighted, c, first)
-                    own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(r))))
-                    order = np.argsort(c, kind="stable")
-                    heads = _groups(c[order])
-                    total[c[order][heads]] += _sums(dense, own[order], heads) * weight[c[order][heads], None]
-        held = np.flatnonzero(total.any(axis=1))
-        if len(held):
-            yield _parts(held, total[held])
-
-    return sums_by_key(texts.select("text").mapInArrow(run, "k int, v binary"), width)
-
-
-def latent_space(texts: DataFrame, items: list[Item], seed: int = 20) -> Space | None:
-    """Randomised SVD of the passages of ``texts`` and the items; None if they have no word."""
-    vocabulary = Vocabulary({w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))})
-    if not vocabulary:
-        return None
-    total, counts = passage_counts(texts, vocabulary)
-    n_items = np.zeros(len(vocabulary))
-    for x in items:
-        n_items[np.unique(vocabulary.columns(x.words, len(x.words)))] += 1
-    weight = np.log1p((total + len(items)) / np.maximum(1.0, counts + n_items))
+                for (local, weight, _), total, product in zip(blocks, totals, weighted):
+                    mine = local[columns]
+                    here = mine >= 0
+                    for r, c in _runs(rows[here], mine[here]):
+                        first = _groups(r)
+                        dense = _sums(product, c, first)
+                        own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(r))))
+                        order = np.argsort(c, kind="stable")
+                        heads = _groups(c[order])
+                        total[c[order][heads]] += _sums(dense, own[order], heads) * weight[c[order][heads], None]
+        for start, total in zip(ends.tolist(), totals):
+            held = np.flatnonzero(total.any(axis=1))
+            if len(held):
+                yield _parts(held + start, np.pad(total[held], ((0, 0), (0, width - total.shape[1]))))
+
+    keys, sums = sums_by_key(texts.select("text").mapInArrow(run, "k int, v binary"), width)
+    whole = np.zeros((int(ends[-1]), width))
+    whole[keys] = sums
+    return [whole[a:z, :r.shape[1]] for a, z, (_, _, r) in zip(ends, ends[1:], blocks)]
+
+
+def latent_spaces(texts: DataFrame, blocks: list[list[Item]], known: Statistics, seed: int = 20) -> list[Space]:
+    """Randomised SVD of the passages of ``texts`` and a block's items, for every block; items have words."""
+    ready = []
+    for items in blocks:
+        vocabulary = Vocabulary({w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))})
+        weight = known.weight[known.vocabulary.columns(vocabulary, len(vocabulary))]
+        rank = min(len(items) + EXTRA_RANK, len(vocabulary))
+        random = np.random.default_rng(seed).standard_normal((len(vocabulary), min(rank + OVERSAMPLING, len(vocabulary))))
+        ready.append((vocabulary, weight, np.linalg.qr(random)[0]))
+    return [_space(items, known, *block, part) for items, block, part in zip(blocks, ready, sketches_of(texts, known, ready))]
+
+
+def _space(items: list[Item], known: Statistics, vocabulary: Vocabulary, weight: np.ndarray, random: np.ndarray, part: np.ndarray) -> Space:
+    """The space of a block from the corpus's part of its sketch."""
     dense_items = item_vectors(items, vocabulary, weight)
+    counts = known.counts[known.vocabulary.columns(vocabulary, len(vocabulary))]
     energy = float((counts * weight ** 2).sum())
     stress = max(1.0, energy) / max(1e-9, float((dense_items ** 2).sum()))
-    rank = min(len(items) + EXTRA_RANK, int((weight > 0).sum()))
-    width = min(rank + OVERSAMPLING, len(vocabulary))
-    random = np.random.default_rng(seed).standard_normal((len(vocabulary), width))
-
-    random, _ = np.linalg.qr(random)
-    sketch = stress * dense_items.T @ (dense_items @ random)
-    keys, part = sketch_of(texts, vocabulary, weight, random)
-    sketch[keys] += part
+    rank = min(len(items) + EXTRA_RANK, len(vocabulary))
+    sketch = stress * dense_items.T @ (dense_items @ random) + part
     # Nystrom: A'A ~ Y (R'Y)^-1 Y'; a small shift keeps the inverse stable.
     shift = 1e-6 * np.linalg.norm(sketch, 2)
     shifted = sketch + shift * random
@@ -238,6 +289,15 @@ def latent_space(texts: DataFrame, items: list[Item], seed: int = 20) -> Space |
     return Space(vocabulary, weight, basis[:, :rank], np.sqrt(np.maximum(singular[:rank] ** 2 - shift, 0)))
 
 
+def latent_space(texts: DataFrame, items: list[Item]) -> Space | None:
+    """The space of items that are the whole benchmark; None if they have no word."""
+    held = Counter(chain.from_iterable(set(x.words) for x in items))
+    if not held:
+        return None
+    held[b""] = len(items)
+    return latent_spaces(texts, [items], word_statistics(texts, held))[0]
+
+
 def item_vectors(items: list[Item], vocabulary: Vocabulary, weight: np.ndarray) -> np.ndarray:
     out = np.zeros((len(items), len(weight)))
     for i, x in enumerate(items):
@@ -330,43 +390,59 @@ class Runs:
 HIT = "cosine double, lcs double, answer double, start_word long, end_word long"
 
 
-def find_leaks(docs: DataFrame, items: list[Item], space: Space, item_type: T.DataType, min_cosine: float) -> DataFrame:
-    """(_key, _item, HIT) of confirmed pairs; ``docs`` has _key and text."""
-    parts, first_part = pieces(items)
-    queries = item_vectors(parts, space.vocabulary, space.weight) @ space.basis
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-    # A passage times this is its latent vector times each query's.
-    products = (space.weight[:, None] * (space.basis @ queries.T)).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast((space.vocabulary, space.weight, products, items, first_part, Runs(items, space.vocabulary)))
+def find_leaks(docs: DataFrame, blocks: list[list[Item]], spaces: list[Space], known: Statistics, item_type: T.DataType, min_cosine: float) -> DataFrame:
+    """(_key, _item, HIT) of confirmed pairs; ``docs`` has _key and text.  One scan for all blocks."""
+    searched = []
+    for items, space in zip(blocks, spaces):
+        parts, first_part = pieces(items)
+        queries = item_vectors(parts, space.vocabulary, space.weight) @ space.basis
+        queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
+        # A passage times this is its latent vector times each query's.
+        products = (space.weight[:, None] * (space.basis @ queries.T)).astype(np.float32)
+        searched.append((_local(known, space.vocabulary), products, len(items), first_part))
+    every_item = list(chain.from_iterable(blocks))
+    sent = docs.sparkSession.sparkContext.broadcast((known.vocabulary, known.weight, every_item, searched, Runs(every_item, known.vocabulary)))
     schema = T.StructType([T.StructField("_key", docs.schema["_key"].dataType), T.StructField("_item", item_type), *T._parse_datatype_string(HIT).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weight, products, items, first_part, runs = sent.value
-        used, weight_of = weight > 0, {w: float(weight[i]) for w, i in vocabulary.items()}
+        vocabulary, weight, items, searched, runs = sent.value
+        used = np.ones(len(vocabulary), bool)
+        weight_of = {w: float(weight[vocabulary[w]]) for x in items for w in x.words}
         for whole in batches:
             for b in row_slices(whole, "text"):
                 rows, columns, starts, words, every = _passages(b.column(1).to_pylist(), vocabulary, used, STRIDE)
+                # A passage is as long as its whole vector over the benchmark's words, so that what lies outside the latent
+                # space counts against it.
+                norm = np.sqrt(np.bincount(rows, weight[columns] ** 2, int(starts[-1])))
                 run_at, run_item = runs.find(every, np.fromiter(map(len, words), np.int64, len(words)), starts)
                 best: dict[tuple[int, int], tuple] = {}
-                for at, cosine in _cosines(rows, columns, weight, products):
-                    cosine = np.maximum.reduceat(cosine, first_part, axis=1) if cosine.shape[1] > len(items) else cosine
-                    candidate = cosine >= min_cosine
-                    mine = slice(*np.searchsorted(run_at, [at[0], at[-1] + 1]))
-                    candidate[np.searchsorted(at, run_at[mine]), run_item[mine]] = True
-                    for p, q in zip(*(x.tolist() for x in np.nonzero(candidate))):
-                        doc = int(np.searchsorted(starts, at[p], "right")) - 1
-                        reach = len(items[q].words)
-                        first = (int(at[p]) - int(starts[doc])) * STRIDE
-                        lo, hi = max(0, first - reach), min(len(words[doc]), first + WINDOW + reach)
-                        known = best.get((doc, q))
-                        if known is not None and known[1] == 1.0:
-                            continue
-                        ok, share, answer = confirm(items[q], words[doc][lo:hi], weight_of)
-                        if ok and (known is None or share > known[1]):
-                            best[doc, q] = (float(cosine[p, q]), share, answer, lo, hi)
+                highest: dict[tuple[int, int], float] = {}
+                base = 0
+                for local, products, n_items, first_part in searched:
+                    mine = local[columns]
+                    here, own = mine >= 0, (run_item >= base) & (run_item < base + n_items)
+                    own_at, own_item = run_at[own], run_item[own] - base
+                    for at, cosine in _cosines(rows[here], mine[here], norm, products):
+                        cosine = np.maximum.reduceat(cosine, first_part, axis=1) if cosine.shape[1] > n_items else cosine
+                        candidate = cosine >= min_cosine
+                        met = slice(*np.searchsorted(own_at, [at[0], at[-1] + 1]))
+                        candidate[np.searchsorted(at, own_at[met]), own_item[met]] = True
+                        for p, q in zip(*(x.tolist() for x in np.nonzero(candidate))):
+                            doc, item = int(np.searchsorted(starts, at[p], "right")) - 1, items[base + q]
+                            highest[doc, base + q] = max(float(cosine[p, q]), highest.get((doc, base + q), 0.0))
+                            reach = len(item.words)
+                            first = (int(at[p]) - int(starts[doc])) * STRIDE
+                            lo, hi = max(0, first - reach), min(len(words[doc]), first + WINDOW + reach)
+                            before = best.get((doc, base + q))
+                            if before is not None and before[0] == 1.0:
+                                continue
+                            ok, share, answer = confirm(item, words[doc][lo:hi], weight_of)
+                            if ok and (before is None or share > before[0]):
+                                best[doc, base + q] = (share, answer, lo, hi)
+                    base += n_items
                 if best:
                     where = sorted(best)
-                    columns_out = list(zip(*(best[w] for w in where)))
+                    columns_out = list(zip(*((highest[w], *best[w]) for w in where)))
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).take(pa.array([d for d, _ in where])), pa.array([items[q].id for _, q in where]),
                          *[pa.array(c, pa.float64()) for c in columns_out[:3]], *[pa.array(c, pa.int64()) for c in columns_out[3:]]], names=schema.fieldNames())
@@ -374,13 +450,11 @@ def find_leaks(docs: DataFrame, items: list[Item], space: Space, item_type: T.Da
     return docs.select("_key", "text").mapInArrow(run, schema)
 
 
-def _cosines(rows: np.ndarray, columns: np.ndarray, weight: np.ndarray, products: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(passages, cosines with all items) in runs of entries.  A passage is as long as its whole vector, so that what lies
-    outside the latent space counts against it."""
+def _cosines(rows: np.ndarray, columns: np.ndarray, norm: np.ndarray, products: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(passages, cosines with all queries) in runs of entries; ``norm`` has the length of every passage."""
     for r, c in _runs(rows, columns, 20_000):
         first = _groups(r)
-        norm = np.sqrt(np.add.reduceat(weight[c] ** 2, first))
-        yield r[first], _sums(products, c, first) / norm[:, None]
+        yield r[first], _sums(products, c, first) / norm[r[first], None]
 
 
 def _runs(rows: np.ndarray, columns: np.ndarray, step: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -396,23 +470,27 @@ def _runs(rows: np.ndarray, columns: np.ndarray, step: int = 50_000) -> Iterator
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
                     answer: str | None = None, min_cosine: float = MIN_COSINE, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(key, item, cosine, lcs, answer, start_word, end_word): a row for each document and each item found in it; words
-    [start_word, end_word) were compared.  Without an ``answer`` column an item's answer is its last sentence."""
+    """(key, item, cosine, lcs, answer, start_word, end_word): a row for each document and each item found in it, with the
+    highest cosine of its candidates; words [start_word, end_word) were compared.  Without an ``answer`` column an item's answer is its last sentence."""
     spark = docs.sparkSession
     corpus = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     queries = benchmark.select(F.col(item).alias("id"), F.col(item_text).alias("text"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("answer"))
     queries = stored(queries.filter("text IS NOT NULL"), "benchmark")
-    n_words = F.size(F.split("text", r"[\x00-\x7F&&[^0-9A-Za-z]]+"))
-    n_pieces = queries.agg(F.sum(F.ceil(n_words / WINDOW))).first()[0] or 0
-    blocks = max(1, ceil(n_pieces / block_items))
+    held = queried_words(queries)
+    blocks = max(1, ceil(held.get(b"", 0) / block_items))
     item_type = benchmark.schema[item].dataType
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("_item", item_type), *T._parse_datatype_string(HIT).fields])
     out = spark.createDataFrame([], schema)
-    for k in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()
-        items = [Item(r.id, w, words_of(r.answer if r.answer is not None else last_sentence(r.text))) for r in rows if (w := words_of(r.text))]
-        space = latent_space(corpus, pieces(items)[0]) if items else None
-        if space is not None:
-            found = find_leaks(corpus, items, space, item_type, min_cosine)
+    known = word_statistics(corpus, held) if held.get(b"") else None
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
+    for k in range(0, blocks if known else 0, SCAN_BLOCKS):
+        some: dict[int, list[Item]] = {}
+        for r in queries.withColumn("block", block).filter((block >= k) & (block < k + SCAN_BLOCKS)).collect():
+            if w := words_of(r.text):
+                some.setdefault(r.block, []).append(Item(r.id, w, words_of(r.answer if r.answer is not None else last_sentence(r.text))))
+        together = [some[x] for x in sorted(some)]
+        if together:
+            spaces = latent_spaces(corpus, [pieces(items)[0] for items in together], known)
+            found = find_leaks(corpus, together, spaces, known, item_type, min_cosine)
             out = out.unionByName(found.withColumnRenamed("_key", key))
     return out.withColumnRenamed("_item", item)

@@ -72,6 +72,37 @@ def test_finds_planted_leaks_and_nothing_else(spark, block):
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("n_items", [30, 1000])
+def test_corpus_is_scanned_three_times(spark, monkeypatch, n_items):
+    from seqflip.llm import decontamination as module
+    docs, items, _ = make()
+    items |= {i: [word() for _ in range(20)] for i in range(30, n_items)}
+    d, b = frames(spark, docs, items)
+    scans = []
+    for name in ("passage_counts", "sketches_of", "find_leaks"):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), **k: scans.append(1) or f(*a, **k))
+    got = benchmark_leaks(d, b, block_items=300)
+    assert len(scans) == 3 and {(r.doc_id, r.item_id) for r in got.collect()} >= {(i, i) for i in range(30)}
+
+
+def test_hits_do_not_depend_on_the_blocks(spark):
+    """Paraphrases of growing distance, some beyond the limits: equal hits and cosines in blocks of every size."""
+    random.seed(21)
+    items = {i: [word() for _ in range(random.randrange(25, 60))] for i in range(24)}
+    docs = {}
+    for d in range(240):
+        leak = list(items[d % 24])
+        for k in random.sample(range(len(leak)), len(leak) * (d // 24) // 14):
+            leak[k] = word()
+        docs[d] = [word() for _ in range(random.randrange(0, 90))] + leak + [word() for _ in range(random.randrange(0, 90))]
+    d, b = frames(spark, docs, items)
+    found = []
+    for size in (1, 5, 256):
+        found.append({(r.doc_id, r.item_id): r.cosine for r in benchmark_leaks(d, b, block_items=size).collect()})
+    assert 100 < len(found[0]) < 240 and found[0].keys() == found[1].keys() == found[2].keys()
+    assert max(abs(f[k] - found[2][k]) for f in found for k in f) < 0.06
+
+
 def test_latent_space_is_the_svd_of_the_passages(spark):
     docs, items, _ = make()
     d, b = frames(spark, docs, items)
