@@ -10,7 +10,7 @@ capture histories without any task sorting or holding the whole index.
 A task that is lost and run again writes files of new names; only files named in the stored manifest count.
 
 Defined cases: a null payload is an empty one; a null url gives no target URI and the empty URL key; a null timestamp is
-1970-01-01T00:00:00Z; a row without id is always a response; repeated rows each get a record; an empty table gives no
+1970-01-01T00:00:00Z; a row without id is always a response; repeated rows each get a record, and all repeats of the row with the largest id are responses; an empty table gives no
 archive and an empty index.
 """
 
@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
+from math import ceil
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
@@ -35,6 +36,8 @@ from .common import stored
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 64 << 20
+#: Captures that a merging task holds, of about 1 kB each in Python.
+RANGE_ROWS = 200_000
 _ID = "urn:x-record:"
 
 CAPTURE_SCHEMA = ("urlkey string, ts timestamp, record_id long, url string, payload_bytes long, payload_digest string, "
@@ -196,7 +199,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     out[c] = out[c].astype("Int64")
                 yield out
 
-    return stored(archives.repartition(min(n, 100_000), "archive").mapInPandas(read, CAPTURE_SCHEMA), "runs")
+    # By range, since hashes put several archives into one task and none into others.
+    return stored(archives.repartitionByRange(n, "archive").mapInPandas(read, CAPTURE_SCHEMA), "runs")
 
 
 def _order(line: tuple) -> tuple:
@@ -242,13 +246,16 @@ class LoserTree:
             self._play(winner)
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All runs merged: ``range`` (task, ascending with the key), ``seq`` (place in it) and the captures.  Ordered by
-    (range, seq) the rows are in order of (urlkey, ts, id)."""
+    (range, seq) the rows are in order of (urlkey, ts, id).  There are at least as many ranges as it takes to give each
+    about ``range_rows`` captures, so what a task holds of the runs does not grow with them."""
     schema = f"range int, seq long, {CAPTURE_SCHEMA}"
     names = [c.split()[0] for c in schema.split(", ")]
     # The unique place of a record ends the key, so a URL or host with a third of all captures spreads over ranges too.
-    dealt = runs.repartitionByRange("urlkey", "ts", "record_id", "archive", "offset")
+    place, ranges = ["urlkey", "ts", "record_id", "archive", "offset"], ceil(runs.count() / range_rows)
+    many = ranges > int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = runs.repartitionByRange(ranges, *place) if many else runs.repartitionByRange(*place)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: dict[str, list[tuple]] = {}

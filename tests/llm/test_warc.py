@@ -1,10 +1,11 @@
 import base64
 import hashlib
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from seqflip.llm.warc import LoserTree, archive_records, capture_history, parse_record, read_archives, url_key, write_archives
+from seqflip.llm.warc import LoserTree, archive_records, capture_history, merge_runs, parse_record, read_archives, url_key, write_archives
 
 
 def test_loser_tree_merges_like_sorting():
@@ -69,5 +70,17 @@ def test_archives_hold_the_payloads(spark):
     assert {r.archive for r in runs} == set(paths)
 
 
+def test_ranges_are_bounded_and_one_url_spreads(spark):
+    data = [(i, "http://one.org/", f"body {i}") for i in range(3000)] + [(None, "http://one.org/", "x" * 300_000)]
+    docs = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("ts", F.timestamp_seconds(F.lit(1_577_836_800)))
+    manifest = write_archives(docs.repartition(7), "page_id", "url", "ts", "html", archive_bytes=5_000)
+    runs = read_archives(manifest)
+    got = merge_runs(runs, range_rows=100).collect()
+    sizes = Counter(r.range for r in got)
+    assert len(got) == 3001 and max(sizes.values()) < 300 and len(sizes) > 20
+    got.sort(key=lambda r: (r.range, r.seq))
+    assert [r.record_id for r in got] == [None, *range(3000)]
+
+
 def test_empty_table(spark):
     assert capture_history(frame(spark, rows()).limit(0), "page_id", "url", "ts", "html").count() == 0
