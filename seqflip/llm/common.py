@@ -83,6 +83,60 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= ord("A")) & (np.arange(256) <= ord("Z"))).astype(np.uint8)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first 0 to 8 bytes of a little-endian long.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def column_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, splits): a 64-bit hash of every word of every text of a string column, ASCII letters in lower case, in order;
+    those of text i are hashes[splits[i]:splits[i + 1]].
+
+    Works on the column's bytes, eight at a time: a word is the sum of the mixed longs that it is made of, each
+    mixed with its place, and its length.  Nulls have no words."""
+    wide = pa.types.is_large_string(column.type)
+    _, places, held = column.buffers()
+    at = np.frombuffer(places, np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    n = int(at[-1] - at[0])
+    data = np.frombuffer(held, np.uint8)[at[0]:at[-1]] if n else np.empty(0, np.uint8)
+    at = at - at[0]
+    inside = ~_SPACE[data]
+    heads = at[:-1][at[:-1] < at[1:]]
+    fresh = np.ones(n, bool)  # a word cannot go on from the byte before
+    fresh[1:] = ~inside[:-1]
+    fresh[heads] = True
+    ends = np.ones(n, bool)
+    ends[:-1] = fresh[1:] | ~inside[1:]
+    begin, length = np.flatnonzero(inside & fresh), np.flatnonzero(inside & ends) + 1
+    splits = np.searchsorted(begin, at)
+    length -= begin
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = _LOWER[data]
+    longs = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+    h = mix((longs[begin] & _FIRST[np.minimum(length, 8)]) ^ _GOLDEN)
+    more = np.flatnonzero(length > 8)
+    if len(more):
+        parts = (length[more] - 1) // 8  # longs after the first
+        firsts = np.cumsum(parts) - parts
+        k = np.arange(int(parts.sum())) - np.repeat(firsts, parts) + 1
+        left = np.repeat(length[more], parts) - 8 * k
+        value = longs[np.repeat(begin[more], parts) + 8 * k] & _FIRST[np.minimum(left, 8)]
+        h[more] += np.add.reduceat(mix(value + mix(k.astype(np.uint64) * _GOLDEN)), firsts)
+    return mix(h + length.astype(np.uint64)), splits
+
+
+def column_shingles(column: pa.Array, width: int, short: bool) -> list[np.ndarray]:
+    """Hashes of all runs of ``width`` words of each text, in order; of fewer words the whole sequence if ``short``, else none."""
+    words, splits = column_words(column)
+    runs = shingle_hashes(words, width)
+    out = []
+    for a, z in zip(splits[:-1].tolist(), splits[1:].tolist()):
+        out.append(shingle_hashes(words[a:z], z - a) if short and 0 < z - a < width else runs[a:max(a, z - width + 1)])
+    return out
+
+
 def row_slices(batch: pa.RecordBatch, column: str, target_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds about ``target_bytes`` (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, forget, mix, row_slices, settled, shingle_hashes, stored
+from .common import column_shingles, forget, mix, row_slices, settled, stored
 from .components import connected_components
 
 N_COORDINATES = 32
@@ -56,12 +56,9 @@ def match_threshold(n: int, percent: int, miss: float = MISS) -> int:
     return n
 
 
-def shingle_set(text: str, width: int, hasher: WordHash) -> np.ndarray:
-    """Distinct shingles (64-bit hashes, ascending) of the words of a text, ASCII letters in lower case."""
-    words = hasher.array(text.encode().lower().split())
-    if not len(words):
-        return np.empty(0, np.uint64)
-    return np.unique(shingle_hashes(words, min(width, len(words))))
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Distinct shingles (64-bit hashes, ascending) of the words of each text, ASCII letters in lower case."""
+    return [np.unique(s) for s in column_shingles(texts, width, short=True)]
 
 
 def coordinate_factors(n: int) -> np.ndarray:
@@ -86,10 +83,9 @@ def document_signatures(df: DataFrame, key: str, text: str, width: int, n: int)
     factors = coordinate_factors(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
         for whole in batches:
             for b in row_slices(whole, "text"):
-                sets = [shingle_set(t, width, hasher) for t in b.column(2).to_pylist()]
+                sets = shingle_sets(b.column(2), width)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
@@ -110,10 +106,9 @@ def class_sets(df: DataFrame, key: str, text: str, wanted: DataFrame, width: int
     one = rows.select("w.c", "d.text").dropDuplicates(["c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
         for whole in batches:
             for b in row_slices(whole, "text"):
-                sets = [shingle_set(t, width, hasher).view(np.int64) for t in b.column(1).to_pylist()]
+                sets = [s.view(np.int64) for s in shingle_sets(b.column(1), width)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["c", "shingles"])
 
     return one.mapInArrow(run, "c long, shingles array<long>")
