@@ -59,6 +59,15 @@ def sample_head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns that a filter above reads as values.  Without it the optimiser puts their expressions in place
+    of them, in the filter below and once for each time that it names them."""
+    one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    # The outer form has no inferred filter that would compute the array once more; the array always has one entry.
+    return df.select(*kept, F.explode_outer(one).alias("_once")).select(*kept, *[F.col("_once")[n].alias(n) for n in columns])
+
+
 def validity(tokens, spec: SequenceSpec = SequenceSpec()) -> F.Column:
     """``NULL`` when valid, else the reason: ``null``, ``bad_length`` or ``bad_token``."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
@@ -70,7 +79,8 @@ def validity(tokens, spec: SequenceSpec = SequenceSpec()) -> F.Column:
 def validate_sequences(df: DataFrame, spec: SequenceSpec = SequenceSpec(), tokens: str = "tokens",
                        mode: str = "quarantine") -> tuple[DataFrame, DataFrame]:
     """Split into ``(valid, quarantine)``; ``mode='raise_error'`` fails the job instead."""
-    checked = df.withColumn("_reason", validity(tokens, spec))
+    order = df.columns
+    checked = computed_once(df, **{tokens: F.col(tokens)}).select(*order).withColumn("_reason", validity(tokens, spec))
     if mode == "raise_error":
         # A filter, because a column that is dropped would never be computed.
         stop = F.raise_error(F.concat(F.lit("invalid sequence: "), F.col("_reason"))).cast("boolean")

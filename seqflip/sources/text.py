@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.encode import tokens_to_csv
-from ..operators.prepare import validity
+from ..operators.prepare import computed_once, validity
 from ..spec import SequenceSpec
 
 # Column order of a result file: sequence text, times, scores, flag, count, log.
@@ -58,6 +58,8 @@ def checked_lines(lines: DataFrame, spec: SequenceSpec = SequenceSpec(), line: s
     """Parsed lines with ``reason``: null for a good line, else ``blank``, ``bad_label`` (neither 0 nor 1), ``bad_length`` or
     ``bad_token``."""
     parsed = parse_labelled_lines(lines, line)
+    order = parsed.columns
+    parsed = computed_once(parsed, tokens=F.col("tokens"), label=F.col("label")).select(*order)
     reason = (F.when(F.coalesce(F.trim(line), F.lit("")) == "", "blank")
               .when(F.col("label").isNull() | ~F.col("label").isin(0, 1), "bad_label").otherwise(validity("tokens", spec)))
     return parsed.withColumn("reason", reason)
