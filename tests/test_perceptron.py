@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqflip.operators import train as T
-from seqflip.operators.perceptron import mean_loss, packed_blocks, starting_weights
+from seqflip.operators.perceptron import even_parts, mean_loss, packed_blocks, starting_weights
 from seqflip.session import scratch_path
 from seqflip.spec import SequenceSpec
 
@@ -52,6 +52,20 @@ def test_gradient_by_central_differences(spark):
         assert gradient[i] == pytest.approx((loss(w + d)[0] - loss(w - d)[0]) / 2e-5, abs=1e-8)
 
 
+def test_passes_run_over_even_parts(spark, monkeypatch):
+    monkeypatch.setattr("seqflip.operators.perceptron.PART_BLOCKS", 2)
+    packed = packed_blocks(windows(spark, 1500, 1), SPEC, "tokens", "label", scratch_path(spark, "blocks"))
+    even = even_parts(packed)
+    layers = [20, 4, 2]
+    w = starting_weights(spark, layers, 1)
+    sizes = [r["n"] for r in even.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert packed.rdd.getNumPartitions() == 1 and len(sizes) == 6 and max(sizes) <= 3 and sum(sizes) == 12
+    (one, slope), (whole, steep) = mean_loss(even, layers)(w), mean_loss(packed, layers)(w)
+    assert one == pytest.approx(whole, rel=1e-12)
+    np.testing.assert_allclose(slope, steep, atol=1e-14)
+    even.unpersist()
+
+
 @pytest.mark.parametrize("label", [None, 2])
 def test_labels_other_than_the_two_are_refused(spark, label):
     with pytest.raises(Exception, match="label"):
