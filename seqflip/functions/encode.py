@@ -26,12 +26,12 @@ def default_vocab(k: int) -> list[str]:
 
 def csv_to_tokens(c) -> Column:
     """``"3,4,17"`` -> ``[3, 4, 17]`` (blank fields become NULL)."""
-    return F.transform(F.split(_col(c), ","), lambda x: F.trim(x).try_cast("int"))
+    return F.split(_col(c), ",").try_cast("array<int>")
 
 
 def tokens_to_csv(c) -> Column:
     """``[3, 4, 17]`` -> ``"3,4,17"``."""
-    return F.array_join(F.transform(_col(c), lambda t: t.cast("string")), ",")
+    return F.array_join(_col(c).cast("array<string>"), ",")
 
 
 def tokens_to_symbols(c, vocab: Sequence[str]) -> Column:

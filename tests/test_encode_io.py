@@ -32,6 +32,15 @@ def test_round_trips(spark):
     assert one_hot_long(df, ["seq_id"], 20).count() == 50 * 60
 
 
+def test_fields_are_parsed_by_one_cast(spark):
+    odd = spark.createDataFrame([(" 3 ,4",), ("",), (None,), ("1,,2",), ("x,2",), ("1.5,99999999999",)], "line STRING").coalesce(1)
+    parsed = odd.select(csv_to_tokens("line").alias("t"))
+    assert [r["t"] for r in parsed.collect()] == [[3, 4], [None], None, [1, None, 2], [None, 2], [None, None]]
+    # A function of each field is interpreted, not compiled.
+    plan = odd.select(tokens_to_csv(csv_to_tokens("line")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
 def test_labelled_lines_round_trip(spark):
     df = _seqs(spark)
     lines = format_labelled_lines(df).select("seq_id", F.col("line").alias("value"))
