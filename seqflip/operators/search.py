@@ -41,16 +41,21 @@ def log_type(model_sql_type: str) -> str:
             f"new_z:{model_sql_type}>>")
 
 
-def candidates(tokens, model: LinearModel) -> Column:
-    """Positive-gain substitutions, best first: ``struct(ng, pos, prev, new)``
-    with ``ng = -gain`` so the natural ascending sort is gain desc, pos asc."""
+def _rising(tokens, model: LinearModel) -> Column:
+    """Positive-gain substitutions by position: ``struct(ng, pos, prev, new)`` with ``ng = -gain``."""
     K = model.alphabet
     W, WB, TB = model.weight_array(), model.best_weight_array(), model.best_token_array()
     tok = F.col(tokens) if isinstance(tokens, str) else tokens
     cand = F.transform(tok, lambda t, i: F.struct(
         (F.get(W, i * K + t) - F.get(WB, i)).alias("ng"), i.alias("pos"), t.alias("prev"),
         F.get(TB, i).alias("new")))
-    return F.sort_array(F.filter(cand, lambda c: c["ng"] < 0))
+    return F.filter(cand, lambda c: c["ng"] < 0)
+
+
+def candidates(tokens, model: LinearModel) -> Column:
+    """Positive-gain substitutions, best first: the natural ascending sort of ``struct(ng, pos, prev, new)`` is gain desc,
+    pos asc."""
+    return F.sort_array(_rising(tokens, model))
 
 
 def best_substitution(df: DataFrame, model: LinearModel, tokens: str = "tokens") -> DataFrame:
@@ -197,8 +202,8 @@ def apply_choice(state: DataFrame, choice: Column, threshold, cap: int, round_no
 
 
 def linear_choice(model: LinearModel, tokens: str = "current_tokens") -> Column:
-    """The best substitution of a linear model (first of the sorted candidates)."""
-    best = F.get(candidates(tokens, model), 0)
+    """The best substitution of a linear model (the first of the candidates if they were sorted)."""
+    best = F.array_min(_rising(tokens, model))
     return F.when(best.isNotNull(), F.struct(best["pos"].alias("pos"), best["prev"].alias("prev"),
                                              best["new"].alias("new"), (F.col("current_z") - best["ng"]).alias("nz")))
 

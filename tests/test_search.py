@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reference_loop import greedy_reference
 from seqflip.operators.edits import apply_edits
 from seqflip.operators.model import LinearModel
-from seqflip.operators.search import (best_substitution, change_log, greedy_search, linear_search_loop,
+from seqflip.operators.search import (best_substitution, candidates, change_log, greedy_search, linear_choice, linear_search_loop,
                                       working_count)
 from seqflip.spec import MICRO, SequenceSpec
 
@@ -121,3 +121,15 @@ def test_threshold_is_inclusive():
     assert spec.threshold_micro == math.ceil(1e6 * math.log(9))
     assert 1 / (1 + math.exp(-spec.threshold_micro / 1e6)) >= 0.9
     assert 1 / (1 + math.exp(-(spec.threshold_micro - 1) / 1e6)) < 0.9
+
+
+def test_a_round_takes_the_best_candidate_without_sorting_them(spark):
+    rng = random.Random(6)
+    model = LinearModel(4, 3, tuple(rng.randrange(-3, 4) for _ in range(12)), 0, integer=True)
+    rows = [(i, [rng.randrange(3) for _ in range(4)]) for i in range(60)] + [(60, [0, 7, None, -9]), (61, []), (62, None)]
+    df = spark.createDataFrame(rows, "id INT, tokens ARRAY<INT>").withColumn("current_z", F.lit(0).cast("bigint"))
+    both = df.select(linear_choice(model, "tokens").alias("c"), F.get(candidates("tokens", model), 0).alias("first"))
+    for r in both.collect():
+        assert (r["c"] and tuple(r["c"])) == (r["first"] and (r["first"]["pos"], r["first"]["prev"], r["first"]["new"], -r["first"]["ng"]))
+    plan = df.select(linear_choice(model, "tokens"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in plan
