@@ -1,10 +1,13 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from seqflip.llm.common import column_shingles, column_words
+from seqflip.llm.common import column_shingles, column_words, settled, stored
+from seqflip.session import SHUFFLE_CLEANUP, shuffles_released
 
 
 def words(text):
@@ -49,3 +52,37 @@ def test_shingles_are_runs_of_words(short):
         for run, h in zip(runs, got.tolist()):
             assert seen.setdefault(h, run) == run
     assert len(set(seen.values())) == len(seen)
+
+
+def shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in f}
+
+
+@pytest.mark.parametrize("store", [lambda spark, df: stored(df, "t"), lambda spark, df: settled(spark, lambda: df, "t")])
+def test_a_stored_table_leaves_no_shuffle_files(spark, store):
+    # They fill the executors' disks: one driver may run many such steps before it collects its garbage.
+    numbers = spark.range(20_000).withColumn("k", F.col("id") % 997)
+    df = numbers.groupBy("k").agg(F.collect_list("id").alias("ids")).join(numbers.hint("merge"), "k").groupBy("id").agg(F.max(F.size("ids")).alias("n"))
+    before = shuffle_files(spark)
+    out = store(spark, df)
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:  # blocks are dropped after the query has ended
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert out.count() == 20_000 and df.count() == 20_000
+
+
+def test_shuffle_setting_is_put_back(spark):
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    with pytest.raises(KeyError), shuffles_released(spark):
+        assert spark.conf.get(SHUFFLE_CLEANUP) == "true"
+        raise KeyError
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == before
+    spark.conf.set(SHUFFLE_CLEANUP, "false")
+    try:
+        with shuffles_released(spark):
+            pass
+        assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP)
