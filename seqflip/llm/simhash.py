@@ -95,15 +95,22 @@ def probes(prints: DataFrame) -> DataFrame:
     return entries(prints).select("s", "fp", F.explode(F.transform(ball, lambda m: F.col("v").bitwiseXOR(m))).alias("v")).select("s", "v", "fp")
 
 
-def fetched_links(prints: DataFrame, radius: int, max_entry: int) -> tuple[DataFrame, DataFrame]:
-    """The verified links (a < b) over entries that can be fetched, and the fingerprints (fp) that hold or fetch another."""
+def met_entries(prints: DataFrame, max_entry: int) -> DataFrame:
+    """(fp, members, full): the entries that each fingerprint fetches; a full one has no members."""
     table = entries(prints)
     sizes = table.groupBy("s", "v").agg(F.count("*").alias("size"))
     # An entry is a row of its members, or none where they are too many; the probes meet it once.
-    member_lists = (table.join(sizes, ["s", "v"]).groupBy("s", "v")
+    member_lists = (table.hint("merge").join(sizes, ["s", "v"]).groupBy("s", "v")
                     .agg(F.max("size").alias("size"), F.collect_list(F.when(F.col("size") <= max_entry, F.col("fp"))).alias("members")))
-    met = stored(probes(prints).join(member_lists, ["s", "v"]).filter((F.col("size") > max_entry) | (F.size("members") > 1) | (F.get("members", F.lit(0)) != F.col("fp")))
-                 .select("fp", "members", (F.col("size") > max_entry).alias("full")), "met")
+    # Spark takes an exploded table to be as small as the table before; without the hint it would send all probes to the driver.
+    return (probes(prints).hint("merge").join(member_lists, ["s", "v"])
+            .filter((F.col("size") > max_entry) | (F.size("members") > 1) | (F.get("members", F.lit(0)) != F.col("fp")))
+            .select("fp", "members", (F.col("size") > max_entry).alias("full")))
+
+
+def fetched_links(prints: DataFrame, radius: int, max_entry: int) -> tuple[DataFrame, DataFrame]:
+    """The verified links (a < b) over entries that can be fetched, and the fingerprints (fp) that hold or fetch another."""
+    met = stored(met_entries(prints, max_entry), "met")
     pairs = met.filter("NOT full").select(F.col("fp").alias("a"), F.explode("members").alias("b"))
     links = pairs.filter(F.col("a") < F.col("b")).filter(distance("a", "b") <= radius).distinct()
     return links, met.filter("full").select("fp").distinct()
@@ -114,7 +121,7 @@ def posted_links(prints: DataFrame, radius: int) -> DataFrame:
     smallest of them."""
     posted = prints.select("fp", F.explode(F.transform(flips(0, 63), lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
     least = posted.groupBy("point").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1").select("point", "least")
-    pairs = posted.join(least, "point").filter("fp <> least")
+    pairs = posted.hint("merge").join(least, "point").filter("fp <> least")
     return pairs.select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct().filter(distance("a", "b") <= radius)
 
 

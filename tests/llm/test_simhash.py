@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from seqflip.llm.simhash import fetched_links, fingerprint, posted_links, simhash_components
+from seqflip.llm.simhash import fetched_links, fingerprint, met_entries, posted_links, simhash_components
 
 
 def plain_print(text, width=3):
@@ -128,6 +128,16 @@ def test_hot_entry_is_linear(spark):
     assert counts[1] < 6 * counts[0]
 
 
+def test_exploded_tables_are_not_broadcast(spark, tmp_path):
+    """A stored table of a few thousand fingerprints is small, its probes and postings are not."""
+    path = str(tmp_path / "prints")
+    spark.createDataFrame([(i << 20,) for i in range(3000)], "fp long").write.parquet(path)
+    prints = spark.read.parquet(path)
+    for made in (met_entries(prints, 32), posted_links(prints, 2)):
+        assert made.count() > 0
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_table(spark):
     assert simhash_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
