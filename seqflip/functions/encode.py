@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +63,40 @@ def one_hot_dense(c, k: int) -> Column:
     return F.flatten(F.transform(_col(c), lambda t: F.coalesce(F.get(rows, t), none)))
 
 
+def _first_largest(scores: pa.ListArray, k: int) -> pa.ListArray:
+    """Per list its arg-max tokens: for each ``k`` entries the first of the largest; NaN is the largest, nulls are none."""
+    ends = scores.offsets.to_numpy().astype(np.int64)
+    sizes = pc.fill_null(pc.list_value_length(scores), 0).to_numpy(zero_copy_only=False).astype(np.int64) // k
+    values = scores.values
+    # Lists that fill their rows and follow one another are one matrix.
+    if scores.null_count == 0 and (sizes * k == np.diff(ends)).all():
+        values = values.slice(ends[0], ends[-1] - ends[0])
+    else:
+        starts = np.repeat(ends[:-1] - k * (np.cumsum(sizes) - sizes), k * sizes)
+        values = values.take(pa.array(starts + np.arange(len(starts))))
+    if values.null_count or not (pa.types.is_floating(values.type) or pa.types.is_integer(values.type)):
+        rows = [values.slice(at, k).to_pylist() for at in range(0, len(values), k)]
+        rank = lambda v: (v != v, 0 if v != v else v)
+        tokens = pa.array([max((b for b in range(k) if r[b] is not None), key=lambda b: rank(r[b]), default=None) for r in rows], pa.int32())
+    else:
+        tokens = pa.array(values.to_numpy(zero_copy_only=False).reshape(-1, k).argmax(axis=1).astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), tokens)
+
+
 def one_hot_to_tokens(c, k: int) -> Column:
     """Flattened one-hot (or any score matrix) -> arg-max token per position."""
     v = _col(c)
     n_pos = (F.size(v) / k).cast("int")
+    # A list shorter than one position keeps to the general expression; the others go through Arrow, as a slice for each position
+    # copies every score as an object.
     rows = F.transform(F.sequence(F.lit(0), n_pos - 1), lambda i: F.slice(v, i * k + 1, k))
-    return F.transform(rows, lambda r: (F.array_position(r, F.array_max(r)) - 1).cast("int"))
+    short = F.transform(rows, lambda r: (F.array_position(r, F.array_max(r)) - 1).cast("int"))
+
+    @F.arrow_udf("array<int>")
+    def tokens(scores: pa.Array) -> pa.Array:
+        return _first_largest(scores, k)
+
+    return F.when(F.size(v) >= k, tokens(v)).otherwise(short)
 
 
 def one_hot_long(df: DataFrame, keys: Sequence[str], k: int, tokens: str = "tokens") -> DataFrame:

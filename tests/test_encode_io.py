@@ -99,3 +99,19 @@ def test_spread_is_explicit_and_round_robin(spark):
         assert sorted(r[0] for r in s.collect()) == list(range(1000))
     finally:
         spark.conf.unset(SPREAD_CONF)
+
+
+def test_arg_max_of_any_scores(spark):
+    nan, k = float("nan"), 3
+    lists = [[0.5, 2.0, 2.0, -1.0, -3.0, -1.5], [1.0, nan, 2.0, None, None, None], [None, -5.0, float("-inf")], [0.0, -0.0, None, None, nan, 1.0, 4.0],
+             [float("-inf"), None, float("-inf")], None, [9.0, 8.0], [], [7.0] * 3 + [1.0, 2.0, 3.0]]
+    want = [[1, 0], [1, None], [1], [0, 1], [0], None, None, None, [0, 2]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, v array<double>").repartition(2)
+    found = df.select("i", one_hot_to_tokens("v", k).alias("t"), one_hot_to_tokens(F.expr("transform(sequence(1, 6), x -> x * (i - 4))"), k).alias("u"))
+    # A slice of a list for each position copies its scores one by one as objects.
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    got = {r["i"]: r["t"] for r in rows}
+    assert [got[i] for i in range(6)] + [got[8]] == want[:6] + [want[8]]
+    assert got[6] == [0, 0] and got[7] == [None, None]  # lists shorter than a position, as before
+    assert {r["i"]: r["u"] for r in rows} == {i: [2, 2] if i > 4 else [0, 0] for i in range(9)}
