@@ -189,3 +189,25 @@ def test_incomplete_weights_and_zero_probabilities_are_refused(spark):
             LinearModel.from_df(frame(rows), 0.5, 2, 3, integer=False)
     with pytest.raises(ValueError):
         Profile((0.5, 0.5), (0.0, 1.0), ((0.5, 0.5),)).log_ratios()
+
+
+def test_mlp_logits_hold_no_rows_of_all_cells():
+    """The first layer is the sum over all positions, to the bit, without n x L x h numbers."""
+    import tracemalloc
+
+    import numpy as np
+
+    from seqflip.operators.nonlinear import mlp_logits
+
+    rng = np.random.default_rng(3)
+    mats = [(rng.normal(size=(1200, 32)), rng.normal(size=32)), (rng.normal(size=(32, 2)), rng.normal(size=2))]
+    tokens = rng.integers(0, 20, (3000, 60))
+    tracemalloc.start()
+    found = mlp_logits(mats, tokens, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first = mats[0][0][np.arange(60) * 20 + tokens].sum(axis=1) + mats[0][1]
+    out = 1.0 / (1.0 + np.exp(-first)) @ mats[1][0] + mats[1][1]
+    assert np.array_equal(found, out[:, 1] - out[:, 0])
+    assert peak < 3000 * 60 * 32 * 8 / 3
+    assert mlp_logits(mats, tokens[:0], 20).shape == (0,)
